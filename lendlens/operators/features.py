@@ -118,7 +118,7 @@ def select_features(df: DataFrame, columns: Sequence[str] | None = None, drop: S
     return df.select(*(columns or df.columns)).drop(*drop)
 
 
-def _stratified_income_ratio(purpose_median: Column) -> Column:
+def stratified_income_ratio(purpose_median: Column) -> Column:
     """Income over the loan amount relative to the purpose's median loan; plain ratio without one."""
     loan, income = F.col("loan_amount").cast("double"), F.col("income").cast("double")
     relative = loan / F.nullif(purpose_median, F.lit(0.0))
@@ -242,7 +242,7 @@ def preprocess(
             winsorise(source, caps[f"{x}_lower_cap"], caps[f"{x}_upper_cap"]).alias(f"{x}_capped"),
         ]
 
-    income_to_loan = _stratified_income_ratio(median["purpose_group"]("loan_amount"))
+    income_to_loan = stratified_income_ratio(median["purpose_group"]("loan_amount"))
     local_income = F.coalesce(c("median_household_income").cast("double"), g("median_household_income"))
     loan_to_income = F.when(
         local_income > 0, F.coalesce(c("loan_amount").cast("double"), g("loan_amount")) / local_income
@@ -251,7 +251,7 @@ def preprocess(
     # second-level statistics need only these few columns, not the wide rows
     narrow_join = base.join(medians["purpose_group"], "loan_purpose_grouped", "left")
     narrow = narrow_join.select(
-        _stratified_income_ratio(c("median_loan_amount")).alias("income_to_loan_ratio_stratified"),
+        stratified_income_ratio(c("median_loan_amount")).alias("income_to_loan_ratio_stratified"),
         loan_to_income.alias("loan_to_income_ratio"),
         *[safe_log1p(c(x)).alias(f"{x}_log") for x in QUARTILE_COLUMNS],
     )

@@ -171,7 +171,7 @@ def target_encode(df: DataFrame, key: str, label: str, name: str, source: DataFr
     return joined.select(*df.columns, F.coalesce(F.col("__m"), overall).alias(name))
 
 
-def collapse_rare(df: DataFrame, column: str, minimum: int, name: str, other: str = "Other") -> DataFrame:
+def collapse_rare(df: DataFrame, column: str, minimum: int | Column, name: str, other: str = "Other") -> DataFrame:
     """Categories with fewer than ``minimum`` rows become ``other``."""
     counts = settle(df.groupBy(column).agg(F.count(F.lit(1)).alias("__n")))
     joined = match_on(df, counts, [column], "left")
