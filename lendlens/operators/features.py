@@ -10,7 +10,7 @@ from lendlens.functions import lending as L
 from lendlens.functions.numbers import missing_flag, present_flag, quartile_label, ratio, safe_log1p, winsorise
 from lendlens.functions.text import joined_label
 from lendlens.operators.quantiles import column_quantiles, grouped_medians, one_row
-from lendlens.operators.ranks import prior_history, row_numbers
+from lendlens.operators.ranks import hex_key, prior_history, rank_by_key
 from lendlens.operators.rates import collapse_rare
 from lendlens.shared import settle
 
@@ -201,7 +201,8 @@ def preprocess(
     Statistics come first, each from a column-pruned pass over ``features`` (pass a stored table):
     medians at eight grains, percentile caps, tract history, category counts. Their results are small
     settled tables, so the final pass reads the wide rows once and, while those tables stay under
-    Spark's broadcast limit, does not shuffle them until the closing row numbering.
+    Spark's broadcast limit, does not shuffle them until the closing row numbering. Ids must be the
+    md5 keys of the staging step when ``number_rows`` is set.
     """
     c = F.col
     base = clean_features(features)
@@ -255,8 +256,12 @@ def preprocess(
         loan_to_income.alias("loan_to_income_ratio"),
         *[safe_log1p(c(x)).alias(f"{x}_log") for x in QUARTILE_COLUMNS],
     )
-    ratio_caps = constants(percentile_caps(narrow, RATIO_COLUMNS, exact=exact_caps))
-    cuts = constants(quartile_cuts(narrow, [f"{x}_log" for x in QUARTILE_COLUMNS], exact=exact_caps))
+    second = column_quantiles(
+        narrow, [*RATIO_COLUMNS, *[f"{x}_log" for x in QUARTILE_COLUMNS]], [0.01, 0.25, 0.5, 0.75, 0.99], exact=exact_caps
+    )
+    level2 = constants(
+        one_row(second, narrow.columns, {0: "{}_lower_cap", 1: "{}_q1", 2: "{}_q2", 3: "{}_q3", 4: "{}_upper_cap"})
+    )
 
     prior = F.coalesce(
         c("__prior"), F.when(c("activity_year") == start, 0.5).otherwise(c("__typical"))
@@ -282,7 +287,7 @@ def preprocess(
     capped = imputed.select(
         "*",
         *[
-            winsorise(c(x), ratio_caps[f"{x}_lower_cap"], ratio_caps[f"{x}_upper_cap"]).alias(f"{x}_capped")
+            winsorise(c(x), level2[f"{x}_lower_cap"], level2[f"{x}_upper_cap"]).alias(f"{x}_capped")
             for x in RATIO_COLUMNS
         ],
     )
@@ -301,8 +306,12 @@ def preprocess(
         .cast("int")
         .alias("high_dti_large_loan"),
         *[
-            quartile_label(c(f"{x}_log"), [cuts[f"{x}_log_q{i}"] for i in (1, 2, 3)]).alias(f"{x}_log_bin")
+            quartile_label(c(f"{x}_log"), [level2[f"{x}_log_q{i}"] for i in (1, 2, 3)]).alias(f"{x}_log_bin")
             for x in QUARTILE_COLUMNS
         ],
     )
-    return row_numbers(done, ["loan_application_id"]) if number_rows else done
+    if not number_rows:
+        return done
+    # ids are md5 hashes, so they are evenly spread; every join above keeps the rows of ``base``
+    key, ids = hex_key("loan_application_id"), base.select("loan_application_id")
+    return rank_by_key(done, key, "loan_application_id", 1 << 32, counted=ids)

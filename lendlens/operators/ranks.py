@@ -120,6 +120,11 @@ def seeded_key(id_column: str, seed: int = 42, span: int = 1 << 31) -> Column:
     return F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(span))
 
 
+def hex_key(id_column: str) -> Column:
+    """Leading 32 bits of a hexadecimal hash id: even over [0, 2**32) and in the order of the id."""
+    return F.conv(F.substring(id_column, 1, 8), 16, 10).cast("bigint")
+
+
 def rank_by_key(
     df: DataFrame,
     key: Column,
@@ -128,14 +133,17 @@ def rank_by_key(
     groups: Sequence[str] = (),
     name: str = "rn",
     buckets: int = 4096,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Dense rank by a key that is spread evenly over [0, span), for random orders.
+    """Dense rank by a key that is spread evenly over [0, span), for random orders and hashed ids.
 
     An even key needs no sampled range bounds: equal-width buckets of the key are the slices. One
     narrow counting pass plus one shuffle by (group, bucket); nothing is written except the counts.
+    ``counted`` is a cheaper frame with the same rows to count instead of ``df``.
     """
     keyed = df.withColumn("__key", key).withColumn("__bucket", _bucket(span, buckets))
-    offsets = settle(_bucket_counts(keyed, groups).drop("__n", "__total"))
+    to_count = keyed if counted is None else counted.withColumn("__key", key).withColumn("__bucket", _bucket(span, buckets))
+    offsets = settle(_bucket_counts(to_count, groups).drop("__n", "__total"))
     slices = W.partitionBy(*groups, "__bucket").orderBy("__key", tiebreak)
     numbered = match_on(
         keyed.withColumn("__local", F.row_number().over(slices)), offsets, [*groups, "__bucket"], "inner"
@@ -222,8 +230,8 @@ def within_cutoff(key: Column, tiebreak: str) -> Column:
 
 def ntile(df: DataFrame, order: Sequence[Column], buckets: int, name: str) -> DataFrame:
     """SQL ``ntile`` over the whole frame (earlier tiles take the remainder), without one big task."""
-    numbered = settle(row_numbers(df, order, name="__rn"))
-    rows = numbered.agg(F.max("__rn")).scalar()
+    numbered = row_numbers(df, order, name="__rn")
+    rows = df.agg(F.count(F.lit(1))).scalar()
     base, extra = F.floor(rows / buckets), rows % buckets
     z = F.col("__rn") - 1
     big = extra * (base + 1)
