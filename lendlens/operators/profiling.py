@@ -149,9 +149,10 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     x = F.col(column).cast("double")
     ends = settle(df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))).select(F.struct("lo", "hi")).scalar()
     width = (F.col("e.hi") - F.col("e.lo")) / bins
-    number = F.least(F.floor((x - F.col("e.lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
+    step = F.floor((x - F.col("e.lo")) / F.nullif(width, F.lit(0.0)))
+    number = F.least(F.coalesce(step, F.lit(0)), F.lit(bins - 1))
     binned = df.filter(x.isNotNull()).withColumn("e", ends).select(
-        (F.coalesce(number, F.lit(0)) + 1).cast("int").alias("bin"), F.col("e.lo").alias("lo"), width.alias("w")
+        (number + 1).cast("int").alias("bin"), F.col("e.lo").alias("lo"), width.alias("w")
     )
     return binned.groupBy("bin", "lo", "w").agg(F.count(F.lit(1)).alias("n")).select(
         "bin", (F.col("lo") + (F.col("bin") - 1) * F.col("w")).alias("bin_start"), "n"
