@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lendlens.functions.lending import BAD_TRACTS, MINORITY_GROUPS, REFERENCE_GROUP, UNKNOWN_GROUP
 from lendlens.functions.numbers import equal_bin, ratio, wald_interval, wilson_interval
@@ -99,26 +99,34 @@ def gap_vs_reference(
     ``metrics`` has one row per (period, group), a handful per period.
     """
     c = F.col
-    ref = metrics.filter(F.lower(c(group)) == reference.lower()).select(
-        period,
-        c("true_positive_rate").alias("white_tpr"),
-        c("false_positive_rate").alias("white_fpr"),
-        c("eod_ci_lower").alias("white_tpr_ci_lower"),
-        c("eod_ci_upper").alias("white_tpr_ci_upper"),
-        c("fpr_ci_lower").alias("white_fpr_ci_lower"),
-        c("fpr_ci_upper").alias("white_fpr_ci_upper"),
-        c("actual_approval_rates").alias("__ref_actual"),
-    )
-    kept = metrics if exclude is None else metrics.filter(c(group) != exclude)
+    peers = W.partitionBy(period)
+    is_ref = F.lower(c(group)) == reference.lower()
+    of_ref = lambda source: F.max(F.when(is_ref, c(source))).over(peers)
+    sources = {
+        "white_tpr": "true_positive_rate",
+        "white_fpr": "false_positive_rate",
+        "white_tpr_ci_lower": "eod_ci_lower",
+        "white_tpr_ci_upper": "eod_ci_upper",
+        "white_fpr_ci_lower": "fpr_ci_lower",
+        "white_fpr_ci_upper": "fpr_ci_upper",
+    }
+    # a window over these few rows reads the applications once; a self-join would read them twice
+    joined = metrics.select(
+        "*",
+        *[of_ref(x).alias(n) for n, x in sources.items()],
+        of_ref("actual_approval_rates").alias("__ref_actual"),
+        F.max(is_ref).over(peers).alias("__has_ref"),
+    ).filter("__has_ref")
+    kept = joined if exclude is None else joined.filter(c(group) != exclude)
 
     def apart(mine: str, theirs: str) -> Column:
         below = c(f"{mine}_ci_upper") < c(f"{theirs}_ci_lower")
         above = c(f"{mine}_ci_lower") > c(f"{theirs}_ci_upper")
         return F.coalesce(below, F.lit(False)) | F.coalesce(above, F.lit(False))
 
-    return kept.join(ref, period).select(
+    return kept.select(
         *metrics.columns,
-        *[x for x in ref.columns if x not in (period, "__ref_actual")],
+        *sources,
         (c("actual_approval_rates") - c("__ref_actual")).alias("actual_gap"),
         (c("true_positive_rate") - c("white_tpr")).alias("tpr_gap"),
         (c("false_positive_rate") - c("white_fpr")).alias("fpr_gap"),
@@ -182,11 +190,8 @@ def _by_score(df: DataFrame, keys: Sequence[str], score: str, actual: str) -> Da
     )
 
 
-def auc(
-    df: DataFrame, keys: Sequence[str] = (), score: str = "score", actual: str = "actual_value"
-) -> DataFrame:
-    """Exact ROC AUC by rank sums over distinct scores; ties count half. Null with one class only."""
-    t = running_totals(_by_score(df, keys, score, actual), [score], {"cum_neg": "neg", "cum_pos": "pos"}, keys)
+def _auc(counts: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
+    t = running_totals(counts, [score], {"cum_neg": "neg", "cum_pos": "pos"}, keys)
     wide = lambda c: c.cast("decimal(19,0)")
     twice_wins = wide(F.col("pos")) * wide(F.col("cum_neg") * 2 - F.col("neg"))
     sums = t.groupBy(*keys).agg(
@@ -197,11 +202,21 @@ def auc(
     )
 
 
-def auc_report(df: DataFrame, period: str = "activity_year", **columns) -> DataFrame:
-    """AUC per period plus the overall AUC on a row with a null period."""
-    kind = df.schema[period].dataType
-    overall = auc(df, **columns).select(F.lit(None).cast(kind).alias(period), "auc_roc")
-    return auc(df, [period], **columns).unionByName(overall)
+def auc(
+    df: DataFrame, keys: Sequence[str] = (), score: str = "score", actual: str = "actual_value"
+) -> DataFrame:
+    """Exact ROC AUC by rank sums over distinct scores; ties count half. Null with one class only."""
+    return _auc(_by_score(df, keys, score, actual), keys, score)
+
+
+def auc_report(
+    df: DataFrame, period: str = "activity_year", score: str = "score", actual: str = "actual_value"
+) -> DataFrame:
+    """AUC per period plus the overall AUC on a row with a null period, from one pass over ``df``."""
+    counts = settle(_by_score(df, [period], score, actual))
+    pooled = counts.groupBy(score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    overall = _auc(pooled, [], score).select(F.lit(None).cast(df.schema[period].dataType).alias(period), "auc_roc")
+    return _auc(counts, [period], score).unionByName(overall)
 
 
 def pr_curve(
@@ -283,8 +298,6 @@ def redlining(
     fraction: float = 0.8,
 ) -> DataFrame:
     """Disparate-impact ratios against the tract's reference group and four-fifths flags."""
-    from pyspark.sql import Window as W
-
     c = F.col
     # one row per (tract, group): a tract's window holds only its few groups
     peers = W.partitionBy(tract)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lendlens.functions import lending as L
 from lendlens.functions.numbers import missing_flag, present_flag, quartile_label, ratio, safe_log1p, winsorise
 from lendlens.functions.text import joined_label
-from lendlens.operators.quantiles import column_quantiles, grouped_medians, one_row
+from lendlens.operators.quantiles import column_quantiles, grouped_medians, grouped_quantiles, one_row
 from lendlens.operators.ranks import hex_key, prior_history, rank_by_key
 from lendlens.operators.rates import collapse_rare
 from lendlens.shared import settle
@@ -85,7 +85,7 @@ def attach_medians(df: DataFrame, medians: Mapping[str, DataFrame], grains) -> t
     for i, (name, (keys, cols)) in enumerate(grains.items()):
         m = medians[name]
         if not keys:
-            whole = constants(m)
+            whole = constants(m.select(*[f"median_{c}" for c in cols]))
             accessors[name] = lambda c, w=whole: w[f"median_{c}"]
         else:
             renamed = m.select(*keys, *[F.col(f"median_{c}").alias(f"__m{i}_{c}") for c in cols])
@@ -177,7 +177,7 @@ def clean_features(features: DataFrame) -> DataFrame:
 
 # Grain name → (keys, columns whose median is wanted).
 GRAINS = {
-    "all": ([], ["cleaned_dti", "property_value", "loan_amount", *ACS_COLUMNS, *MARKET_COLUMNS]),
+    "all": ([], ["cleaned_dti", "property_value", "loan_amount", "income", *ACS_COLUMNS, *MARKET_COLUMNS]),
     "zip_purpose": (["zip_code", "loan_purpose"], ["property_value"]),
     "zip": (["zip_code"], ["property_value", *MARKET_COLUMNS]),
     "purpose": (["loan_purpose"], ["property_value"]),
@@ -192,22 +192,21 @@ def preprocess(
     features: DataFrame,
     first_year: int | None = None,
     rare_minimum: int = 5000,
-    exact_caps: bool = False,
     use_imputed_for_logs: bool = False,
     number_rows: bool = True,
 ) -> DataFrame:
     """The model-ready table: imputed, logged, capped and binned features, one row per application.
 
     Statistics come first, each from a column-pruned pass over ``features`` (pass a stored table):
-    medians at eight grains, percentile caps, tract history, category counts. Their results are small
+    medians and percentile caps at eight grains, tract history, category counts. Their results are small
     settled tables, so the final pass reads the wide rows once and, while those tables stay under
     Spark's broadcast limit, does not shuffle them until the closing row numbering. Ids must be the
     md5 keys of the staging step when ``number_rows`` is set.
     """
     c = F.col
     base = clean_features(features)
-    medians = grouped_medians(base, GRAINS)
-    caps = constants(percentile_caps(base, LOG_COLUMNS, exact=exact_caps))
+    medians = grouped_quantiles(base, GRAINS, {"median": 0.5, "low": 0.01, "high": 0.99})
+    caps = constants(medians["all"])
 
     history = settle(prior_rate_history(base))
     start = history.agg(F.min("activity_year")).scalar() if first_year is None else F.lit(first_year)
@@ -240,7 +239,7 @@ def preprocess(
         logged += [
             safe_log1p(source).alias(f"{x}_log"),
             missing_flag(c(x)).alias(f"{x}_log_missing_flag"),
-            winsorise(source, caps[f"{x}_lower_cap"], caps[f"{x}_upper_cap"]).alias(f"{x}_capped"),
+            winsorise(source, caps[f"low_{x}"], caps[f"high_{x}"]).alias(f"{x}_capped"),
         ]
 
     income_to_loan = stratified_income_ratio(median["purpose_group"]("loan_amount"))
@@ -257,7 +256,7 @@ def preprocess(
         *[safe_log1p(c(x)).alias(f"{x}_log") for x in QUARTILE_COLUMNS],
     )
     second = column_quantiles(
-        narrow, [*RATIO_COLUMNS, *[f"{x}_log" for x in QUARTILE_COLUMNS]], [0.01, 0.25, 0.5, 0.75, 0.99], exact=exact_caps
+        narrow, [*RATIO_COLUMNS, *[f"{x}_log" for x in QUARTILE_COLUMNS]], [0.01, 0.25, 0.5, 0.75, 0.99]
     )
     level2 = constants(
         one_row(second, narrow.columns, {0: "{}_lower_cap", 1: "{}_q1", 2: "{}_q2", 3: "{}_q3", 4: "{}_upper_cap"})

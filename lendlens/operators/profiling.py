@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lendlens.functions.numbers import ratio
-from lendlens.operators.quantiles import column_quantiles
+from lendlens.operators.quantiles import long_values, quantiles_of_counts
 from lendlens.shared import settle
 
 
@@ -115,21 +115,23 @@ def numeric_outliers(
 ) -> DataFrame:
     """Rows outside the quartile fences and beyond ``z`` standard deviations, per column."""
     columns = list(columns or numeric_columns(df))
-    quartiles = column_quantiles(df, columns, [0.25, 0.75])
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])
-    values = df.select(F.explode(pairs).alias("p")).select("p.*")
-    counted = values.filter("v is not null").groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
-    moments = values.groupBy("column_name").agg(
-        F.avg("v").alias("__mean"), F.stddev_pop("v").alias("__sd"), F.count(F.lit(1)).alias("total_rows")
+    counted = settle(long_values(df, [], columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+    v, n, key = F.col("value"), F.col("n"), "column_name"
+    means = counted.groupBy(key).agg((F.sum(v * n) / F.sum(n)).alias("__mean"))
+    spread = (
+        counted.join(means, key)
+        .groupBy(key)
+        .agg(F.max("__mean").alias("__mean"), F.sqrt(F.sum((v - F.col("__mean")) ** 2 * n) / F.sum(n)).alias("__sd"))
     )
-    limits = settle(moments.join(quartiles, "column_name"))
+    limits = settle(spread.join(quantiles_of_counts(counted, [key], [0.25, 0.75]), key))
     fence = (F.col("q1") - F.col("q0")) * reach
-    outside = (F.col("v") < F.col("q0") - fence) | (F.col("v") > F.col("q1") + fence)
-    far = F.abs(F.col("v") - F.col("__mean")) > F.col("__sd") * z
-    found = counted.join(limits, "column_name").groupBy("column_name", "total_rows").agg(
-        F.coalesce(F.sum(F.when(outside, F.col("n"))), F.lit(0)).alias("iqr_outliers"),
-        F.coalesce(F.sum(F.when(far, F.col("n"))), F.lit(0)).alias("z_outliers"),
-    )
+    outside = (v < F.col("q0") - fence) | (v > F.col("q1") + fence)
+    far = F.abs(v - F.col("__mean")) > F.col("__sd") * z
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    found = counted.join(limits, key).groupBy(key).agg(
+        F.coalesce(F.sum(F.when(outside, n)), F.lit(0)).alias("iqr_outliers"),
+        F.coalesce(F.sum(F.when(far, n)), F.lit(0)).alias("z_outliers"),
+    ).withColumn("total_rows", rows)
     pct = lambda c: (ratio(F.col(c), F.col("total_rows")) * 100).alias(f"{c}_pct")
     return found.select("column_name", "total_rows", "iqr_outliers", pct("iqr_outliers"), "z_outliers", pct("z_outliers"))
 

@@ -15,7 +15,7 @@ from lendlens.operators.ranks import running_totals
 from lendlens.shared import settle
 
 
-def _positions(counted: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def quantiles_of_counts(counted: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(groups, value, n) → (groups, q0, q1, …) by linear interpolation between neighbours."""
     totals = running_totals(counted, ["value"], {"upto": "n"}, groups)
     aggs = []
@@ -38,7 +38,7 @@ def _positions(counted: DataFrame, groups: Sequence[str], probs: Sequence[float]
     )
 
 
-def _long(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def long_values(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """One (keep…, column_name, value) row per non-null value."""
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]
@@ -58,15 +58,15 @@ def column_quantiles(
     ``exact=False`` swaps in the mergeable sketch, which needs no second pass.
     """
     if not exact:
-        sketch = _long(df, groups, columns).groupBy(*groups, "column_name").agg(
+        sketch = long_values(df, groups, columns).groupBy(*groups, "column_name").agg(
             F.percentile_approx("value", [float(p) for p in probs], 10000).alias("__q")
         )
         return sketch.select(
             *groups, "column_name", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))]
         )
     keys = [*groups, "column_name"]
-    counted = _long(df, groups, columns).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    return _positions(counted, keys, probs)
+    counted = long_values(df, groups, columns).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    return quantiles_of_counts(counted, keys, probs)
 
 
 def one_row(quantiles: DataFrame, columns: Sequence[str], names: Mapping[int, str]) -> DataFrame:
@@ -80,20 +80,21 @@ def one_row(quantiles: DataFrame, columns: Sequence[str], names: Mapping[int, st
     )
 
 
-def grouped_medians(
-    df: DataFrame, grains: Mapping[str, tuple[Sequence[str], Sequence[str]]]
+def grouped_quantiles(
+    df: DataFrame, grains: Mapping[str, tuple[Sequence[str], Sequence[str]]], probs: Mapping[str, float]
 ) -> dict[str, DataFrame]:
-    """Medians of several columns at several grains from one pass over ``df``.
+    """Quantiles of several columns at several grains from one pass over ``df``.
 
     ``grains`` maps a grain name to (key columns, value columns); an empty key list is the whole
-    frame. Rows with a null in a grain's keys do not take part in that grain. The rows are first
-    reduced to counts per (all keys, column, value); only those counts fan out to the grains.
+    frame. ``probs`` maps an output prefix to a probability; columns are ``<prefix>_<column>``. Rows
+    with a null in a grain's keys do not take part in that grain. The rows are first reduced to
+    counts per (all keys, column, value); only those counts fan out to the grains.
     """
     all_keys = list(dict.fromkeys(k for keys, _ in grains.values() for k in keys))
     all_cols = list(dict.fromkeys(c for _, cols in grains.values() for c in cols))
     width = max(len(keys) for keys, _ in grains.values())
     slots = [f"k{i}" for i in range(width)]
-    base = _long(df, all_keys, all_cols).groupBy(*all_keys, "column_name", "value").agg(
+    base = long_values(df, all_keys, all_cols).groupBy(*all_keys, "column_name", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -106,21 +107,32 @@ def grouped_medians(
             wanted, F.struct(F.lit(name).alias("grain"), *[p.alias(s) for p, s in zip(padded, slots)])
         )
 
-    fan = F.filter(F.array(*[entry(n, k, c) for n, (k, c) in grains.items()]), lambda g: g.isNotNull())
+    fan = F.array_compact(F.array(*[entry(n, k, c) for n, (k, c) in grains.items()]))
     keys = ["grain", *slots, "column_name"]
     spread = base.select(F.explode(fan).alias("__g"), "column_name", "value", "n").select(
         "__g.grain", *[f"__g.{s}" for s in slots], "column_name", "value", "n"
     )
     counted = spread.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-    medians = settle(_positions(counted, keys, [0.5]))
+    found = settle(quantiles_of_counts(counted, keys, list(probs.values())))
 
     out = {}
     for name, (grain_keys, cols) in grains.items():
-        mine = medians.filter(F.col("grain") == name).groupBy(*slots[: len(grain_keys)]).agg(
-            *[F.max(F.when(F.col("column_name") == c, F.col("q0"))).alias(f"median_{c}") for c in cols]
+        mine = found.filter(F.col("grain") == name).groupBy(*slots[: len(grain_keys)]).agg(
+            *[
+                F.max(F.when(F.col("column_name") == c, F.col(f"q{i}"))).alias(f"{prefix}_{c}")
+                for c in cols
+                for i, prefix in enumerate(probs)
+            ]
         )
         out[name] = mine.select(
             *[F.col(s).cast(df.schema[k].dataType).alias(k) for s, k in zip(slots, grain_keys)],
-            *[f"median_{c}" for c in cols],
+            *[f"{prefix}_{c}" for c in cols for prefix in probs],
         )
     return out
+
+
+def grouped_medians(
+    df: DataFrame, grains: Mapping[str, tuple[Sequence[str], Sequence[str]]]
+) -> dict[str, DataFrame]:
+    """``median_<column>`` at each grain; see :func:`grouped_quantiles`."""
+    return grouped_quantiles(df, grains, {"median": 0.5})

@@ -332,7 +332,7 @@ _PRE_COLUMNS = (
 
 def preprocessed(spark, sf):
     stored = settle(lending.model_features(raw_tables(spark, sf), AS_OF))
-    return features.preprocess(stored, rare_minimum=30, exact_caps=True)
+    return features.preprocess(stored, rare_minimum=30)
 
 
 @query("preprocessed", _pre_sql())

@@ -69,44 +69,37 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = table(spark, sf_dir, "orders").join(
         table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")
     )
-    segment, order, cust = F.col("c_mktsegment"), F.col("o_orderkey"), F.col("o_custkey")
-    cut = (
-        F.when(segment == "BUILDING", 85)
-        .when(segment == "AUTOMOBILE", 75)
-        .when(segment == "MACHINERY", 65)
-        .when(segment == "FURNITURE", 45)
-        .otherwise(70)
+    tract = "lpad(c_nationkey, 2, '0'), lpad(o_custkey % 3, 3, '0')"
+    decided = joined.selectExpr(
+        "*",
+        """if((o_orderkey * 31) % 100 < case c_mktsegment when 'BUILDING' then 85 when 'AUTOMOBILE' then 75
+           when 'MACHINERY' then 65 when 'FURNITURE' then 45 else 70 end, 1, 0) as approved""",
     )
-    approved = F.when((order * 31) % 100 < cut, 1).otherwise(0)
-    points = (order * 7919) % 700 + approved * 300
-    amount = F.floor("o_totalprice")
-    state, county = digits(F.col("c_nationkey"), 2), digits(cust % 3, 3)
-    priority = F.substring("o_orderpriority", 1, 1)
-    purpose = F.when(priority == "1", 1).when(priority == "2", 2).when(priority == "3", 31).when(priority == "4", 32)
-    sex = F.when(order % 4 == 0, "Male").when(order % 4 == 1, "Female").when(order % 4 == 2, "information not provided")
-    dti = F.when(order % 5 == 0, "<20%").when(order % 5 == 1, "30%-<36%").when(order % 5 == 2, "41")
-    return joined.select(
-        order.alias("loan_application_id"),
-        F.year("o_orderdate").alias("activity_year"),
-        F.concat(F.lit("L"), (cust % 20).cast("string")).alias("lender_entity_name"),
-        state.alias("state_code"),
-        county.alias("county_code"),
-        F.concat(state, county, digits(cust % 10, 6)).alias("census_tract"),
-        F.concat(F.lit("Z"), (cust % 40).cast("string")).alias("zip_code"),
-        segment.alias(RACE),
-        sex.alias("applicant_sex_category"),
-        purpose.otherwise(4).alias("loan_purpose"),
-        amount.alias("loan_amount"),
-        F.floor("c_acctbal").alias("income"),
-        F.when(order % 7 != 0, amount.cast("double") * 1.25).alias("property_value"),
-        dti.when(order % 5 == 3, ">60%").otherwise("Exempt").alias("debt_to_income_ratio"),
-        F.when(cust % 11 != 0, ((cust * 37) % 1000 * 50 + 30000).cast("double")).alias("median_household_income"),
-        F.when(cust % 13 != 0, ((cust * 29) % 400).cast("double") / 4).alias("minority_population_pct"),
-        F.when(cust % 9 == 0, 1).alias("is_distressed"),
-        approved.alias("loan_approved"),
-        approved.alias("actual_value"),
-        (points.cast("double") / 1024).alias("score"),
-        F.when(points >= 512, 1).otherwise(0).alias("predicted_label"),
+    return decided.selectExpr(
+        "o_orderkey as loan_application_id",
+        "year(o_orderdate) as activity_year",
+        "concat('L', o_custkey % 20) as lender_entity_name",
+        "lpad(c_nationkey, 2, '0') as state_code",
+        "lpad(o_custkey % 3, 3, '0') as county_code",
+        f"concat({tract}, lpad(o_custkey % 10, 6, '0')) as census_tract",
+        "concat('Z', o_custkey % 40) as zip_code",
+        f"c_mktsegment as {RACE}",
+        "case o_orderkey % 4 when 0 then 'Male' when 1 then 'Female' when 2 then 'information not provided' end"
+        " as applicant_sex_category",
+        "case substring(o_orderpriority, 1, 1) when '1' then 1 when '2' then 2 when '3' then 31 when '4' then 32"
+        " else 4 end as loan_purpose",
+        "floor(o_totalprice) as loan_amount",
+        "floor(c_acctbal) as income",
+        "if(o_orderkey % 7 <> 0, cast(floor(o_totalprice) as double) * 1.25D, null) as property_value",
+        "case o_orderkey % 5 when 0 then '<20%' when 1 then '30%-<36%' when 2 then '41' when 3 then '>60%'"
+        " else 'Exempt' end as debt_to_income_ratio",
+        "if(o_custkey % 11 <> 0, cast(30000 + (o_custkey * 37) % 1000 * 50 as double), null) as median_household_income",
+        "if(o_custkey % 13 <> 0, cast((o_custkey * 29) % 400 as double) / 4D, null) as minority_population_pct",
+        "if(o_custkey % 9 = 0, 1, null) as is_distressed",
+        "approved as loan_approved",
+        "approved as actual_value",
+        "cast((o_orderkey * 7919) % 700 + 300 * approved as double) / 1024D as score",
+        "if((o_orderkey * 7919) % 700 + 300 * approved >= 512, 1, 0) as predicted_label",
     )
 
 
