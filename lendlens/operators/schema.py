@@ -128,31 +128,26 @@ def each_column(columns: Sequence[str], build) -> list[Column]:
 
 
 def numeric_text_columns(
-    df: DataFrame, threshold: float = 0.9, preserve: Sequence[str] = (), sample: int = 100, strict: bool = False
+    df: DataFrame, threshold: float = 0.9, preserve: Sequence[str] = (), strict: bool = False
 ) -> list[str]:
-    """Text columns whose first ``sample`` non-null values are numbers often enough.
+    """Text columns whose non-null values are numbers often enough.
 
-    One job reads bounded samples: each task keeps at most ``sample`` values of a column.
-    ``strict`` demands a share above the threshold instead of at least the threshold.
+    The share is taken over the whole column in one map-side-combined aggregate, not over the first
+    values of each file, so the answer does not depend on how rows are split into files. ``strict``
+    demands a share above the threshold instead of at least the threshold.
     """
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in preserve]
     if not texts:
         return []
-    parts = []
-    for c in texts:  # limit is pushed to each task; the unions run as one job
-        taken = df.select(F.lit(c).alias("c"), F.col(c).alias("v")).filter("v is not null").limit(sample)
-        parts.append(taken)
-    stacked = parts[0]
-    for p in parts[1:]:
-        stacked = stacked.unionAll(p)
-    shares = stacked.groupBy("c").agg(F.avg(F.col("v").try_cast("double").isNotNull().cast("double")).alias("p"))
-    passes = F.col("p") > threshold if strict else F.col("p") >= threshold
-    return [r["c"] for r in shares.filter(passes).collect()]  # at most one row per column
+    parses = lambda c: F.when(F.col(c).isNotNull(), F.col(c).try_cast("double").isNotNull().cast("int"))
+    shares = df.agg(*[F.avg(parses(c)).alias(c) for c in texts]).first()  # one row
+    enough = (lambda p: p > threshold) if strict else (lambda p: p >= threshold)
+    return [c for c in texts if shares[c] is not None and enough(shares[c])]
 
 
 def infer_numeric(
-    df: DataFrame, threshold: float = 0.9, preserve: Sequence[str] = (), sample: int = 100, strict: bool = False
+    df: DataFrame, threshold: float = 0.9, preserve: Sequence[str] = (), strict: bool = False
 ) -> DataFrame:
     """Cast the columns picked by :func:`numeric_text_columns` to double, the rest stay text."""
-    chosen = set(numeric_text_columns(df, threshold, preserve, sample, strict))
+    chosen = set(numeric_text_columns(df, threshold, preserve, strict))
     return df.select(*[F.col(c).try_cast("double").alias(c) if c in chosen else F.col(c) for c in df.columns])

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lendlens.queries.registry import ORACLES, QUERIES
 
-for _part in ("rates", "fairness", "features", "cleaning", "ordering", "profiling", "models", "pipeline"):
+for _part in ("rates", "fairness", "features", "cleaning", "ordering", "profiling", "models", "landing", "pipeline"):
     import_module(f"lendlens.queries.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]

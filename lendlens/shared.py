@@ -28,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def new_path(spark: SparkSession) -> str:
+    """A fresh path in this application's part of the shared folder."""
+    root = shared_folder(spark).rstrip("/")
+    return f"{root}/lendlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return it as a plain Parquet scan.
 
@@ -35,6 +41,6 @@ def settle(df: DataFrame) -> DataFrame:
     checkpoint it is compressed, column-pruned on re-read and has file-size statistics.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lendlens/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
