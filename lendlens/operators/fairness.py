@@ -277,15 +277,28 @@ def tract_group_scores(
     threshold: float = 0.5,
 ) -> DataFrame:
     """Score and outcome aggregates per (tract, group), without unknown groups and bad tract ids."""
-    kept = df.filter((F.col(group) != UNKNOWN_GROUP) & ~F.col(tract).isin(BAD_TRACTS))
-    return kept.groupBy(tract, group).agg(
+    c = F.col
+    kept = df.filter((c(group) != UNKNOWN_GROUP) & ~c(tract).isin(BAD_TRACTS))
+    yes = c(actual) == 1
+    # the county joins the keys first: a max over text would sort all rows instead of hashing them
+    parts = kept.groupBy(tract, group, county).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(score).alias("s"),
+        F.count(score).alias("m"),
+        F.count_if(yes).alias("yes"),
+        F.count_if(c(actual) == 0).alias("no"),
+        F.sum(F.when(yes, c(score))).alias("s_yes"),
+        F.count(F.when(yes, c(score))).alias("m_yes"),
+        F.count_if(c(score) >= threshold).alias("pred"),
+    )
+    return parts.groupBy(tract, group).agg(
         F.max(county).alias(county),
-        F.count(F.lit(1)).alias("total_apps"),
-        F.avg(score).alias("avg_score"),
-        F.count_if(F.col(actual) == 1).alias("actual_positives"),
-        F.count_if(F.col(actual) == 0).alias("actual_denials"),
-        F.avg(F.when(F.col(actual) == 1, F.col(score))).alias("avg_score_given_positive"),
-        F.count_if(F.col(score) >= threshold).alias("predicted_positives"),
+        F.sum("n").alias("total_apps"),
+        ratio(F.sum("s"), F.sum("m")).alias("avg_score"),
+        F.sum("yes").alias("actual_positives"),
+        F.sum("no").alias("actual_denials"),
+        ratio(F.sum("s_yes"), F.sum("m_yes")).alias("avg_score_given_positive"),
+        F.sum("pred").alias("predicted_positives"),
     )
 
 
@@ -350,12 +363,20 @@ def counterfactual_by_tract(
 ) -> DataFrame:
     """Mean scores before and after a group change per (tract, from, to)."""
     kept = results.filter(F.col("score_change").isNotNull() & ~F.col(tract).isin(BAD_TRACTS))
-    return kept.groupBy(tract, "original_race", "new_race").agg(
+    measures = {
+        "previous_score": "avg_prev_score",
+        "counterfactual_score": "avg_counterfactual_score",
+        "score_change": "avg_score_change",
+    }
+    keys = [tract, "original_race", "new_race"]
+    parts = kept.groupBy(*keys, county).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(m).alias(f"{p}_{m}") for m in measures for p, f in (("s", F.sum), ("m", F.count))],
+    )
+    return parts.groupBy(*keys).agg(
         F.max(county).alias(county),
-        F.count(F.lit(1)).alias("total_apps"),
-        F.avg("previous_score").alias("avg_prev_score"),
-        F.avg("counterfactual_score").alias("avg_counterfactual_score"),
-        F.avg("score_change").alias("avg_score_change"),
+        F.sum("n").alias("total_apps"),
+        *[ratio(F.sum(f"s_{m}"), F.sum(f"m_{m}")).alias(name) for m, name in measures.items()],
     )
 
 

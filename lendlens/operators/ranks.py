@@ -69,21 +69,26 @@ def running_totals(
     row and ``<name>_total`` the sum of the group. Pre-aggregate equal order values first, so that
     a score or amount shared by a third of all rows is one row here.
     """
-    keys = [F.col(g) for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
-    placed = settle(df.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id()))
-    slice_keys = ["__part", *groups]
-    tallies = placed.groupBy(*slice_keys).agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
-    whole = W.partitionBy(*(groups or [F.lit(0)]))
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    placed = settle(
+        df.repartitionByRange(*[F.col(g) for g in groups], *order).withColumn("__part", F.spark_partition_id())
+    )
+    # as one struct, null group values compare equal under a plain equi-join
+    group = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)]) if groups else F.lit(0)
+    placed = placed.withColumn("__group", group)
+    tallies = placed.groupBy("__part", "__group").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    whole = W.partitionBy("__group")
     earlier = whole.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     bases = tallies.select(
-        *slice_keys,
+        "__part",
+        "__group",
         *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in sums],
         *[F.sum(f"__s_{n}").over(whole).alias(f"{n}_total") for n in sums],
     )
-    within = W.partitionBy(*slice_keys).orderBy(*keys[len(groups):]).rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("__part", "__group").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     local = placed.select("*", *[F.sum(c).over(within).alias(f"__l_{n}") for n, c in sums.items()])
-    # both sides are already hash-partitioned by (slice, group), so this join moves no big rows
-    joined = match_on(local, bases, slice_keys, "inner")
+    # the window leaves the rows hash-partitioned by (slice, group), so this join does not move them
+    joined = local.join(bases, ["__part", "__group"])
     return joined.select(
         *df.columns,
         *[(F.col(f"__l_{n}") + F.col(f"__b_{n}")).alias(n) for n in sums],
