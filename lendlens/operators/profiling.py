@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lendlens.functions.numbers import ratio
-from lendlens.operators.quantiles import long_values, quantiles_of_counts
+from lendlens.operators.quantiles import column_name, long_values, quantiles_of_counts
 from lendlens.shared import settle
 
 
@@ -115,8 +115,8 @@ def numeric_outliers(
 ) -> DataFrame:
     """Rows outside the quartile fences and beyond ``z`` standard deviations, per column."""
     columns = list(columns or numeric_columns(df))
-    counted = settle(long_values(df, [], columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n")))
-    v, n, key = F.col("value"), F.col("n"), "column_name"
+    counted = settle(long_values(df, [], columns).groupBy("column_id", "value").agg(F.count(F.lit(1)).alias("n")))
+    v, n, key = F.col("value"), F.col("n"), "column_id"
     means = counted.groupBy(key).agg((F.sum(v * n) / F.sum(n)).alias("__mean"))
     spread = (
         counted.join(means, key)
@@ -133,7 +133,7 @@ def numeric_outliers(
         F.coalesce(F.sum(F.when(far, n)), F.lit(0)).alias("z_outliers"),
     ).withColumn("total_rows", rows)
     pct = lambda c: (ratio(F.col(c), F.col("total_rows")) * 100).alias(f"{c}_pct")
-    return found.select("column_name", "total_rows", "iqr_outliers", pct("iqr_outliers"), "z_outliers", pct("z_outliers"))
+    return found.select(column_name(columns), "total_rows", "iqr_outliers", pct("iqr_outliers"), "z_outliers", pct("z_outliers"))
 
 
 def rare_categories(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 0.01) -> DataFrame:

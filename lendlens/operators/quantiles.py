@@ -8,28 +8,31 @@ range-partitioned values locate the wanted positions, and only those rows are ke
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlens.operators.ranks import running_totals
 from lendlens.shared import settle
 
 
 def quantiles_of_counts(counted: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(groups, value, n) → (groups, q0, q1, …) by linear interpolation between neighbours."""
+    """(groups, value, n) to (groups, q0, q1, …) by linear interpolation between neighbours."""
     totals = running_totals(counted, ["value"], {"upto": "n"}, groups)
+    target = lambda p: F.lit(float(p)) * (F.col("upto_total") - 1)
+    covers = lambda pos: (F.col("upto") > pos) & (F.col("upto") - F.col("n") <= pos)
+    ends = [(F.floor(target(p)), F.ceil(target(p))) for p in probs]
+    # almost no value is at a wanted position: drop the rest before grouping
+    near = totals.filter(reduce(or_, [covers(pos) for pair in ends for pos in pair]))
     aggs = []
-    for i, p in enumerate(probs):
-        target = F.lit(float(p)) * (F.col("upto_total") - 1)
-        below, above = F.floor(target), F.ceil(target)
-        covers = lambda pos: (F.col("upto") > pos) & (F.col("upto") - F.col("n") <= pos)
+    for i, (p, (below, above)) in enumerate(zip(probs, ends)):
         aggs += [
             F.max(F.when(covers(below), F.col("value"))).alias(f"lo{i}"),
             F.max(F.when(covers(above), F.col("value"))).alias(f"hi{i}"),
-            F.max(target - below).alias(f"f{i}"),
+            F.max(target(p) - below).alias(f"f{i}"),
         ]
-    picked = totals.groupBy(*groups).agg(*aggs)
-    return picked.select(
+    return near.groupBy(*groups).agg(*aggs).select(
         *groups,
         *[
             (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(f"q{i}")
@@ -39,17 +42,22 @@ def quantiles_of_counts(counted: DataFrame, groups: Sequence[str], probs: Sequen
 
 
 def long_values(df: DataFrame, keep: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """One (keep…, column_name, value) row per non-null value."""
+    """One (keep…, column_id, value) row per non-null value; the id is the column's position."""
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]
+        *[F.struct(F.lit(i).alias("column_id"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)]
     )
     return (
         df.select(*keep, F.explode(pairs).alias("__p"))
-        .select(*keep, "__p.column_name", "__p.value")
+        .select(*keep, "__p.column_id", "__p.value")
         .filter(F.col("value").isNotNull())
     )
 
 
+def column_name(columns: Sequence[str]) -> Column:
+    """Name for a ``column_id``."""
+    return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column_id") + 1).alias("column_name")
+
+
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], groups: Sequence[str] = (), exact: bool = True
 ) -> DataFrame:
@@ -57,16 +65,17 @@ def column_quantiles(
 
     ``exact=False`` swaps in the mergeable sketch, which needs no second pass.
     """
-    if not exact:
-        sketch = long_values(df, groups, columns).groupBy(*groups, "column_name").agg(
-            F.percentile_approx("value", [float(p) for p in probs], 10000).alias("__q")
+    keys = [*groups, "column_id"]
+    values = long_values(df, groups, columns)
+    if exact:
+        counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+        found = quantiles_of_counts(counted, keys, probs)
+    else:
+        sketch = F.percentile_approx("value", [float(p) for p in probs], 10000).alias("__q")
+        found = values.groupBy(*keys).agg(sketch).select(
+            *keys, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))]
         )
-        return sketch.select(
-            *groups, "column_name", *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))]
-        )
-    keys = [*groups, "column_name"]
-    counted = long_values(df, groups, columns).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    return quantiles_of_counts(counted, keys, probs)
+    return found.select(*groups, column_name(columns), *[f"q{i}" for i in range(len(probs))])
 
 
 def one_row(quantiles: DataFrame, columns: Sequence[str], names: Mapping[int, str]) -> DataFrame:
@@ -92,34 +101,39 @@ def grouped_quantiles(
     """
     all_keys = list(dict.fromkeys(k for keys, _ in grains.values() for k in keys))
     all_cols = list(dict.fromkeys(c for _, cols in grains.values() for c in cols))
-    width = max(len(keys) for keys, _ in grains.values())
-    slots = [f"k{i}" for i in range(width)]
-    base = long_values(df, all_keys, all_cols).groupBy(*all_keys, "column_name", "value").agg(
+    slots = [f"k{i}" for i in range(max(len(keys) for keys, _ in grains.values()))]
+    base = long_values(df, all_keys, all_cols).groupBy(*all_keys, "column_id", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
 
-    def entry(name: str, keys: Sequence[str], cols: Sequence[str]):
-        wanted = F.col("column_name").isin(list(cols))
-        for k in keys:
-            wanted = wanted & F.col(k).isNotNull()
-        padded = [F.col(k).cast("string") for k in keys] + [F.lit(None).cast("string")] * (width - len(keys))
-        return F.when(
-            wanted, F.struct(F.lit(name).alias("grain"), *[p.alias(s) for p, s in zip(padded, slots)])
-        )
-
-    fan = F.array_compact(F.array(*[entry(n, k, c) for n, (k, c) in grains.items()]))
-    keys = ["grain", *slots, "column_name"]
-    spread = base.select(F.explode(fan).alias("__g"), "column_name", "value", "n").select(
-        "__g.grain", *[f"__g.{s}" for s in slots], "column_name", "value", "n"
+    wanted = F.create_map(
+        *[
+            x
+            for i, c in enumerate(all_cols)
+            for x in (F.lit(i), F.array(*[F.lit(g) for g, (_, cols) in enumerate(grains.values()) if c in cols]))
+        ]
     )
+    fan = base.withColumn("grain", F.explode(wanted[F.col("column_id")]))
+    slot_keys: list[Column] = []
+    for i, name in enumerate(slots):
+        value = F.lit(None).cast("string")
+        for g, (keys, _) in enumerate(grains.values()):
+            if i < len(keys):
+                value = F.when(F.col("grain") == g, F.col(keys[i]).cast("string")).otherwise(value)
+        slot_keys.append(value.alias(name))
+    sizes = F.element_at(F.array(*[F.lit(len(keys)) for keys, _ in grains.values()]), F.col("grain") + 1)
+    spread = fan.select("grain", *slot_keys, "column_id", "value", "n", sizes.alias("__size"))
+    for i, name in enumerate(slots):
+        spread = spread.filter((F.col("__size") <= i) | F.col(name).isNotNull())
+    keys = ["grain", *slots, "column_id"]
     counted = spread.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
     found = settle(quantiles_of_counts(counted, keys, list(probs.values())))
 
     out = {}
-    for name, (grain_keys, cols) in grains.items():
-        mine = found.filter(F.col("grain") == name).groupBy(*slots[: len(grain_keys)]).agg(
+    for g, (name, (grain_keys, cols)) in enumerate(grains.items()):
+        mine = found.filter(F.col("grain") == g).groupBy(*slots[: len(grain_keys)]).agg(
             *[
-                F.max(F.when(F.col("column_name") == c, F.col(f"q{i}"))).alias(f"{prefix}_{c}")
+                F.max(F.when(F.col("column_id") == all_cols.index(c), F.col(f"q{i}"))).alias(f"{prefix}_{c}")
                 for c in cols
                 for i, prefix in enumerate(probs)
             ]
