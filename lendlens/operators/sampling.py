@@ -55,6 +55,21 @@ def sample_n_per_group(
     return _keep(df, cutoffs, groups, k, id_column).filter("__in").drop("__in")
 
 
+def hold_out_per_group(
+    df: DataFrame,
+    groups: Sequence[str],
+    n: int,
+    id_column: str,
+    seed: int = 42,
+    key: Column | None = None,
+    span: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``n`` rows of every group, and all other rows. Both are filters of ``df``: no anti-join by id."""
+    k, s = _order(id_column, seed, key, span)
+    marked = _keep(df, key_cutoffs(df, k, id_column, s, F.lit(n), groups), groups, k, id_column)
+    return marked.filter("__in").drop("__in"), marked.filter("not __in").drop("__in")
+
+
 def sample_fraction_per_group(
     df: DataFrame,
     groups: Sequence[str],

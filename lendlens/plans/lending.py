@@ -122,15 +122,22 @@ def training_sample(
 ) -> DataFrame:
     """Proportional sample by year and group without the validation rows, in numbered random chunks."""
     rest = enrich.exclude_ids(modelled, validation, "loan_application_id")
-    sample = sampling.stratified_sample(
-        rest,
-        ["activity_year", "applicant_derived_racial_category"],
-        "loan_approved",
-        target,
-        "loan_application_id",
-        seed,
-    )
-    return sampling.assign_chunks(sample, chunk, "loan_application_id", seed + 1)
+    return _chunked_sample(rest, target, chunk, seed)
+
+
+def training_and_validation(
+    modelled: DataFrame, n: int = 100_000, target: int = 7_000_000, chunk: int = 600_000, seed: int = 42
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`training_sample` and :func:`validation_sample` in one go, without joining wide rows by id."""
+    validation, rest = sampling.hold_out_per_group(modelled, ["activity_year"], n, "loan_application_id", seed)
+    return _chunked_sample(rest, target, chunk, seed), validation
+
+
+def _chunked_sample(rest: DataFrame, target: int, chunk: int, seed: int) -> DataFrame:
+    strata = ["activity_year", "applicant_derived_racial_category"]
+    # another seed than the hold-out's, whose cut would otherwise skew what is left
+    sample = sampling.stratified_sample(rest, strata, "loan_approved", target, "loan_application_id", seed + 1)
+    return sampling.assign_chunks(sample, chunk, "loan_application_id", seed + 2)
 
 
 def interleaved_training(table: DataFrame, chunk: int = 400_000, seed: int = 42, limit: int | None = None) -> DataFrame:

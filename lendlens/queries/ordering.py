@@ -90,6 +90,17 @@ def _(spark, sf):
     return sampling.sample_n_per_group(df, ["loan_approved"], 500, ID, **_keyed())
 
 
+@query(
+    "hold_out_rest",
+    LOANS
+    + f"""SELECT loan_application_id, activity_year FROM (SELECT *, row_number() OVER
+      (PARTITION BY activity_year ORDER BY {_KEY}) AS rn FROM loans) WHERE rn > 100""",
+)
+def _(spark, sf):
+    df = loans(spark, sf).select(ID, "activity_year")
+    return sampling.hold_out_per_group(df, ["activity_year"], 100, ID, **_keyed())[1]
+
+
 @query(
     "sample_n",
     LOANS + f"SELECT loan_application_id FROM loans ORDER BY {_KEY} LIMIT 777",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, types as T
 
 from lendlens.operators.schema import enforce_schema, validate_schema
@@ -53,10 +54,13 @@ def materialize(df: DataFrame, name: str, kind: str = "table") -> DataFrame:
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
     """Append rows whose key is not stored yet; running it twice adds nothing."""
-    spark = df.sparkSession
     fresh = df.dropDuplicates([key])
-    if _has_data(spark, path):
-        stored = spark.read.schema(df.schema).parquet(path).select(key)
+    try:
+        stored = df.sparkSession.read.schema(df.schema).parquet(path).select(key)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
         fresh = fresh.join(stored, key, "left_anti").select(*df.columns)
     fresh.write.mode("append").parquet(path)
 
@@ -65,11 +69,3 @@ def append_log(df: DataFrame, path: str, schema: str) -> None:
     """Append metric, importance or experiment rows with a fixed schema."""
     typed = df.sparkSession.createDataFrame([], schema).schema
     enforce_schema(df, typed).write.mode("append").parquet(path)
-
-
-def _has_data(spark, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    return bool(fs.exists(target)) and any(
-        s.getPath().getName().endswith(".parquet") for s in fs.listStatus(target)
-    )

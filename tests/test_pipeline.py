@@ -213,8 +213,10 @@ def test_whole_pipeline_invariants(spark):
     assert quality.rows_with_nulls(t, must).isEmpty()
     modelled = features.settle(lending.model_set(t))
     quality.assert_same_count(t, modelled)
-    validation = lending.validation_sample(modelled, 20)
-    train = lending.training_sample(modelled, validation, 200, 60)
+    train, validation = lending.training_and_validation(modelled, 20, 200, 60)
+    quality.assert_same_count(lending.validation_sample(modelled, 20), validation)
+    other = lending.training_sample(modelled, validation, 200, 60)
+    assert train.select("loan_application_id").exceptAll(other.select("loan_application_id")).isEmpty()
     assert train.join(validation, "loan_application_id", "left_semi").isEmpty()
     numeric = ["loan_amount", "income", "prior_approval_rate"]
     model = modeling.train(train, "logistic", "loan_approved", numeric, [RACE], {"maxIter": 5})
