@@ -32,10 +32,12 @@ def quantiles_of_counts(counted: DataFrame, groups: Sequence[str], probs: Sequen
             F.max(F.when(covers(above), F.col("value"))).alias(f"hi{i}"),
             F.max(target(p) - below).alias(f"f{i}"),
         ]
+    # weighted ends, as the built-in percentile does it
+    between = lambda i: F.col(f"lo{i}") * (1 - F.col(f"f{i}")) + F.col(f"hi{i}") * F.col(f"f{i}")
     return near.groupBy(*groups).agg(*aggs).select(
         *groups,
         *[
-            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}")).alias(f"q{i}")
+            F.when(F.col(f"lo{i}") == F.col(f"hi{i}"), F.col(f"lo{i}")).otherwise(between(i)).alias(f"q{i}")
             for i in range(len(probs))
         ],
     )

@@ -108,7 +108,8 @@ def _(spark, sf):
 
 _CAPPED = ["loan_amount", "property_value", "income"]
 _Q = ", ".join(
-    f"quantile_cont({c}::DOUBLE, 0.01) AS {c}_lower_cap, quantile_cont({c}::DOUBLE, 0.99) AS {c}_upper_cap" for c in _CAPPED
+    f"round(quantile_cont({c}::DOUBLE, 0.01), 6) AS {c}_lower_cap, round(quantile_cont({c}::DOUBLE, 0.99), 6) AS {c}_upper_cap"
+    for c in _CAPPED
 )
 
 
@@ -119,9 +120,15 @@ def _capped_sql(c):
     )
 
 
+def _rounded_caps(df):
+    """Interpolated percentiles may differ between engines in the last bit."""
+    caps = features.percentile_caps(df, _CAPPED, exact=True)
+    return caps.select(*[F.round(c, 6).alias(c) for c in caps.columns])
+
+
 @query("percentile_caps", LOANS + f"SELECT {_Q} FROM loans")
 def _(spark, sf):
-    return features.percentile_caps(loans(spark, sf), _CAPPED, exact=True)
+    return _rounded_caps(loans(spark, sf))
 
 
 @query(
@@ -130,7 +137,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = loans(spark, sf).select(ID, *_CAPPED)
-    caps = features.constants(features.percentile_caps(df, _CAPPED, exact=True))
+    caps = features.constants(_rounded_caps(df))
     return df.select(
         ID, *[N.winsorise(F.col(c), caps[f"{c}_lower_cap"], caps[f"{c}_upper_cap"]).alias(f"{c}_capped") for c in _CAPPED]
     )

@@ -265,7 +265,7 @@ def _pre_sql() -> str:
         *[f"round({c}_capped, 6) AS {c}_capped" for c in logs + second],
         *[f"round({c}_log, 6) AS {c}_log" for c in logs],
         "property_value_filled AS property_value",
-        *[f"{c}_filled AS {c}" for c in acs + market],
+        *[f"round({c}_filled, 6) AS {c}" for c in acs + market],
         "rn",
     ]
     return (
@@ -339,11 +339,12 @@ def preprocessed(spark, sf):
 def _(spark, sf):
     df = preprocessed(spark, sf)
     logs = [f"{c}_log" for c in features.LOG_COLUMNS]
-    # interpolated caps may differ in the last bit
+    # interpolated caps and medians may differ between engines in the last bit
+    filled = [F.round(c, 6).alias(c) for c in features.ACS_COLUMNS + features.MARKET_COLUMNS]
     capped = [F.round(f"{c}_capped", 6).alias(f"{c}_capped") for c in features.LOG_COLUMNS + features.RATIO_COLUMNS]
     bins = [f"{c}_log_bin" for c in features.QUARTILE_COLUMNS]
     return df.select(
-        *_PRE_COLUMNS, *bins, *capped, *features.ACS_COLUMNS, *features.MARKET_COLUMNS, "rn", *[F.round(c, 6).alias(c) for c in logs]
+        *_PRE_COLUMNS, *bins, *capped, *filled, "rn", *[F.round(c, 6).alias(c) for c in logs]
     )
 
 
