@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lendlens.functions.lending import or_unknown
 from lendlens.operators import features
 from lendlens.plans import lending
 from lendlens.queries.registry import query
@@ -403,8 +404,10 @@ def _(spark, sf):
 
 
 def _audit(spark, sf, name):
-    t = settle(preprocessed(spark, sf))
     raw = raw_tables(spark, sf)
+    # the audit needs ids, places and outcomes only, not the imputed columns
+    race = "applicant_derived_racial_category"
+    t = settle(lending.model_features(raw, AS_OF).withColumn(race, or_unknown(F.col(race))))
     zips = settle(
         raw.crosswalk.filter("residential_ratio > 0").select("census_tract", "zip_code", "city_name", "state_name")
     )
