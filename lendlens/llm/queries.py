@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lendlens.llm import chat_format, decontaminate, mixing, quality_rules
+from lendlens.llm import (
+    chat_format,
+    decontaminate,
+    lang_id,
+    mixing,
+    quality_rules,
+    resharding,
+    secret_scan,
+    token_counts,
+)
 from lendlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +24,10 @@ ORACLES: dict[str, str] = {}
 #: Target shares: the dominant source is held to four parts, every other source gets one.
 SOURCE_WEIGHTS = {"src0": 4.0}
 MIX_SEED = 17
+#: Shards of the layout that op10 starts from (documents dealt by their id) and of the one it makes.
+OLD_SHARDS, NEW_SHARDS = 12, 16
+#: Vocabulary files are looked up by the package that ships them.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def query(name: str, sql: str | None = None):
@@ -158,3 +171,55 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~quality_rules.passes(bits, "base")).alias("base_failed"),
         quality_rules.passes(bits, "v2").alias("kept"),
     )
+
+
+@query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = lang_id.held_out()
+    found = lang_id.identify(docs.select("doc_id", "text"), docs.filter(~held))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = lang_id.held_out()
+    found = secret_scan.scan(table(spark, sf_dir, "documents"), ~held)
+    return found.select(
+        "doc_id",
+        "start",
+        F.char_length("value").alias("n_chars"),
+        F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
+        held.alias("held_out"),
+        "score",
+        "kept",
+    )
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+def old_shard(shards: int = OLD_SHARDS):
+    """Layout that the resharding queries start from: documents dealt by a hash of the id, null to 0."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % shards, F.lit(0)).cast("int")
+
+
+@query("op10_resharding")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    written = resharding.reshard(docs, old_shard(), NEW_SHARDS)
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return written.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "__place.shard",
+        "__place.slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("__place.old").alias("old_shard"),
+    )
