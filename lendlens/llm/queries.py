@@ -10,8 +10,10 @@ from lendlens.llm import (
     chat_format,
     decontaminate,
     lang_id,
+    lsh_forest,
     mixing,
     quality_rules,
+    repeat_dedup,
     resharding,
     secret_scan,
     token_counts,
@@ -181,6 +183,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+@query("op3_repeated_strings")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeat_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op4_secret_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = lang_id.held_out()
@@ -196,6 +211,27 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_NEAR_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op5_near_duplicates",
+    rf"""WITH RECURSIVE d AS (SELECT doc_id, {_NEAR_WORDS} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS t
+          FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (t) JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+              WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+    reach(doc_id, to_id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.to_id),
+    c AS (SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY 1)
+    SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM c LEFT JOIN n USING (doc_id)""",
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
