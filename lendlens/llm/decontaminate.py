@@ -7,6 +7,8 @@ are joined; each hit is then extended to the whole window and checked against th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlens.llm.common import NON_WORD_RUN, ascii_lower, let, or_empty, split_words
@@ -73,6 +75,17 @@ def _chain(words: Column) -> Column:
     return F.aggregate(words, F.lit(42).cast("bigint"), lambda a, x: F.xxhash64(a, x))
 
 
+def _every_stretch(size: int) -> Callable[[Column], Column]:
+    """For short items: the number of words, and hash and position of every ``size`` words in a row."""
+
+    def of(words: Column) -> Column:
+        starts = F.when(F.size(words) >= size, F.sequence(F.lit(0), F.size(words) - size))
+        one = lambda s: F.struct(_chain(F.slice(words, s + 1, F.lit(size))).alias("fp"), s.alias("at"))
+        return F.struct(F.size(words).alias("n"), F.transform(starts, one).alias("p"))
+
+    return of
+
+
 def _covered(hits: Column) -> Column:
     """Words covered by (start, len) spans that are sorted by start."""
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
@@ -118,14 +131,8 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = G
         F.col("__p").bitwiseAND(_LOW).cast("int").alias("at"),
     )
     for size in lengths:
-
-        def each(w: Column, size: int = size) -> Column:
-            starts = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size))
-            one = lambda s: F.struct(_chain(F.slice(w, s + 1, F.lit(size))).alias("fp"), s.alias("at"))
-            return numbered(w, F.transform(starts, one))
-
         found = found.unionByName(
-            texts.select("__key", let(words_of(text), each).alias("__x"))
+            texts.select("__key", let(words_of(text), _every_stretch(size)).alias("__x"))
             .select("__key", F.col("__x.n").alias("__n"), F.explode("__x.p").alias("x"))
             .select("__key", "__n", F.lit(size).alias("len"), "x.fp", "x.at")
         )

@@ -6,7 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lendlens.llm.common import or_empty, unit_hash
+from lendlens.llm.common import let, or_empty, unit_hash
 from lendlens.shared import settle
 
 #: Larger rates are split into equal parts, as exp(-rate) would round to zero.
@@ -71,14 +71,10 @@ def replicate(
 
     def draw(j: Column) -> Column:
         u = unit_hash(F.lit(str(seed)), j.cast("string"), F.col("__key"))
-        return F.size(F.filter("__cdf", lambda c: c <= u))
-
-    drawn = (
-        docs.select(*own, key.alias("__key"))
-        .join(rates, F.col(source).eqNullSafe(F.col("__s")))
-        .withColumn("__u", unit_hash(F.lit(str(seed)), F.lit("0"), F.col("__key")))
-    )
-    first = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+        return let(u, lambda x: F.size(F.filter("__cdf", lambda c: c <= x)))
+
+    drawn = docs.select(*own, key.alias("__key")).join(rates, F.col(source).eqNullSafe(F.col("__s")))
+    first = draw(F.lit(0))
     more = F.aggregate(F.sequence(F.lit(1), F.col("__parts") - 1), F.lit(0), lambda a, j: a + draw(j))
     count = first + F.when(F.col("__parts") > 1, more).otherwise(0)
     drawn = drawn.select(*own, "__key", F.col("__rate").alias("rate"), count.cast("int").alias("copies"))

@@ -152,9 +152,9 @@ def ablations(book: DataFrame, policy: str = "v2", rules: Sequence[Rule] = RULES
     mask = policy_mask(policy, rules)
     counts = book.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("__n"))
     bits = [(i, r.name) for i, r in enumerate(rules) if mask >> i & 1]
-    options = F.array(*[F.struct(F.lit(i).alias("bit"), F.lit(name).alias("rule")) for i, name in bits])
+    options = F.array(*[F.struct(F.lit(i).alias("bit"), F.lit(name).alias("rule"), F.lit(1 << i).cast("bigint").alias("own")) for i, name in bits])
     per = counts.select("*", F.explode(options).alias("__o"))
-    own = F.shiftleft(F.lit(1).cast("bigint"), F.col("__o.bit"))
+    own = F.col("__o.own")
     failed = F.col("fail_bits").bitwiseAND(F.lit(mask).cast("bigint"))
     total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("__n"))), F.lit(0))
     return per.groupBy(F.col("__o.bit").alias("bit"), F.col("__o.rule").alias("rule")).agg(

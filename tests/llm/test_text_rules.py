@@ -136,7 +136,7 @@ def test_hits_on_tables(spark):
 
 
 def test_mixing(spark):
-    rows = [(i, f"text {i} " * (i % 7 + 1), None if i % 5 == 0 else f"s{i % 3}", "x") for i in range(300)] + [(300, None, "rare", "x")]
+    rows = [(i, f"text {i} " * (i % 7 + 1), None if i % 5 == 0 else f"s{i % 3}", "x") for i in range(300)] + [(300, None, "s1", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string")
     want = copies([(r[0], r[2], r[1]) for r in rows], {"s0": 5.0}, 1.0, 3)
     out = mixing.replicate(df, {"s0": 5.0}, seed=3).collect()
