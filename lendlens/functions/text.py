@@ -54,7 +54,7 @@ def pad_code(c: Column, width: int) -> Column:
 
 def whole_code(c: Column, width: int) -> Column:
     """Numeric text to a zero-filled code: ``'1.0'`` to ``'01'``; unparseable is null."""
-    return F.lpad(c.try_cast("double").cast("bigint").cast("string"), width, "0")
+    return F.lpad(c.try_cast("double").try_cast("bigint").cast("string"), width, "0")
 
 
 def fips_tract(state: Column, county: Column, tract: Column) -> Column:

@@ -7,11 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlens import codes
-from lendlens.functions.lending import dti_band, units_bucket
+from lendlens.functions.lending import co_applicant_present, dti_band, units_bucket
 from lendlens.functions.text import clean_number, not_exempt, to_whole
 from lendlens.operators.schema import enforce_schema
 from lendlens.schemas import canonical_lar
 
+# Amount and term fields.
 _MONEY = "total_loan_costs total_points_and_fees origination_charges discount_points lender_credits".split()
 _TERMS = "loan_term prepayment_penalty_term intro_rate_period".split()
 
@@ -97,7 +98,7 @@ def clean_lar(
             above = F.col(f"{who}_age_above_62").cast("string")
             out[f"{who}_age_above_62"] = F.when(above == "Yes", 1).when(above == "No", 0).otherwise(to_whole(above))
     if "co_applicant_ethnicity_1" in have:
-        out["co_applicant_present"] = (to_whole(F.col("co_applicant_ethnicity_1")) != 5).cast("bigint")
+        out["co_applicant_present"] = co_applicant_present(to_whole(F.col("co_applicant_ethnicity_1"))).cast("bigint")
     cleaned = df.select(*[c.alias(n) for n, c in out.items()])
     return enforce_schema(cleaned, canonical_lar(), keep_extra=True)
 

@@ -82,9 +82,13 @@ def enrich_distress(apps: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def attach_upper(df: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
-    """Left join on a key compared without regard to case."""
-    renamed = dim.withColumn("__k", F.upper(dim_key)).drop(dim_key)
-    return df.withColumn("__k", F.upper(key)).join(renamed, "__k", "left").drop("__k")
+    """Left join on a key compared without regard to case.
+
+    Rows of ``dim`` whose keys differ by case only count as one: the fullest, then the smallest. The
+    rows of ``df`` are never multiplied.
+    """
+    named = best_row(dim.withColumn("__k", F.upper(dim_key)).drop(dim_key), ["__k"])
+    return df.withColumn("__k", F.upper(key)).join(named, "__k", "left").drop("__k")
 
 
 def fill_state(df: DataFrame, fips: DataFrame) -> DataFrame:

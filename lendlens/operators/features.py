@@ -42,14 +42,14 @@ def constants(row: DataFrame) -> Column:
 
 
 def percentile_caps(
-    df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99, exact: bool = False
+    df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99, exact: bool = True
 ) -> DataFrame:
     """One row of ``<column>_lower_cap`` and ``<column>_upper_cap``."""
     q = column_quantiles(df, columns, [low, high], exact=exact)
     return one_row(q, columns, {0: "{}_lower_cap", 1: "{}_upper_cap"})
 
 
-def quartile_cuts(df: DataFrame, columns: Sequence[str], exact: bool = False) -> DataFrame:
+def quartile_cuts(df: DataFrame, columns: Sequence[str], exact: bool = True) -> DataFrame:
     q = column_quantiles(df, columns, [0.25, 0.5, 0.75], exact=exact)
     return one_row(q, columns, {0: "{}_q1", 1: "{}_q2", 2: "{}_q3"})
 

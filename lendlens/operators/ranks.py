@@ -11,10 +11,12 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from lendlens.shared import settle
 
+#: Rows of an equal-width slice, about.
+SLICE_ROWS = 100_000
 _ROW_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
 
 
@@ -97,15 +99,38 @@ def running_totals(
 
 
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """The row of each key that sorts first by ``order``, then by all remaining columns.
+    """The row of each key that sorts first by ``order``, then has fewer nulls, then smaller values.
 
     A mergeable ``min`` of structs: map tasks reduce a key to one candidate before the shuffle, so a
-    key holding a third of the rows costs no more than any other. Nulls sort first, as in ``min``;
-    wrap a column with :func:`descending` to prefer large values and put nulls last.
+    key holding a third of the rows costs no more than any other. Nulls in ``order`` sort first, as in
+    ``min``; wrap a column with :func:`descending` to prefer large values and put nulls last. Remaining
+    columns are compared in their order in ``df``, nulls last.
     """
     rest = [c for c in df.columns if c not in keys]
-    ranked = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], *[F.col(c) for c in rest])
-    return df.groupBy(*keys).agg(F.min(ranked).alias("__best")).select(*keys, *[f"__best.{c}" for c in rest])
+    blanks = sum((F.col(c).isNull().cast("int") for c in rest), F.lit(0))
+    ranked = F.struct(
+        *[o.alias(f"o{i}") for i, o in enumerate(order)],
+        blanks.alias("blanks"),
+        *[x for i, c in enumerate(rest) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))],
+    )
+    best = df.groupBy(*keys).agg(F.min(ranked).alias("__best"))
+    return best.select(*keys, *[F.col(f"__best.v{i}").alias(c) for i, c in enumerate(rest)])
+
+
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """:func:`best_row` for wide rows whose keys seldom repeat: only rows of repeated keys are compared.
+
+    Keys are counted by hash; the repeated ones are settled, so Spark knows their size and broadcasts
+    them while they are few. All other rows are neither sorted nor shuffled then.
+    """
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    repeated = settle(
+        df.select(key.alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__key")
+    )
+    keyed = df.withColumn("__key", key)
+    single = keyed.join(repeated, "__key", "left_anti").select(*df.columns)
+    several = keyed.join(repeated, "__key", "left_semi").select(*df.columns)
+    return single.unionByName(best_row(several, keys, order).select(*df.columns))
 
 
 def descending(column: str | Column) -> Column:
@@ -126,8 +151,14 @@ def seeded_key(id_column: str, seed: int = 42, span: int = 1 << 31) -> Column:
 
 
 def hex_key(id_column: str) -> Column:
-    """Leading 32 bits of a hexadecimal hash id: even over [0, 2**32) and in the order of the id."""
-    return F.conv(F.substring(id_column, 1, 8), 16, 10).cast("bigint")
+    """Leading 32 bits of a hexadecimal hash id: even over [0, 2**32) and in the order of the id.
+
+    Any other id fails the job, as it would put all such rows into one slice.
+    """
+    hexadecimal = F.col(id_column).rlike("^[0-9a-fA-F]{8}")
+    return F.when(hexadecimal | F.col(id_column).isNull(), F.conv(F.substring(id_column, 1, 8), 16, 10).cast("bigint")).otherwise(
+        F.raise_error(F.concat(F.lit("not a hexadecimal id: "), F.col(id_column))).cast("bigint")
+    )
 
 
 def rank_by_key(
@@ -137,15 +168,18 @@ def rank_by_key(
     span: int,
     groups: Sequence[str] = (),
     name: str = "rn",
-    buckets: int = 4096,
+    buckets: int | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """Dense rank by a key that is spread evenly over [0, span), for random orders and hashed ids.
 
     An even key needs no sampled range bounds: equal-width buckets of the key are the slices. One
     narrow counting pass plus one shuffle by (group, bucket); nothing is written except the counts.
-    ``counted`` is a cheaper frame with the same rows to count instead of ``df``.
+    ``counted`` is a cheaper frame with the same rows to count instead of ``df``. Without ``buckets``
+    there is a slice per :data:`SLICE_ROWS` rows, at least one per shuffle partition.
     """
+    if buckets is None:
+        buckets = slices_for((df if counted is None else counted).count(), df.sparkSession)
     keyed = df.withColumn("__key", key).withColumn("__bucket", _bucket(span, buckets))
     to_count = keyed if counted is None else counted.withColumn("__key", key).withColumn("__bucket", _bucket(span, buckets))
     offsets = settle(_bucket_counts(to_count, groups).drop("__n", "__total"))
@@ -156,6 +190,11 @@ def rank_by_key(
     return numbered.select(*df.columns, (F.col("__local") + F.col("__before")).alias(name))
 
 
+def slices_for(rows: int, spark: SparkSession) -> int:
+    """Slices for so many rows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SLICE_ROWS))
+
+
 def _bucket(span: int, buckets: int) -> Column:
     return F.floor(F.col("__key").cast("double") * (buckets / span)).cast("int")
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -67,7 +68,7 @@ def model_features(raw: RawTables, as_of: str | None = None, income_scale: int =
     df = enrich.enrich_census(apps, acs, enrich.income_buckets(acs))
     df = enrich.enrich_market(df, zips, yearly)
     df = enrich.enrich_distress(df, staging.stage_distress(raw.distress))
-    df = enrich.attach_upper(df, settle(lenders.dropDuplicates(["lei"])), "legal_entity_identifier", "lei")
+    df = enrich.attach_upper(df, settle(lenders), "legal_entity_identifier", "lei")
     df = cleaning.decode(
         df,
         raw.categories,
@@ -147,31 +148,42 @@ def interleaved_training(table: DataFrame, chunk: int = 400_000, seed: int = 42,
     return sampling.interleave(encoded, "loan_approved", chunk, "loan_application_id", seed, limit=limit)
 
 
+AUDIT_TABLES = (
+    "auc", "overall_scores", "yearly_scores", "fairness", "annual_rates", "calibration", "score_distribution", "redlining"
+)
+
+
 def audit(
-    scored: DataFrame, table: DataFrame, zips: DataFrame, states: DataFrame, centroids: DataFrame
+    scored: DataFrame,
+    table: DataFrame,
+    zips: DataFrame,
+    states: DataFrame,
+    centroids: DataFrame,
+    wanted: Sequence[str] = AUDIT_TABLES,
 ) -> Mapping[str, DataFrame]:
     """Fairness and redlining tables from scores and the preprocessed table.
 
-    The score-to-application join is by a unique id and is settled once for all of them.
+    The score-to-application join is by a unique id and is settled once for all of them; only the
+    ``wanted`` tables are prepared.
     """
     places = table.select("loan_application_id", "activity_year", "census_tract", "county_code")
     base = settle(scored.join(places, "loan_application_id"))
     race = rates.RACE
     known = base.filter(F.col(race) != L.UNKNOWN_GROUP)
-    by_race = base.withColumnRenamed(race, "race")
-    auc = settle(fairness.auc_report(base))
-    tract_scores = settle(fairness.tract_group_scores(by_race))
-    counts = settle(fairness.group_counts(base, ["activity_year", race]))
-    return {
+    auc = cache(lambda: settle(fairness.auc_report(base)))
+    counts = lambda: settle(fairness.group_counts(base, ["activity_year", race]))
+    tracts = lambda: settle(fairness.tract_group_scores(base.withColumnRenamed(race, "race")))
+    build = {
         "auc": auc,
-        "overall_scores": fairness.model_scores(scored, auc),
-        "yearly_scores": fairness.model_scores(base, auc, "activity_year"),
-        "fairness": fairness.gap_vs_reference(fairness.fairness_metrics(counts)),
-        "annual_rates": rates.annual_rates(known.withColumnRenamed(race, "race"), ["activity_year", "race"]),
-        "calibration": fairness.calibration(scored),
-        "score_distribution": fairness.score_histogram(known, [race, "activity_year", "actual_value"]),
-        "redlining": fairness.attach_places(fairness.redlining(tract_scores), zips, states, centroids),
+        "overall_scores": lambda: fairness.model_scores(scored, auc()),
+        "yearly_scores": lambda: fairness.model_scores(base, auc(), "activity_year"),
+        "fairness": lambda: fairness.gap_vs_reference(fairness.fairness_metrics(counts())),
+        "annual_rates": lambda: rates.annual_rates(known.withColumnRenamed(race, "race"), ["activity_year", "race"]),
+        "calibration": lambda: fairness.calibration(scored),
+        "score_distribution": lambda: fairness.score_histogram(known, [race, "activity_year", "actual_value"]),
+        "redlining": lambda: fairness.attach_places(fairness.redlining(tracts()), zips, states, centroids),
     }
+    return {name: build[name]() for name in wanted}
 
 
 def counterfactual_audit(results: DataFrame, table: DataFrame, centroids: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lendlens.functions.lending import FILTERED_ACTIONS
 from lendlens.functions.numbers import calendar_years, share_pct
 from lendlens.functions.text import not_exempt, pad_code, part, surrogate_key, to_whole
-from lendlens.operators.ranks import best_row
+from lendlens.operators.ranks import one_per_key
+from lendlens.operators.schema import each_column
 
 # The fields that identify an application.
 KEY_FIELDS = (
@@ -42,12 +43,11 @@ def stage_lar(raw: DataFrame, income_scale: int = 1000) -> DataFrame:
         "state_code",
         "county_code",
         pad_code(c("census_tract"), 11).alias("census_tract"),
-        *[
-            whole(x).alias(x)
-            for x in (
-                "loan_amount loan_type loan_purpose lien_status construction_method property_value occupancy_type"
-            ).split()
-        ],
+        # amounts outgrow 32 bits
+        *each_column(["loan_amount", "property_value"], lambda x: to_whole(c(x)).alias(x)),
+        *each_column(
+            ["loan_type", "loan_purpose", "lien_status", "construction_method", "occupancy_type"], lambda x: whole(x).alias(x)
+        ),
         whole("applicant_race_1").alias("applicant_race"),
         whole("applicant_ethnicity_1").alias("applicant_ethnicity"),
         whole("applicant_sex").alias("applicant_sex"),
@@ -76,7 +76,7 @@ def stage_lar(raw: DataFrame, income_scale: int = 1000) -> DataFrame:
         unless_1111("initially_payable_to_institution").alias("initially_payable_to_institution"),
         whole("preapproval").alias("preapproval"),
     )
-    return best_row(staged, ["loan_application_id"], [c("activity_year")])
+    return one_per_key(staged, ["loan_application_id"], [c("activity_year")])
 
 
 def collapsed_count(raw: DataFrame) -> DataFrame:
@@ -119,8 +119,15 @@ def stage_acs(raw: DataFrame) -> DataFrame:
     )
 
 
-def stage_market(raw: DataFrame, property_types: Sequence[int] = tuple(MARKET_PROPERTY_TYPES)) -> DataFrame:
-    """Market tracker rows of the wanted property types and period, zip and metro city split out."""
+def stage_market(
+    raw: DataFrame,
+    property_types: Sequence[int] = tuple(MARKET_PROPERTY_TYPES),
+    period: tuple[str, str] | None = MARKET_PERIOD,
+) -> DataFrame:
+    """Market tracker rows of the wanted property types and period, zip and metro city split out.
+
+    ``period`` bounds period_begin from below and period_end from above, both exclusive; None keeps all.
+    """
     day = lambda n: F.to_date(F.try_to_timestamp(F.col(n), F.lit("yyyy-MM-dd")))
     renames = {
         "median_sale_price_yoy": "median_sale_price_year_over_year",
@@ -134,8 +141,7 @@ def stage_market(raw: DataFrame, property_types: Sequence[int] = tuple(MARKET_PR
         "median_ppsf_yoy inventory new_listings median_dom homes_sold pending_sales price_drops "
         "avg_sale_to_list off_market_in_two_weeks"
     ).split()
-    begin, end = MARKET_PERIOD
-    return (
+    staged = (
         raw.filter(F.col("property_type_id").cast("int").isin(list(property_types)))
         .select(
             day("period_begin").alias("period_begin"),
@@ -147,8 +153,10 @@ def stage_market(raw: DataFrame, property_types: Sequence[int] = tuple(MARKET_PR
             F.col("property_type_id").cast("int").alias("property_type_id"),
             *[F.col(m).cast("double").alias(renames.get(m, m)) for m in measures],
         )
-        .filter((F.col("period_begin") > begin) & (F.col("period_end") < end))
     )
+    if period is None:
+        return staged
+    return staged.filter((F.col("period_begin") > period[0]) & (F.col("period_end") < period[1]))
 
 
 def stage_distress(raw: DataFrame) -> DataFrame:

@@ -63,6 +63,8 @@ def _(spark, sf):
         "p_partkey", F.concat(F.lit("supplier#"), digits(F.col("p_partkey") % 200, 9)).alias("who")
     )
     dim = table(spark, sf, "supplier").select(F.col("s_name").alias("lei"), "s_name")
+    # the same lender once more in lower case, without a name
+    dim = dim.unionByName(dim.select(F.lower("lei").alias("lei"), F.lit(None).cast("string").alias("s_name")))
     return enrich.attach_upper(parts, dim, "who", "lei").select("p_partkey", "s_name")
 
 
@@ -110,16 +112,13 @@ def _(spark, sf):
 
 @query(
     "union_years",
-    """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END AS late
-    FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999""",
+    """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CASE WHEN year(o_orderdate) >= 1995 THEN o_orderpriority END AS late
+    FROM orders""",
 )
 def _(spark, sf):
-    orders = table(spark, sf, "orders").withColumn("y", F.year("o_orderdate"))
-    frames = []
-    for y in range(1996, 2000):
-        late = [F.col("o_orderpriority").alias("late")] if y >= 1998 else []
-        frames.append(orders.filter(F.col("y") == y).select("o_orderkey", "y", *late))
-    return enrich.union_years(frames).select("o_orderkey", "y", "late")
+    orders = table(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("late"))
+    early, late = orders.filter("y < 1995").drop("late"), orders.filter("y >= 1995")
+    return enrich.union_years([early, late]).select("o_orderkey", "y", "late")
 
 
 @query("drop_duplicates", "SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_linenumber FROM lineitem")
@@ -465,7 +464,7 @@ def _(spark, sf):
 
 _RAW_LAR = """raw AS (SELECT o_custkey AS ck, o_orderkey AS ok, c_nationkey AS nk,
   CAST(year(o_orderdate) AS VARCHAR) AS activity_year, CAST(1 + o_custkey % 8 AS VARCHAR) AS action_taken,
-  CASE o_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Exempt' WHEN 2 THEN CAST(o_custkey AS VARCHAR) || '.5' ELSE CAST(o_custkey AS VARCHAR) END AS loan_amount,
+  CASE o_custkey % 4 WHEN 0 THEN CAST(o_custkey + 3000000000 AS VARCHAR) || '.0' WHEN 1 THEN 'Exempt' WHEN 2 THEN CAST(o_custkey AS VARCHAR) || '.5' ELSE CAST(o_custkey AS VARCHAR) END AS loan_amount,
   CASE o_custkey % 5 WHEN 0 THEN '0' WHEN 1 THEN '-5' ELSE '85' END AS income,
   CAST(floor(o_totalprice) AS BIGINT) AS pv
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
@@ -476,11 +475,11 @@ _RAW_LAR = """raw AS (SELECT o_custkey AS ck, o_orderkey AS ok, c_nationkey AS n
     f"""WITH {_RAW_LAR}, keyed AS (SELECT *, md5(activity_year || '-' || action_taken || '-LEI' || CAST(ck % 20 AS VARCHAR) || '---'
       || CASE ck % 3 WHEN 0 THEN '37057061600.0' WHEN 1 THEN '7057061600' ELSE 'Na' END || '-' || coalesce(loan_amount, '') || '-'
       || income || '-' || '2' || '-' || '5' || '-' || CAST(ck % 3 AS VARCHAR)) AS k FROM raw),
-    one AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY pv) AS rn FROM keyed)
+    one AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY CASE WHEN ck % 7 = 0 THEN 1 ELSE 0 END, pv) AS rn FROM keyed)
     SELECT k AS loan_application_id, CAST(activity_year AS INTEGER) AS activity_year, CAST(action_taken AS INTEGER) AS action_taken,
       CASE ck % 3 WHEN 0 THEN '37057061600' WHEN 1 THEN '07057061600' ELSE '000000000Na' END AS census_tract,
-      CASE ck % 4 WHEN 2 THEN CAST(ck + 1 AS INTEGER) WHEN 3 THEN CAST(ck AS INTEGER) END AS loan_amount,
-      CAST(pv AS INTEGER) AS property_value,
+      CAST(CASE ck % 4 WHEN 0 THEN ck + 3000000000 WHEN 2 THEN ck + 1 WHEN 3 THEN ck END AS BIGINT) AS loan_amount,
+      CAST(pv AS BIGINT) AS property_value,
       CASE ck % 5 WHEN 0 THEN NULL WHEN 1 THEN -5000 ELSE 85000 END::BIGINT AS income,
       CASE WHEN ck % 2 = 0 THEN NULL ELSE '25-34' END AS applicant_age,
       CASE WHEN ck % 6 = 0 THEN NULL ELSE '30%-<36%' END AS debt_to_income_ratio,
@@ -498,7 +497,7 @@ def _(spark, sf):
         "action_taken": (ck % 8 + 1).cast("string"),
         "lei": F.concat(F.lit("LEI"), (ck % 20).cast("string")),
         "census_tract": F.when(ck % 3 == 0, "37057061600.0").when(ck % 3 == 1, "7057061600").otherwise("Na"),
-        "loan_amount": F.when(ck % 4 == 1, "Exempt").when(ck % 4 == 2, F.concat(ck.cast("string"), F.lit(".5"))).when(
+        "loan_amount": F.when(ck % 4 == 0, F.concat((ck + 3000000000).cast("string"), F.lit(".0"))).when(ck % 4 == 1, "Exempt").when(ck % 4 == 2, F.concat(ck.cast("string"), F.lit(".5"))).when(
             ck % 4 == 3, ck.cast("string")
         ),
         "property_value": F.floor("o_totalprice").cast("string"),

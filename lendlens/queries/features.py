@@ -122,7 +122,7 @@ def _capped_sql(c):
 
 def _rounded_caps(df):
     """Interpolated percentiles may differ between engines in the last bit."""
-    caps = features.percentile_caps(df, _CAPPED, exact=True)
+    caps = features.percentile_caps(df, _CAPPED)
     return caps.select(*[F.round(c, 6).alias(c) for c in caps.columns])
 
 
@@ -171,7 +171,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = loans(spark, sf).select(ID, "income")
-    cuts = features.constants(features.quartile_cuts(df, ["income"], exact=True))
+    cuts = features.constants(features.quartile_cuts(df, ["income"]))
     return df.select(ID, N.quartile_label(F.col("income"), [cuts[f"income_q{i}"] for i in (1, 2, 3)]).alias("income_bin"))
 
 

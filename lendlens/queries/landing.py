@@ -1,9 +1,14 @@
 """Round trips through files: what is written, landed or appended has to come back whole."""
 
-from pyspark.sql import functions as F
+import uuid
 
+from pyspark.sql import Window as W, functions as F, types as T
+
+from lendlens.operators import enrich, schema as S
+from lendlens.operators.ranks import top_k
 from lendlens.queries.registry import query
 from lendlens.queries.standin import LOANS, loans, table
+from lendlens.schemas import COUNTY_FIPS
 from lendlens.shared import new_path, settle
 from lendlens.sources import files, sinks
 from lendlens.streaming.landing import ingest_new
@@ -50,17 +55,33 @@ def _(spark, sf):
 @query(
     "lar_csv_scan",
     """SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS status,
-      2019 AS file_year FROM orders""",
+      CAST(year(o_orderdate) + 22 AS INTEGER) AS file_year FROM orders""",
 )
 def _(spark, sf):
-    path = f"{new_path(spark)}"
+    path = new_path(spark)
     key = F.col("o_orderkey")
     raw = table(spark, sf, "orders").select(
-        key.cast("string").alias("id"), F.when(key % 3 == 0, "Exempt").otherwise(F.col("o_orderstatus")).alias("status")
+        key.cast("string").alias("id"),
+        F.when(key % 3 == 0, "Exempt").otherwise(F.col("o_orderstatus")).alias("status"),
+        (F.year("o_orderdate") + 22).alias("landed"),
     )
-    sinks.write_csv(raw, path)
-    # part files carry no year in their name, so the pattern is given a constant one here
-    return files.read_lar_csv(spark, path, ["id", "status"]).withColumn("file_year", F.lit(2019))
+    raw.write.option("header", True).partitionBy("landed").csv(path)  # one folder per year
+    return files.read_lar_csv(spark, f"{path}/*", ["id", "status"])
+
+
+_PREAMBLE = ["Notice 2021", "", "Tract,Town"]
+
+
+@query(
+    "preamble_scan",
+    "SELECT CAST(n_nationkey AS VARCHAR) AS tract, 'Notice 2021 ' || n_name AS town FROM nation UNION ALL SELECT 'Tract', 'Town'",
+)
+def _(spark, sf):
+    path = new_path(spark)
+    nation = table(spark, sf, "nation").select(F.concat_ws(",", "n_nationkey", F.concat(F.lit("Notice 2021 "), "n_name")).alias("value"))
+    lead = spark.createDataFrame([(x,) for x in [*_PREAMBLE, "Tract,Town"]], "value string").coalesce(1)
+    lead.union(nation).coalesce(1).write.text(path)
+    return files.read_csv_skip(spark, path, 2).select("tract", "town")
 
 
 @query("pipe_scan", "SELECT c_name, CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
@@ -73,12 +94,13 @@ def _(spark, sf):
 
 @query(
     "valid_files",
-    "SELECT count(*) AS n_rows, 2::BIGINT AS loaded, 1::BIGINT AS skipped FROM (SELECT s_suppkey FROM supplier UNION ALL SELECT n_nationkey FROM nation)",
+    "SELECT count(*) AS n_rows, 3::BIGINT AS loaded, 1::BIGINT AS skipped FROM (SELECT s_suppkey FROM supplier UNION ALL SELECT n_nationkey FROM nation)",
 )
 def _(spark, sf):
     path = new_path(spark)
     table(spark, sf, "supplier").select(F.col("s_suppkey").cast("bigint").alias("rn")).coalesce(1).write.parquet(f"{path}/a")
     table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("rn")).coalesce(1).write.parquet(f"{path}/b")
+    spark.range(0).select(F.col("id").alias("rn")).coalesce(1).write.parquet(f"{path}/empty")
     # a text file posing as Parquet
     table(spark, sf, "region").select("r_name").coalesce(1).write.text(f"{path}/c")
     names = [
@@ -103,3 +125,145 @@ def _(spark, sf):
     orders.write.parquet(first)
     orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), F.lit(1).alias("extra")).write.parquet(second)
     return schema_audit(spark, [first, second]).select("column_name", "issue")
+
+
+@query("parquet_dir_scan", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders")
+def _(spark, sf):
+    path = new_path(spark)
+    orders = table(spark, sf, "orders")
+    orders.filter("o_orderkey % 2 = 0").select("o_orderkey", "o_orderstatus").write.parquet(f"{path}/part=0")
+    orders.filter("o_orderkey % 2 <> 0").select("o_orderkey").write.parquet(f"{path}/part=1")
+    return files.read_parquet_dir(spark, path).select("o_orderkey", "o_orderstatus")
+
+
+@query("market_tsv_scan", "SELECT CAST(p_partkey AS VARCHAR) AS period_begin, p_name AS median_ppsf FROM part")
+def _(spark, sf):
+    path = new_path(spark)
+    table(spark, sf, "part").selectExpr("p_partkey AS PERIOD_BEGIN", "p_name AS `MEDIAN PPSF`").write.option("sep", "\t").option("header", True).csv(path)
+    return files.read_market_tsv(spark, path).select("period_begin", "median_ppsf")
+
+
+@query("fips_scans", "SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') || '00' || CAST(n_regionkey AS VARCHAR) AS code, 'N' || n_name AS name FROM nation")
+def _(spark, sf):
+    path = new_path(spark)
+    nation = table(spark, sf, "nation")
+    names = T.StructType.fromDDL(COUNTY_FIPS).names
+    fields = [F.lit("").alias(f"x{i}") for i in range(len(names))]
+    by_name = {"state_fips_cd": F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), "county_fips_cd": F.lpad(F.col("n_regionkey").cast("string"), 3, "0")}
+    text = "county_name"
+    by_name[text] = F.concat(F.lit("N"), "n_name")
+    row = [by_name.get(n, x).alias(n) for n, x in zip(names, fields)]
+    nation.select(*row).write.option("sep", "|").option("header", True).csv(path)
+    return files.read_county_fips(spark, path).select(F.col("census_county_cd").alias("code"), F.col(text).alias("name"))
+
+
+@query("seed_scan", "SELECT CAST(r_regionkey AS VARCHAR) AS code, r_name AS label FROM region")
+def _(spark, sf):
+    path = new_path(spark)
+    sinks.write_csv(table(spark, sf, "region").select("r_regionkey", "r_name"), path)
+    return files.load_seed(spark, path, {"r_regionkey": "code", "r_name": "label"})
+
+
+@query("pipe_scan_header", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def _(spark, sf):
+    path = new_path(spark)
+    rows = table(spark, sf, "customer").selectExpr("c_custkey AS id", "c_name", "c_mktsegment AS segment")
+    rows.write.option("sep", "|").option("header", True).csv(path)
+    return files.read_pipe_lar(spark, path, "BUILDING", None, None, "segment").select("id", "c_name")
+
+
+@query("range_export", "SELECT count(*) AS n_rows, 8::BIGINT AS n_files, true AS contiguous FROM lineitem")
+def _(spark, sf):
+    path = new_path(spark)
+    number = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("rn")
+    sinks.write_range_chunks(table(spark, sf, "lineitem").select(number, "l_quantity"), path, chunks=8)
+    spans = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("rn").alias("lo"), F.max("rn").alias("hi")
+    )
+    after = F.lag("hi").over(W.orderBy("lo"))  # one row per file
+    return spans.withColumn("apart", F.coalesce(after < F.col("lo"), F.lit(True))).agg(
+        F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_files"), F.bool_and("apart").alias("contiguous")
+    )
+
+
+@query("table_create_append", "SELECT o_orderkey, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0")
+def _(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    stored = settle(orders.filter("o_orderkey % 2 = 0"))
+    name = f"landed_{uuid.uuid4().hex}"
+    sinks.write_table(stored, name)
+    sinks.write_table(orders, name)  # replaces what was there
+    sinks.write_table(orders.filter("o_orderkey % 3 = 0"), name, "append")
+    out = settle(spark.table(name))
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
+@query("materialize_view", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def _(spark, sf):
+    counts = table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+    return sinks.materialize(counts, f"counts_{uuid.uuid4().hex}", "view")
+
+
+@query("log_append", "SELECT CAST(o_orderstatus AS VARCHAR) AS model, CAST(count(*) AS DOUBLE) AS score FROM orders GROUP BY 1 UNION ALL SELECT 'all', CAST(count(*) AS DOUBLE) FROM orders")
+def _(spark, sf):
+    path, schema = new_path(spark), "model string, score double"
+    orders = table(spark, sf, "orders")
+    sinks.append_log(orders.groupBy(F.col("o_orderstatus").alias("model")).agg(F.count(F.lit(1)).alias("score")), path, schema)
+    sinks.append_log(orders.agg(F.lit("all").alias("model"), F.count(F.lit(1)).alias("score")), path, schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _mixed(spark, sf):
+    return table(spark, sf, "orders").selectExpr("o_orderkey", "CAST(o_custkey AS string) AS o_custkey", "CAST(o_totalprice AS string) AS o_totalprice", "'n' AS note")
+
+
+@query("coerce_to_first", "SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, 'n' AS note, CAST(NULL AS VARCHAR) AS gone FROM orders")
+def _(spark, sf):
+    first = T.StructType.fromDDL("o_orderkey bigint, o_custkey int, gone string")
+    frame = _mixed(spark, sf).drop("o_totalprice")
+    S.validate_schema(S.coerce_schema(frame, first), first)
+    return S.coerce_schema(frame, first)
+
+
+@query(
+    "align_with_log",
+    """SELECT column_name, action FROM (VALUES ('o_custkey', 'cast'), ('note', 'dropped'), ('gone', 'filled'), ('o_totalprice', 'dropped')) v(column_name, action)
+    UNION ALL SELECT 'rows', CAST(count(*) AS VARCHAR) FROM orders""",
+)
+def _(spark, sf):
+    wanted = T.StructType.fromDDL("o_orderkey bigint, o_custkey int, gone string")
+    aligned, log = S.align(_mixed(spark, sf), wanted, "orders")
+    rows = aligned.agg(F.lit("rows").alias("column_name"), F.count(F.lit(1)).cast("string").alias("action"))
+    return log.select("column_name", "action").unionByName(rows)
+
+
+@query("unify_years", "SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS o_custkey, o_orderstatus FROM orders")
+def _(spark, sf):
+    orders = table(spark, sf, "orders")
+    frames = [
+        orders.filter("o_orderkey % 2 = 0").selectExpr("CAST(o_orderkey AS int) AS o_orderkey", "CAST(o_custkey AS double) AS o_custkey", "o_orderstatus"),
+        orders.filter("o_orderkey % 2 <> 0").selectExpr("o_orderkey", "CAST(o_custkey AS bigint) AS o_custkey", "o_orderstatus"),
+    ]
+    wide = S.unify_schemas([f.schema for f in frames])
+    return enrich.union_years([S.enforce_schema(f, wide) for f in frames])
+
+
+@query("rename_columns", "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders")
+def _(spark, sf):
+    return S.rename_map(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), {"o_orderkey": "id", "o_orderstatus": "status"})
+
+
+@query("infer_numeric_strict", "SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS a, CASE WHEN o_orderkey % 10 = 0 THEN 'x' ELSE CAST(o_custkey AS VARCHAR) END AS b FROM orders")
+def _(spark, sf):
+    key = F.col("o_orderkey")
+    text = table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_custkey").cast("string").alias("a"), F.when(key % 10 == 0, "x").otherwise(F.col("o_custkey").cast("string")).alias("b")
+    )
+    return S.infer_numeric(text, threshold=0.95, strict=True)
+
+
+@query("top_models", "SELECT model, auc FROM (SELECT 'M' || CAST(o_custkey % 50 AS VARCHAR) AS model, CAST(max(o_orderkey) AS DOUBLE) / 1024 AS auc FROM orders GROUP BY 1) ORDER BY auc DESC LIMIT 2")
+def _(spark, sf):
+    results = table(spark, sf, "orders").groupBy(F.concat(F.lit("M"), (F.col("o_custkey") % 50).cast("string")).alias("model")).agg((F.max("o_orderkey").cast("double") / 1024).alias("auc"))
+    return top_k(results, [F.desc("auc"), F.col("model")], 2)

@@ -1,10 +1,12 @@
-"""Model queries. Fitted numbers have no SQL twin, so these are compared by rows only."""
+"""Model queries. Fitted numbers have no SQL twin; what SQL can state of them is compared instead."""
 
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from lendlens.operators import counterfactual, fairness, modeling
 from lendlens.queries.registry import query
 from lendlens.queries.standin import GROUPS, LOANS, RACE, loans
+from lendlens.shared import settle
 
 ID = "loan_application_id"
 NUMERIC = ["loan_amount", "income", "property_value", "median_household_income"]
@@ -15,39 +17,87 @@ def _fit(df, kind, **params):
     return modeling.train(df, kind, "loan_approved", NUMERIC, CATEGORICAL, params)
 
 
-@query("logit_score")
+_SCORED_SQL = LOANS + f"""SELECT {RACE}, count(*) AS n, CAST(sum(actual_value) AS BIGINT) AS approvals, true AS in_range,
+    true AS labelled, true AS informed FROM loans GROUP BY 1"""
+
+
+def _facts(scored):
+    """Per group: rows and approvals carried through, scores in [0, 1], labels at a half; scores that tell approvals apart."""
+    s = F.col("score")
+    informed = fairness.auc(settle(scored)).select(F.col("auc_roc") > 0.5).scalar()
+    facts = scored.groupBy(RACE).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("actual_value").cast("bigint").alias("approvals"),
+        F.bool_and((s >= 0) & (s <= 1)).alias("in_range"),
+        F.bool_and(F.col("predicted_label") == (s > 0.5).cast("int")).alias("labelled"),
+    )
+    return facts.withColumn("informed", informed)
+
+
+@query("logit_score", _SCORED_SQL)
 def _(spark, sf):
     df = loans(spark, sf)
     model = modeling.train(df, "logistic", "loan_approved", NUMERIC, CATEGORICAL, {"maxIter": 20}, balanced=True)
-    return modeling.score(model, df, NUMERIC, CATEGORICAL, [ID, RACE, "actual_value"])
+    return _facts(modeling.score(model, df, NUMERIC, CATEGORICAL, [ID, RACE, "actual_value"]))
 
 
-@query("gbt_score")
+@query("gbt_score", _SCORED_SQL)
 def _(spark, sf):
     df = loans(spark, sf)
-    return modeling.score(_fit(df, "boosted_trees", maxIter=5, maxDepth=3), df, NUMERIC, CATEGORICAL, [ID, RACE, "actual_value"])
+    return _facts(modeling.score(_fit(df, "boosted_trees", maxIter=5, maxDepth=3), df, NUMERIC, CATEGORICAL, [ID, RACE, "actual_value"]))
 
 
-@query("forest_evaluation")
+@query("forest_evaluation", LOANS + "SELECT count(*) AS n, true AS same_auc, true AS same_accuracy FROM loans")
 def _(spark, sf):
     df = loans(spark, sf)
-    scored = modeling.score(_fit(df, "random_forest", numTrees=10, maxDepth=4), df, NUMERIC, CATEGORICAL, [ID, "actual_value"])
-    return modeling.evaluate(scored)
+    scored = settle(modeling.score(_fit(df, "random_forest", numTrees=10, maxDepth=4), df, NUMERIC, CATEGORICAL, [ID, "actual_value"]))
+    found = settle(modeling.evaluate(scored))
+    # Spark ML's own curve over every distinct score
+    ranked = scored.select("score", F.col("actual_value").cast("double").alias("label"))
+    other = BinaryClassificationEvaluator(rawPredictionCol="score", numBins=0).evaluate(ranked)
+    hits = scored.agg(F.avg((F.col("actual_value") == F.col("predicted_label")).cast("double"))).scalar()
+    return found.select(
+        F.lit(scored.count()).cast("bigint").alias("n"),
+        (F.abs(F.col("auc") - other) < 1e-9).alias("same_auc"),
+        (F.abs(F.col("accuracy") - hits) < 1e-9).alias("same_accuracy"),
+    )
 
 
-@query("tree_importances")
+@query("tree_importances", f"SELECT {len(NUMERIC) + len(CATEGORICAL)}::BIGINT AS n_features, true AS positive, true AS whole")
 def _(spark, sf):
     df = loans(spark, sf)
-    return modeling.importances(_fit(df, "decision_tree", maxDepth=4), df, NUMERIC, CATEGORICAL)
+    found = modeling.importances(_fit(df, "decision_tree", maxDepth=4), df, NUMERIC, CATEGORICAL)
+    return found.agg(
+        F.count_distinct("feature").alias("n_features"),
+        F.bool_and(F.col("importance") >= 0).alias("positive"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("whole"),
+    )
 
 
-@query("tuned_logit")
-def _(spark, sf):
+_TUNED_SQL = "SELECT unnest([0.0, 0.1])::DOUBLE AS setting, true AS in_range"
+
+
+def _tuned(spark, sf, **how):
     grid = {"regParam": [0.0, 0.1]}
-    return modeling.tune(loans(spark, sf), "logistic", "loan_approved", NUMERIC, CATEGORICAL, grid, train_ratio=0.8)[1]
+    found = modeling.tune(loans(spark, sf), "logistic", "loan_approved", NUMERIC, CATEGORICAL, grid, **how)[1]
+    setting = F.regexp_extract("params", r"regParam\D+([0-9.]+)", 1).cast("double")
+    return found.select(setting.alias("setting"), F.col("auc").between(0.5, 1).alias("in_range"))
+
+
+@query("tuned_logit", _TUNED_SQL)
+def _(spark, sf):
+    return _tuned(spark, sf, train_ratio=0.8)
 
 
-@query("model_counterfactuals")
+@query("tuned_logit_folds", _TUNED_SQL)
+def _(spark, sf):
+    return _tuned(spark, sf, folds=3)
+
+
+@query(
+    "model_counterfactuals",
+    f"SELECT unnest({GROUPS}) AS original_race, true AS group_changed, true AS all_tried, true AS change_adds_up",
+)
 def _(spark, sf):
     df = loans(spark, sf)
     features = [RACE, "debt_to_income_ratio"]
@@ -59,7 +109,17 @@ def _(spark, sf):
     rescore = lambda d: modeling.score(
         model, d, NUMERIC, features, [ID, "original_race", "new_race", "previous_score"]
     )
-    return counterfactual.counterfactual(near, rescore, GROUPS)
+    pairs = settle(counterfactual.counterfactual(near, rescore, GROUPS))
+    # one row per group whether or not the model left any of it near the threshold
+    groups = spark.createDataFrame([(g,) for g in GROUPS], "original_race string")
+    per_row = pairs.groupBy(ID, "original_race").agg(F.count_distinct("new_race").alias("tried"))
+    tried = per_row.groupBy("original_race").agg(F.bool_and(F.col("tried") == len(GROUPS) - 1).alias("all_tried"))
+    change = F.col("counterfactual_score") - F.col("previous_score")
+    facts = pairs.groupBy("original_race").agg(
+        F.bool_and(F.col("original_race") != F.col("new_race")).alias("group_changed"),
+        F.bool_and(F.abs(F.col("score_change") - change) < 1e-12).alias("change_adds_up"),
+    )
+    return groups.join(tried, "original_race", "left").join(facts, "original_race", "left").fillna(True)
 
 
 @query(
@@ -74,8 +134,16 @@ def _(spark, sf):
     return modeling.linear_contributions(df, {"income": 0.5, "loan_amount": -0.25}).drop("income", "loan_amount")
 
 
-@query("contribution_ranking")
+@query(
+    "contribution_ranking",
+    LOANS
+    + """, m AS (SELECT avg(income) AS a, avg(loan_amount) AS b FROM loans),
+    s AS (SELECT avg(abs(0.5::DOUBLE * (income - a))) AS x, avg(abs(-0.25::DOUBLE * (loan_amount - b))) AS y FROM loans, m)
+    SELECT 'contribution_income' AS feature, round(x, 6) AS mean_abs FROM s
+    UNION ALL SELECT 'contribution_loan_amount', round(y, 6) FROM s""",
+)
 def _(spark, sf):
     df = loans(spark, sf).select(ID, "income", "loan_amount")
     names = ["contribution_income", "contribution_loan_amount"]
-    return fairness.mean_abs(modeling.linear_contributions(df, {"income": 0.5, "loan_amount": -0.25}), names)
+    ranked = fairness.mean_abs(modeling.linear_contributions(df, {"income": 0.5, "loan_amount": -0.25}), names)
+    return ranked.select("feature", F.round("mean_abs", 6).alias("mean_abs"))

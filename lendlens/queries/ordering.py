@@ -168,9 +168,23 @@ def _(spark, sf):
     return df.select(ID, sampling.strata_label("activity_year", "purpose", "loan_approved").alias("strata_bin"))
 
 
-@query("seeded_split")
+@query(
+    "seeded_split",
+    LOANS + "SELECT count(*) AS n_rows, true AS by_edges, true AS in_range, true AS about_even, true AS repeatable FROM loans",
+)
 def _(spark, sf):
-    return loans(spark, sf).select(ID, sampling.split_column(ID), sampling.random_weight(ID))
+    """The parts follow the edges on the weight, and the weight is even and the same for every partitioning."""
+    cut = lambda df: df.select(ID, sampling.split_column(ID), sampling.random_weight(ID))
+    df, w = loans(spark, sf), F.col("sample_weight")
+    first = cut(df)
+    again = cut(df.repartition(7)).select(ID, w.alias("again"))
+    return first.join(again, ID).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.bool_and(F.col("split") == (w >= 0.98).cast("int") + (w >= 0.99).cast("int")).alias("by_edges"),
+        F.bool_and((w >= 0) & (w < 1)).alias("in_range"),
+        (F.abs(F.avg(w) - 0.5) < 0.05).alias("about_even"),
+        F.bool_and(w == F.col("again")).alias("repeatable"),
+    )
 
 
 @query(

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lendlens.functions.lending import or_unknown
-from lendlens.operators import features
+from lendlens.operators import features, rates, sampling
 from lendlens.plans import lending
-from lendlens.queries.registry import query
-from lendlens.queries.standin import digits, table
+from lendlens.queries import fairness as _  # noqa: F401  its SQL is used here
+from lendlens.queries.registry import ORACLES, query
+from lendlens.queries.standin import LOANS, digits, table
 from lendlens.schemas import LAR_TEXT_COLUMNS
 from lendlens.shared import settle
 
 AS_OF = "2024-06-30"
+ID = "loan_application_id"
+#: Lenders named by applications; at the smaller scales some have no entry in the lender table.
+LENDERS = 23
 # Code labels as they appear in the lookup table.
 CATEGORIES = [
     ("applicant_race", 2, "AAPI"),
@@ -44,7 +48,7 @@ def raw_tables(spark, sf) -> lending.RawTables:
     lar = {
         "activity_year": text(year),
         "action_taken": text(ok % 5 + 1),
-        "lei": F.concat(F.lit("LEI"), text(ck % 20)),
+        "lei": F.concat(F.lit("LEI"), text(ck % LENDERS)),
         "state_code": F.when(ok % 10 != 0, F.concat(F.lit("ST"), text(nk))),
         "county_code": F.when(ok % 6 != 0, digits(ck % 3, 3)),
         "census_tract": F.when(ok % 50 != 0, _tract(nk, ck)),
@@ -128,9 +132,7 @@ def raw_tables(spark, sf) -> lending.RawTables:
     )
     s = F.col("s_suppkey")
     lenders = (
-        table(spark, sf, "supplier")
-        .filter(s < 18)
-        .select(
+        table(spark, sf, "supplier").select(
             F.concat(F.lit("lei"), text(s)).alias("lei"),
             F.lower("s_name").alias("entity_name"),
             F.when(s % 3 == 0, "issued").when(s % 3 == 1, "retired").otherwise("Lapsed").alias("registration_status"),
@@ -146,13 +148,13 @@ def raw_tables(spark, sf) -> lending.RawTables:
 _VALUES = ", ".join(f"('{a}', {b}, '{c}')" for a, b, c in CATEGORIES)
 FEATURES = f"""WITH j AS (SELECT *, o_custkey AS ck, o_orderkey AS ok, c_nationkey AS nk FROM orders JOIN customer ON o_custkey = c_custkey),
 apps AS (SELECT CAST(year(o_orderdate) + 22 AS INTEGER) AS activity_year, CAST(ok % 5 + 1 AS INTEGER) AS action_taken,
-    'LEI' || CAST(ck % 20 AS VARCHAR) AS lei,
+    'LEI' || CAST(ck % {LENDERS} AS VARCHAR) AS lei,
     CASE WHEN ok % 10 <> 0 THEN 'ST' || CAST(nk AS VARCHAR) END AS state_code,
     CASE WHEN ok % 6 <> 0 THEN lpad(CAST(ck % 3 AS VARCHAR), 3, '0') END AS county_code,
     CASE WHEN ok % 50 <> 0 THEN lpad(CAST(nk AS VARCHAR), 2, '0') || lpad(CAST(ck % 3 AS VARCHAR), 3, '0')
       || lpad(CAST(ck % 10 AS VARCHAR), 6, '0') END AS census_tract,
-    CAST(round(o_totalprice * 100) AS INTEGER) AS loan_amount, CAST(floor(c_acctbal) AS BIGINT) AS inc,
-    CASE WHEN ok % 7 <> 0 THEN CAST(floor(o_totalprice) + 5000 AS INTEGER) END AS property_value,
+    CAST(round(o_totalprice * 100) AS BIGINT) AS loan_amount, CAST(floor(c_acctbal) AS BIGINT) AS inc,
+    CASE WHEN ok % 7 <> 0 THEN CAST(floor(o_totalprice) + 5000 AS BIGINT) END AS property_value,
     CAST(ok % 4 + 1 AS INTEGER) AS loan_type,
     CAST(CASE WHEN ok % 23 = 0 THEN 5 ELSE CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 1 WHEN '2' THEN 2 WHEN '3' THEN 31
       WHEN '4' THEN 32 ELSE 4 END END AS INTEGER) AS loan_purpose,
@@ -185,7 +187,7 @@ distress AS (SELECT DISTINCT lpad(CAST(nk AS VARCHAR), 2, '0') || lpad(CAST(ck %
     year(o_orderdate) + 22 AS y, 1 AS is_distressed, (year(o_orderdate) + 22) % 2 AS is_underserved FROM j WHERE ck % 9 = 0),
 lend AS (SELECT 'LEI' || CAST(s_suppkey AS VARCHAR) AS lei, upper(s_name) AS entity_name,
     CASE s_suppkey % 3 WHEN 0 THEN 'ISSUED' WHEN 1 THEN 'RETIRED' ELSE 'LAPSED' END AS status, 2024 - (s_suppkey % 15 + 2000) AS age
-    FROM supplier WHERE s_suppkey < 18),
+    FROM supplier),
 cat(column_name, category_value, category_title) AS (VALUES {_VALUES}),
 features AS (SELECT loan_application_id, activity_year, CASE WHEN y.zip_code IS NULL THEN 'Unknown' ELSE y.zip_code END AS zip_code,
     coalesce(state_code, n_name) AS state_code, coalesce(county_code, substr(k.census_tract, 3, 3)) AS county_code, k.census_tract,
@@ -391,16 +393,67 @@ def _(spark, sf):
     )
 
 
-@query("training_sample")
+_MODELLED = FEATURES + """, m AS (SELECT *, coalesce(applicant_derived_racial_category, 'Unknown') AS race FROM features
+  WHERE loan_purpose <> 5)"""
+
+
+@query(
+    "training_sample",
+    _MODELLED
+    + """ SELECT activity_year, least(count(*), 50) AS n_validation, 0::BIGINT AS n_shared, true AS quotas_met, true AS chunks_full
+    FROM m GROUP BY 1""",
+)
 def _(spark, sf):
+    """What plain SQL can state of a seeded sample: sizes, disjointness, quotas per stratum, full chunks."""
+    strata = ["activity_year", rates.RACE]
     modelled = settle(lending.model_set(preprocessed(spark, sf)))
-    validation = lending.validation_sample(modelled, 50)
-    return lending.training_sample(modelled, validation, 2000, 600)
+    validation = settle(lending.validation_sample(modelled, 50))
+    sample = settle(lending.training_sample(modelled, validation, 2000, 600))
+    rest = modelled.join(validation.select(ID), ID, "left_anti")
+    quota = sampling.allocate(rest, strata, "loan_approved", 2000)
+    size, rate = F.col("sample_size_group"), F.col("approval_rate")
+    drawn = sample.groupBy(*strata).agg(F.count_if(F.col("loan_approved") == 1).alias("yes"), F.count_if(F.col("loan_approved") == 0).alias("no"))
+    yes, total = F.col("approved_count"), F.col("total_count")
+    as_planned = lambda got, quota, there: F.coalesce(F.col(got), F.lit(0)) == F.least(F.floor(quota), there)
+    met = quota.join(drawn, strata, "left").agg(
+        F.bool_and(as_planned("yes", size * rate, yes) & as_planned("no", size * (1 - rate), total - yes)).alias("ok")
+    )
+    chunks = sample.groupBy("chunk_number").agg(F.count(F.lit(1)).alias("n"), F.max("global_row_number").alias("hi"))
+    full = chunks.agg(F.bool_and((F.col("n") == 600) | (F.col("hi") == F.lit(sample.count()))).alias("ok"))
+    shared = sample.join(validation.select(ID), ID, "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    sizes = validation.groupBy("activity_year").agg(F.count(F.lit(1)).alias("n_validation"))
+    return sizes.withColumns({"n_shared": shared.scalar(), "quotas_met": met.scalar(), "chunks_full": full.scalar()})
 
 
-@query("interleaved_training")
+@query(
+    "interleaved_training",
+    _MODELLED + " SELECT count(*) AS n_rows, true AS numbered, true AS alternating, true AS chunked FROM m",
+)
 def _(spark, sf):
-    return lending.interleaved_training(preprocessed(spark, sf), 400)
+    out = settle(lending.interleaved_training(preprocessed(spark, sf), 400))
+    n, label = F.col("global_row_number"), F.col("loan_approved")
+    smaller = out.groupBy("loan_approved").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
+    return out.withColumn("__s", smaller).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        ((F.count_distinct(n) == F.count(F.lit(1))) & (F.min(n) == 1) & (F.max(n) == F.count(F.lit(1)))).alias("numbered"),
+        F.bool_and((n > 2 * F.col("__s")) | (label == (n - 1) % 2)).alias("alternating"),
+        F.bool_and(F.col("chunk_number") == F.floor((n - 1) / 400)).alias("chunked"),
+    )
+
+
+#: The scored applications of :func:`_audit` under the names that the queries on single operators use.
+_SCORED = FEATURES + """, loans AS (SELECT loan_application_id, activity_year, census_tract, county_code,
+    coalesce(applicant_derived_racial_category, 'Unknown') AS applicant_derived_racial_category, loan_approved AS actual_value,
+    CAST(loan_amount % 700 + loan_approved * 300 AS DOUBLE) / 1024 AS score,
+    CASE WHEN loan_amount % 700 + loan_approved * 300 >= 512 THEN 1 ELSE 0 END AS predicted_label FROM features)
+"""
+
+
+def _as_audit(name: str) -> str:
+    """An operator's SQL on the scored applications, with their names of the reference and unknown groups."""
+    sql = ORACLES[name].removeprefix(LOANS).replace("ILIKE 'building'", "ILIKE 'white'")
+    sql = sql.replace("race <> 'BUILDING'", "race IN ('Black', 'Latinx', 'AAPI')").replace("'BUILDING'", "'White'")
+    return _SCORED + sql.replace("'HOUSEHOLD'", "'Unknown'")
 
 
 def _audit(spark, sf, name):
@@ -412,14 +465,42 @@ def _audit(spark, sf, name):
         raw.crosswalk.filter("residential_ratio > 0").select("census_tract", "zip_code", "city_name", "state_name")
     )
     centroids = zips.select(F.col("census_tract").alias("tract_fips"), F.lit(0.0).alias("centroid_lat"), F.lit(0.0).alias("centroid_lon"))
-    return lending.audit(_scored(t), t, zips, raw.state_fips, centroids)[name]
+    return lending.audit(_scored(t), t, zips, raw.state_fips, centroids, [name])[name]
+
+
+#: Audit table -> the query on the operator behind it.
+_AUDITED = {
+    "auc": "auc_by_year",
+    "overall_scores": "model_scores_overall",
+    "yearly_scores": "model_scores_by_year",
+    "fairness": "fairness_gaps",
+    "annual_rates": None,
+    "calibration": "calibration",
+    "score_distribution": "score_histogram",
+    "redlining": "redlining",
+}
+_RED = """census_tract race county_code total_apps avg_score actual_positives actual_denials avg_score_given_positive
+predicted_positives actual_approval_rate predicted_approval_rate score_dpd score_eod model_vs_actual_gap
+is_possible_redlining is_redlining""".split()
+_ANNUAL = (
+    _SCORED
+    + """SELECT activity_year, applicant_derived_racial_category AS race,
+    count(*) FILTER (WHERE predicted_label = 1)::DOUBLE / count(*) AS predicted_approval_rate,
+    count(*) FILTER (WHERE actual_value = 1)::DOUBLE / count(*) AS actual_approval_rate
+    FROM loans WHERE applicant_derived_racial_category <> 'Unknown' GROUP BY 1, 2"""
+)
 
 
-@query("audit_fairness")
-def _(spark, sf):
-    return _audit(spark, sf, "fairness")
+def _register(name: str, source: str | None) -> None:
+    sql = _ANNUAL if source is None else _as_audit(source)
+    if name == "redlining":
+        sql = sql.replace("SELECT * FROM red", "SELECT " + ", ".join(_RED) + " FROM red")
 
+    @query(f"audit_{name}", sql)
+    def _(spark, sf):
+        out = _audit(spark, sf, name)
+        return out.select(*_RED) if name == "redlining" else out
 
-@query("audit_redlining")
-def _(spark, sf):
-    return _audit(spark, sf, "redlining")
+
+for _name, _source in _AUDITED.items():
+    _register(_name, _source)

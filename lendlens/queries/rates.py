@@ -142,7 +142,7 @@ def _(spark, sf):
         CASE l_suppkey % 9 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 WHEN 5 THEN 21
           WHEN 6 THEN 27 WHEN 7 THEN 5 END AS race,
         CASE l_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 14 ELSE 2 END AS eth
-      FROM lineitem WHERE l_returnflag <> 'N'),
+      FROM lineitem),
     t AS (SELECT census_tract,
       count(*) FILTER (WHERE action_taken = 1) AS "TotalOriginations",
       count(*) FILTER (WHERE action_taken = 1 AND race = 5 AND eth = 2) AS "WhiteNonHispanicOriginations",
@@ -159,9 +159,7 @@ def _(spark, sf):
     supp, order = F.col("l_suppkey") % 9, F.col("l_orderkey") % 4
     codes = F.create_map(*[F.lit(x) for k, v in enumerate([1, 2, 3, 4, 5, 21, 27, 5]) for x in (k, v)])
     apps = (
-        table(spark, sf, "lineitem")
-        .filter("l_returnflag <> 'N'")
-        .select(
+        table(spark, sf, "lineitem").select(
             F.lpad((F.col("l_partkey") % 200).cast("string"), 11, "0").alias("census_tract"),
             (F.col("l_linenumber") % 5 + 1).alias("action_taken"),
             codes[supp.cast("int")].alias("applicant_race_1"),

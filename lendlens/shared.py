@@ -8,7 +8,6 @@ Both are met by writing the frame as Parquet and reading it back.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,21 +16,23 @@ _DIR_KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a private one only for an unset local session."""
-    folder = spark.conf.get(_DIR_KEY, None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{_DIR_KEY} must name a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="lendlens-")
-    spark.conf.set(_DIR_KEY, folder)
-    return folder
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, one beside the shared warehouse."""
+    return spark.conf.get(_DIR_KEY, None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-settled"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/lendlens/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession) -> str:
     """A fresh path in this application's part of the shared folder."""
-    root = shared_folder(spark).rstrip("/")
-    return f"{root}/lendlens/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_settled(spark: SparkSession) -> bool:
+    """Delete everything this application has settled; frames read from it cannot be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

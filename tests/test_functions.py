@@ -16,8 +16,12 @@ def test_to_whole_rounds_like_the_warehouse(spark):
     assert got == [2, 105000, None, None, -5, 7]
 
 
-def test_to_whole_overflow_is_null(spark):
-    assert apply(spark, ["99999999999", "12"], lambda c: X.to_whole(c, "int")) == [None, 12]
+def test_to_whole_keeps_64_bits(spark):
+    assert apply(spark, ["99999999999", "12"], X.to_whole) == [99999999999, 12]
+
+
+def test_whole_code_of_not_a_number(spark):
+    assert apply(spark, ["nan", "inf", "7.0", "x", None], lambda c: X.whole_code(c, 3)) == [None, None, "007", None, None]
 
 
 def test_pad_code_cuts_the_fraction(spark):

@@ -5,8 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F, types as T
 
+from lendlens import shared
 from lendlens.operators import schema as S
 from lendlens.schemas import IMPORTANCE_LOG, PIPE_LAR_COLUMNS, canonical_lar
+from lendlens.shared import settle
 from lendlens.sources import files, responses, sinks
 from lendlens.streaming.landing import ingest_new
 
@@ -48,12 +50,24 @@ def test_preamble_csv(spark, tmp_path):
     header = "State-Code, County Code,Tract Code,Distressed,Under served"
     for year in (2022, 2023):
         write(tmp_path / f"{year}.csv", f"A title line\nSecond line\n{header}\n55,79,0101.02,X,\n55,79,total,,\n")
-    raw = files.read_csv_skip(spark, str(tmp_path), header, ["A title", "Second"])
+    raw = files.read_csv_skip(spark, str(tmp_path), 2)
     assert raw.count() == 4
-    got = responses.clean_distressed(raw, files.file_year()).select("tract_fips", "is_distressed", "is_underserved")
+    got = responses.clean_distressed(raw, files.path_year(F.col("source_file"))).select("tract_fips", "is_distressed", "is_underserved")
     assert [tuple(r) for r in got.collect()] == [("55079010102", 1, 0)] * 2
 
 
+def test_preamble_is_skipped_by_position(spark, tmp_path):
+    write(tmp_path / "a.csv", '2021\n\n"Name, full",N\n2021 Town,1\n2021\n"Name, full",N\n\nB,2\n')
+    write(tmp_path / "b.csv", 'other\nlines\n"Name, full",N\nC,3\n')
+    got = files.read_csv_skip(spark, str(tmp_path), 2)
+    assert got.columns == ["name,_full", "n", "source_file"]
+    assert sorted(((r[0], r[1]) for r in got.collect()), key=str) == sorted(
+        [("2021 Town", "1"), ("2021", None), ("Name, full", "N"), ("B", "2"), ("C", "3")], key=str
+    )
+    with pytest.raises(ValueError):
+        files.read_csv_skip(spark, str(tmp_path), 50)
+
+
 def test_parquet_dir_unions_by_name(spark, tmp_path):
     spark.range(2).write.parquet(str(tmp_path / "t" / "y=1"))
     spark.range(3).withColumn("extra", F.lit("x")).write.parquet(str(tmp_path / "t" / "y=2"))
@@ -71,6 +85,40 @@ def test_valid_files_are_loaded_and_bad_ones_reported(spark, tmp_path):
     assert got == {"part_1_3.parquet": (True, 3, 1, 3, 3), "part_4_6.parquet": (False, None, None, None, 6)}
 
 
+def test_valid_files_with_equal_names_empty_and_damaged(spark, tmp_path):
+    frame = spark.range(50_000).selectExpr("id AS rn", "uuid() AS x").toPandas()
+    for folder in ("2018", "2019 a+b", "empty", "cut", "hurt"):
+        (tmp_path / folder).mkdir()
+    frame[:5].to_parquet(tmp_path / "2018" / "x.parquet")
+    write(tmp_path / "2019 a+b" / "x.parquet", "garbage")
+    frame[:0].to_parquet(tmp_path / "empty" / "x.parquet")
+    frame.to_parquet(tmp_path / "cut" / "x.parquet", row_group_size=5000)
+    whole = (tmp_path / "cut" / "x.parquet").read_bytes()
+    (tmp_path / "cut" / "x.parquet").write_bytes(whole[: len(whole) // 2])
+    middle = len(whole) // 2
+    (tmp_path / "hurt" / "x.parquet").write_bytes(whole[:middle] + b"\xff" * 4000 + whole[middle + 4000 :])
+    names = ["2018", "2019 a+b", "empty", "cut", "hurt"]
+    rows, audit = files.load_valid_files(spark, [str(tmp_path / n / "x.parquet") for n in names])
+    got = {r.path.split("/")[-2]: (r.loaded, r.rows_read) for r in audit.collect()}
+    assert got["2018"] == (True, 5) and got["empty"] == (True, 0)
+    assert got["2019 a+b"] == got["cut"] == got["hurt"] == (False, None)
+    assert rows.count() == 5 and audit.count() == 5
+
+
+def test_year_of_folder_or_file(spark):
+    paths = ["file:/a/2019/lar.csv", "file:/a/lar_2020.csv", "s3://b/year=2018/part-00000-2021.csv", "file:/a/lar.csv"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r[0] for r in df.select(files.path_year(F.col("p"))).collect()] == [2019, 2020, 2018, None]
+
+
+def test_settled_tables_can_be_cleared(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(shared, "shared_folder", lambda _: str(tmp_path))
+    kept = settle(spark.range(3))
+    assert kept.count() == 3 and list(tmp_path.rglob("*.parquet"))
+    assert shared.clear_settled(spark)
+    assert not list(tmp_path.rglob("*.parquet")) and not list((tmp_path / "lendlens").iterdir())
+
+
 def test_lei_responses(spark, tmp_path):
     body = {"data": {"attributes": {"entity": {"legalName": {"name": "Acme"}, "headquartersAddress": {"addressLines": ["1 St"]}}, "registration": {"status": "ISSUED"}}}}
     found = spark.createDataFrame([("A", json.dumps(body)), ("B", None)], "lei string, body string")
