@@ -79,14 +79,21 @@ def impute_hierarchical(
     return joined.select(*out)
 
 
-def attach_medians(df: DataFrame, medians: Mapping[str, DataFrame], grains) -> tuple[DataFrame, dict]:
-    """Join every keyed grain once; returns the frame and, per grain, a column → median accessor."""
+def attach_medians(
+    df: DataFrame, medians: Mapping[str, DataFrame], grains, whole: str | None = None
+) -> tuple[DataFrame, dict]:
+    """Join every keyed grain once; returns the frame and, per grain, a column → median accessor.
+
+    Medians of the whole frame are attached as one struct column, or taken from ``whole`` if ``df`` has it.
+    """
     joined, accessors = df, {}
     for i, (name, (keys, cols)) in enumerate(grains.items()):
         m = medians[name]
         if not keys:
-            whole = constants(m.select(*[f"median_{c}" for c in cols]))
-            accessors[name] = lambda c, w=whole: w[f"median_{c}"]
+            at = whole or f"__m{i}"
+            if whole is None:
+                joined = joined.withColumn(at, constants(m.select(*[f"median_{c}" for c in cols])))
+            accessors[name] = lambda c, at=at: F.col(at)[f"median_{c}"]
         else:
             renamed = m.select(*keys, *[F.col(f"median_{c}").alias(f"__m{i}_{c}") for c in cols])
             joined = joined.join(renamed, list(keys), "left")
@@ -206,7 +213,9 @@ def preprocess(
     c = F.col
     base = clean_features(features)
     medians = grouped_quantiles(base, GRAINS, {"median": 0.5, "low": 0.01, "high": 0.99})
-    caps = constants(medians["all"])
+    # all constants ride on one struct column, planned once however often they are used
+    base = base.withColumn("__all", constants(medians["all"]))
+    caps = c("__all")
 
     history = settle(prior_rate_history(base))
     start = history.agg(F.min("activity_year")).scalar() if first_year is None else F.lit(first_year)
@@ -216,7 +225,7 @@ def preprocess(
         history.join(typical.select("activity_year", c("q0").alias("__typical")), "activity_year", "left")
     )
 
-    joined, median = attach_medians(base, medians, GRAINS)
+    joined, median = attach_medians(base, medians, GRAINS, "__all")
     joined = joined.join(history.withColumnRenamed("prior_approval_rate", "__prior"), ["census_tract", "activity_year"], "left")
     joined = collapse_rare(joined, "race_sex_interaction", rare_minimum, "__race_sex")
 
@@ -258,7 +267,7 @@ def preprocess(
     second = column_quantiles(
         narrow, [*RATIO_COLUMNS, *[f"{x}_log" for x in QUARTILE_COLUMNS]], [0.01, 0.25, 0.5, 0.75, 0.99]
     )
-    level2 = constants(
+    second_level = constants(
         one_row(second, narrow.columns, {0: "{}_lower_cap", 1: "{}_q1", 2: "{}_q2", 3: "{}_q3", 4: "{}_upper_cap"})
     )
 
@@ -283,7 +292,8 @@ def preprocess(
         loan_to_income.alias("loan_to_income_ratio"),
         F.coalesce(median["state_purpose"]("loan_amount"), g("loan_amount")).alias("loan_amount_threshold"),
     )
-    capped = imputed.select(
+    level2 = c("__level2")
+    capped = imputed.withColumn("__level2", second_level).select(
         "*",
         *[
             winsorise(c(x), level2[f"{x}_lower_cap"], level2[f"{x}_upper_cap"]).alias(f"{x}_capped")
@@ -308,7 +318,7 @@ def preprocess(
             quartile_label(c(f"{x}_log"), [level2[f"{x}_log_q{i}"] for i in (1, 2, 3)]).alias(f"{x}_log_bin")
             for x in QUARTILE_COLUMNS
         ],
-    )
+    ).drop("__level2")
     if not number_rows:
         return done
     # ids are md5 hashes, so they are evenly spread; every join above keeps the rows of ``base``
