@@ -30,7 +30,7 @@ RULES = (
     Rule("too_few_words", lambda m: m["n_words"] < 50),
     Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
     Rule("symbols", lambda m: 10 * m["n_symbols"] > m["n_words"]),
-    Rule("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 30 * m["n_lines"]),
+    Rule("repeated_lines", lambda m: 100 * m["n_dup_lines"] > 50 * m["n_lines"]),
     Rule("shouting", lambda m: 100 * m["n_upper"] > 40 * m["word_chars"]),
     Rule("exclamations", lambda m: 10 * m["n_exclaims"] > m["n_words"]),
 )

@@ -34,7 +34,7 @@ def good(text):
         m["n_words"] < 50
         or 100 * m["n_repeat_words"] > 50 * m["n_words"]
         or 10 * m["n_symbols"] > m["n_words"]
-        or 100 * m["n_dup_lines"] > 30 * m["n_lines"]
+        or 100 * m["n_dup_lines"] > 50 * m["n_lines"]
         or 100 * m["n_upper"] > 40 * m["word_chars"]
         or 10 * m["n_exclaims"] > m["n_words"]
     )
