@@ -43,6 +43,19 @@ def _(spark, sf):
     return spark.read.schema(orders.schema).parquet(path)
 
 
+@query(
+    "append_new_by_year",
+    "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, min(l_extendedprice) AS price FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2",
+)
+def _(spark, sf):
+    joined = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = joined.select("o_orderkey", F.year("o_orderdate").alias("y"), F.col("l_extendedprice").alias("price"))
+    path = new_path(spark)
+    for part in (rows.filter("y % 2 = 0"), rows.filter("y > 1995"), rows):
+        sinks.append_new(part, path, "o_orderkey", [F.col("price")], partition="y")
+    return spark.read.schema(rows.schema).parquet(path).select("o_orderkey", "y", "price")
+
+
 @query("incremental_landing", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
 def _(spark, sf):
     schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"

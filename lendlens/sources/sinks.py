@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lendlens.operators.ranks import one_per_key
 from lendlens.operators.schema import enforce_schema, validate_schema
 
 
@@ -52,17 +53,31 @@ def materialize(df: DataFrame, name: str, kind: str = "table") -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Append rows whose key is not stored yet; running it twice adds nothing."""
-    fresh = df.dropDuplicates([key])
+def append_new(
+    df: DataFrame, path: str, key: str, order: Sequence[Column] = (), partition: str | None = None, most_partitions: int = 1000
+) -> None:
+    """Append rows whose key is not stored yet; running it twice adds nothing.
+
+    Of rows with one key the first by ``order`` is taken, then the fullest, then the smallest. With
+    ``partition``, a column that depends on the key, the target is written by its values and only the
+    stored ids of the values in ``df`` are read, as long as these are at most ``most_partitions``. One
+    writer at a time: nothing guards against two.
+    """
+    fresh = one_per_key(df, [key], order)
     try:
-        stored = df.sparkSession.read.schema(df.schema).parquet(path).select(key)
+        stored = df.sparkSession.read.schema(df.schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
     else:
-        fresh = fresh.join(stored, key, "left_anti").select(*df.columns)
-    fresh.write.mode("append").parquet(path)
+        if partition is not None:
+            found = [r[0] for r in df.select(partition).distinct().limit(most_partitions + 1).collect()]
+            if len(found) <= most_partitions:
+                here = F.col(partition).isin([v for v in found if v is not None])
+                stored = stored.filter(here | F.col(partition).isNull() if None in found else here)
+        fresh = fresh.join(stored.select(key), key, "left_anti").select(*df.columns)
+    writer = fresh.write.mode("append")
+    (writer if partition is None else writer.partitionBy(partition)).parquet(path)
 
 
 def append_log(df: DataFrame, path: str, schema: str) -> None:
