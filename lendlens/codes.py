@@ -76,8 +76,25 @@ RACE = {
     44: "Other Pacific Islander",
     5: "White",
 }
-# The source groups American Indian or Alaska Native applicants with AAPI; pass another map to change it.
-RACE_GROUP = {code: {3: "Black", 5: "White"}.get(code, "AAPI") for code in RACE}
+# Fixed values. American Indian or Alaska Native applicants are grouped with AAPI; pass another map to change it.
+RACE_GROUP = {
+    1: "AAPI",
+    2: "AAPI",
+    21: "AAPI",
+    22: "AAPI",
+    23: "AAPI",
+    24: "AAPI",
+    25: "AAPI",
+    26: "AAPI",
+    27: "AAPI",
+    3: "Black",
+    4: "AAPI",
+    41: "AAPI",
+    42: "AAPI",
+    43: "AAPI",
+    44: "AAPI",
+    5: "White",
+}
 SEX = {1: "Male", 2: "Female", 6: "Male and Female"}
 AUS = {
     1: "Desktop Underwriter",
@@ -105,26 +122,21 @@ AAPI_RACES = [2, 4, 21, 22, 23, 24, 25, 26, 27]
 _YES_NO = {1: 1, 2: 0, 3: None, 4: None, EXEMPT: None}
 
 
-def _observed(yes: str, no: str) -> tuple[dict, dict]:
-    return {1: yes, 2: no}, _YES_NO
-
-
-_ETHNICITY_SEEN = _observed("Ethnicity Collected on Basis of Observation", "Ethnicity Not Based on Observation")
-_SEEN = _observed("Collected on basis of visual observation", "Not Collected on basis of visual observation")
+# Labels of yes/no codes.
+_ETHNICITY_SEEN = ({1: "Ethnicity Collected on Basis of Observation", 2: "Ethnicity Not Based on Observation"}, _YES_NO)
+_SEEN = ({1: "Collected on basis of visual observation", 2: "Not Collected on basis of visual observation"}, _YES_NO)
 _SEX_CODES = {3: None, 4: None, 5: None, 6: 3}
 
 #: column → (labels by code, cleaned value by code)
 CODED: dict[str, tuple[dict, dict]] = {
-    "reverse_mortgage": _observed("Reverse Mortgage", "Not Reverse Mortgage"),
-    "open_end_line_of_credit": _observed("Open Line Of Credit", "Not Open Line Of Credit"),
-    "business_or_commercial_purpose": _observed("Business Purpose", "Not Business Purpose"),
+    "reverse_mortgage": ({1: "Reverse Mortgage", 2: "Not Reverse Mortgage"}, _YES_NO),
+    "open_end_line_of_credit": ({1: "Open Line Of Credit", 2: "Not Open Line Of Credit"}, _YES_NO),
+    "business_or_commercial_purpose": ({1: "Business Purpose", 2: "Not Business Purpose"}, _YES_NO),
     "hoepa_status": (HOEPA_STATUS, _YES_NO),
-    "negative_amortization": _observed("Negative Amortization Features", "No Negative Amortization Features"),
-    "interest_only_payment": _observed("Interest-Only Payments", "No Interest-Only Payments"),
-    "balloon_payment": _observed("Balloon Payment", "No Balloon Payment"),
-    "other_nonamortizing_features": _observed(
-        "Other non-fully amortizing features", "No other non-fully amortizing features"
-    ),
+    "negative_amortization": ({1: "Negative Amortization Features", 2: "No Negative Amortization Features"}, _YES_NO),
+    "interest_only_payment": ({1: "Interest-Only Payments", 2: "No Interest-Only Payments"}, _YES_NO),
+    "balloon_payment": ({1: "Balloon Payment", 2: "No Balloon Payment"}, _YES_NO),
+    "other_nonamortizing_features": ({1: "Other non-fully amortizing features", 2: "No other non-fully amortizing features"}, _YES_NO),
     "construction_method": (CONSTRUCTION_METHOD, {}),
     "occupancy_type": (OCCUPANCY_TYPE, {}),
     "manufactured_home_secured_property_type": (HOME_SECURED_PROPERTY, {3: None, EXEMPT: None}),

@@ -11,42 +11,139 @@ def text_schema(names) -> T.StructType:
     return T.StructType([T.StructField(n, _S) for n in names])
 
 
-LAR_TEXT_COLUMNS = (
-    "activity_year action_taken lei state_code county_code census_tract derived_msa_md "
-    "loan_amount property_value income loan_type loan_purpose lien_status construction_method "
-    "occupancy_type preapproval applicant_race_1 applicant_ethnicity_1 applicant_sex applicant_age "
-    "co_applicant_race_1 co_applicant_ethnicity_1 co_applicant_sex co_applicant_age "
-    "debt_to_income_ratio interest_rate rate_spread origination_charges lender_credits "
-    "discount_points total_loan_costs total_points_and_fees negative_amortization "
-    "interest_only_payment balloon_payment other_nonamortizing_features prepayment_penalty_term "
-    "aus_1 aus_2 aus_3 aus_4 submission_of_application initially_payable_to_institution"
-).split()
-
-PIPE_LAR_COLUMNS = (
-    "activity_year legal_entity_identifier loan_type loan_purpose preapproval construction_method "
-    "occupancy_type loan_amount action_taken property_state property_county census_tract "
-    "borrower_one_ethnicity borrower_two_ethnicity borrower_three_ethnicity "
-    "borrower_four_ethnicity borrower_five_ethnicity co_borrower_one_ethnicity "
-    "co_borrower_two_ethnicity co_borrower_three_ethnicity co_borrower_four_ethnicity "
-    "co_borrower_five_ethnicity borrower_ethnicity_based_on_obs "
-    "co_borrower_ethnicity_based_on_obs borrower_one_race borrower_two_race borrower_three_race "
-    "borrower_four_race borrower_five_race co_borrower_one_race co_borrower_two_race "
-    "co_borrower_three_race co_borrower_four_race co_borrower_five_race "
-    "borrower_race_based_on_obs co_borrower_race_based_on_obs borrower_gender co_borrower_gender "
-    "borrower_gender_based_on_obs co_borrower_gender_based_on_obs borrower_age "
-    "is_borrower_62_or_older co_borrower_age is_co_borrower_62_or_older income type_of_purchaser "
-    "rate_spread hoepa_status lien_status borrower_credit_score_model "
-    "co_borrower_credit_score_model reason_for_denial_one reason_for_denial_two "
-    "reason_for_denial_three reason_for_denial_four total_loan_costs total_points_and_fees "
-    "origination_charges discount_points lender_credits interest_rate prepayment_penalty_term "
-    "debt_to_income_ratio combined_loan_to_value_ratio loan_term_months intro_rate_period "
-    "balloon_payment interest_only_payments negative_amortization other_non_amortizing_features "
-    "property_value manufactured_home_property_type manufactured_home_land_property_interest "
-    "total_units multifamily_affordable_units submission_of_application "
-    "is_init_payable_to_institution auto_underwriting_system_one auto_underwriting_system_two "
-    "auto_underwriting_system_three auto_underwriting_system_four auto_underwriting_system_five "
-    "is_reverse_mortgage is_open_end_line_of_credit is_for_business_purpose"
-).split()
+LAR_TEXT_COLUMNS = [
+    "activity_year",
+    "action_taken",
+    "lei",
+    "state_code",
+    "county_code",
+    "census_tract",
+    "derived_msa_md",
+    "loan_amount",
+    "property_value",
+    "income",
+    "loan_type",
+    "loan_purpose",
+    "lien_status",
+    "construction_method",
+    "occupancy_type",
+    "preapproval",
+    "applicant_race_1",
+    "applicant_ethnicity_1",
+    "applicant_sex",
+    "applicant_age",
+    "co_applicant_race_1",
+    "co_applicant_ethnicity_1",
+    "co_applicant_sex",
+    "co_applicant_age",
+    "debt_to_income_ratio",
+    "interest_rate",
+    "rate_spread",
+    "origination_charges",
+    "lender_credits",
+    "discount_points",
+    "total_loan_costs",
+    "total_points_and_fees",
+    "negative_amortization",
+    "interest_only_payment",
+    "balloon_payment",
+    "other_nonamortizing_features",
+    "prepayment_penalty_term",
+    "aus_1",
+    "aus_2",
+    "aus_3",
+    "aus_4",
+    "submission_of_application",
+    "initially_payable_to_institution",
+]
+
+PIPE_LAR_COLUMNS = [
+    "activity_year",
+    "legal_entity_identifier",
+    "loan_type",
+    "loan_purpose",
+    "preapproval",
+    "construction_method",
+    "occupancy_type",
+    "loan_amount",
+    "action_taken",
+    "property_state",
+    "property_county",
+    "census_tract",
+    "borrower_one_ethnicity",
+    "borrower_two_ethnicity",
+    "borrower_three_ethnicity",
+    "borrower_four_ethnicity",
+    "borrower_five_ethnicity",
+    "co_borrower_one_ethnicity",
+    "co_borrower_two_ethnicity",
+    "co_borrower_three_ethnicity",
+    "co_borrower_four_ethnicity",
+    "co_borrower_five_ethnicity",
+    "borrower_ethnicity_based_on_obs",
+    "co_borrower_ethnicity_based_on_obs",
+    "borrower_one_race",
+    "borrower_two_race",
+    "borrower_three_race",
+    "borrower_four_race",
+    "borrower_five_race",
+    "co_borrower_one_race",
+    "co_borrower_two_race",
+    "co_borrower_three_race",
+    "co_borrower_four_race",
+    "co_borrower_five_race",
+    "borrower_race_based_on_obs",
+    "co_borrower_race_based_on_obs",
+    "borrower_gender",
+    "co_borrower_gender",
+    "borrower_gender_based_on_obs",
+    "co_borrower_gender_based_on_obs",
+    "borrower_age",
+    "is_borrower_62_or_older",
+    "co_borrower_age",
+    "is_co_borrower_62_or_older",
+    "income",
+    "type_of_purchaser",
+    "rate_spread",
+    "hoepa_status",
+    "lien_status",
+    "borrower_credit_score_model",
+    "co_borrower_credit_score_model",
+    "reason_for_denial_one",
+    "reason_for_denial_two",
+    "reason_for_denial_three",
+    "reason_for_denial_four",
+    "total_loan_costs",
+    "total_points_and_fees",
+    "origination_charges",
+    "discount_points",
+    "lender_credits",
+    "interest_rate",
+    "prepayment_penalty_term",
+    "debt_to_income_ratio",
+    "combined_loan_to_value_ratio",
+    "loan_term_months",
+    "intro_rate_period",
+    "balloon_payment",
+    "interest_only_payments",
+    "negative_amortization",
+    "other_non_amortizing_features",
+    "property_value",
+    "manufactured_home_property_type",
+    "manufactured_home_land_property_interest",
+    "total_units",
+    "multifamily_affordable_units",
+    "submission_of_application",
+    "is_init_payable_to_institution",
+    "auto_underwriting_system_one",
+    "auto_underwriting_system_two",
+    "auto_underwriting_system_three",
+    "auto_underwriting_system_four",
+    "auto_underwriting_system_five",
+    "is_reverse_mortgage",
+    "is_open_end_line_of_credit",
+    "is_for_business_purpose",
+]
 
 CENSUS_CODES = {
     "B03002_001E": "total_population",
