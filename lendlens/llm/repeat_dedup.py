@@ -28,7 +28,7 @@ TRIGGER, DISTANCE = 16, 128
 #: Contexts whose suffixes are ranked together; a gram with more is compared string by string in Spark.
 BLOCK = 20_000
 _SIDE = LENGTH - GRAM  # a string reaches this far to either side of its gram
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 _LAST = (1 << 63) - 1
 
 
@@ -56,16 +56,15 @@ class _Texts:
 
 
 def _batches(texts: Sequence) -> Iterator[tuple[int, _Texts]]:
-    """Texts (null as empty) in chunks of about a megabyte, with the number of the first."""
-    data = [b"" if t is None else t.encode("utf-8") for t in texts]
+    """Texts (null as empty) in chunks of about half a megabyte, with the number of the first."""
     begin = size = 0
-    for i in range(len(data) + 1):
-        if i == len(data) or (i > begin and size + len(data[i]) > _CHUNK):
+    for i in range(len(texts) + 1):
+        length = len(texts[i] or "") if i < len(texts) else 0
+        if i == len(texts) or (i > begin and size + length > _CHUNK):
             if i > begin:
-                yield begin, _Texts(data[begin:i])
+                yield begin, _Texts([b"" if t is None else t.encode("utf-8") for t in texts[begin:i]])
             begin, size = i, 0
-        if i < len(data):
-            size += len(data[i])
+        size += length
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,16 +100,22 @@ def _open_starts(t: _Texts, first: int, settled: Sequence) -> np.ndarray:
 
 
 def _sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """First position of the smallest value in each window, by doubling."""
-    n = len(values) - width + 1
-    best = np.arange(len(values))
+    """First position of the smallest value in each window, by doubling.
+
+    Values are compared by their upper 40 bits in texts of any length, so that the choice depends on a
+    window's content alone; the position takes the place of the lower bits while it fits there.
+    """
+    low = np.uint64(24)
+    values = values >> low << low
+    packed = len(values) <= 1 << 24
+    best = values | np.arange(len(values), dtype=np.uint64) if packed else np.arange(len(values))
     span = 1
     while span < width:
         step = min(span, width - span)
         a, b = best[: len(best) - step], best[step:]
-        best = np.where(values[b] < values[a], b, a)
+        best = np.minimum(a, b) if packed else np.where(values[b] < values[a], b, a)
         span += step
-    return best[:n]
+    return (best & np.uint64((1 << 24) - 1)).astype(np.int64) if packed else best
 
 
 def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,39 +150,52 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def string_classes(contexts: Sequence[bytes], left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class of the string at each offset of each context, and whether there is one.
 
-    Contexts are laid so that their grams share a column; ranks of 1, 2, 4, ... bytes are doubled up to
-    the largest power within :data:`LENGTH`, and two overlapping ranks make the class of a string.
+    Contexts are laid so that their grams share a column; ranks of 8, 16, ... bytes are doubled up to
+    the largest power within :data:`LENGTH`, and two overlapping ranks make the class of a string. What
+    lies outside a context counts as zero bytes, which no string that is there reaches.
     """
-    width = LENGTH + _SIDE
-    n = len(contexts)
+    n, width = len(contexts), LENGTH + _SIDE
     lens = np.array([len(c) for c in contexts], dtype=np.int64)
     flat = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     column = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(_SIDE - left, lens)
-    rank = np.zeros((n, width), dtype=np.int64)
-    rank[np.repeat(np.arange(n), lens), column] = flat.astype(np.int64) + 1
-    span = 1
+    laid = np.zeros((n, width), dtype=np.uint8)
+    laid[np.repeat(np.arange(n), lens), column] = flat
+    span = 8  # eight bytes are a number themselves
+    rank = np.zeros((n, width - span + 1), dtype=np.uint64)
+    for k in range(span):
+        rank = (rank << np.uint64(8)) | laid[:, k : k + width - span + 1]
+
+    def ranked(keys: np.ndarray) -> np.ndarray:
+        return np.unique(keys, return_inverse=True)[1].reshape(keys.shape).astype(np.int64)
+
+    def doubled(rank: np.ndarray, step: int, keep: int) -> np.ndarray:
+        return ranked(rank[:, :keep] * (int(rank.max()) + 1) + rank[:, step : step + keep])
+
+    rank = ranked(rank)
     while 2 * span <= LENGTH:
-        pair = rank[:, :-span] * (int(rank.max()) + 1) + rank[:, span:]
-        _, inverse = np.unique(pair, return_inverse=True)
-        rank = inverse.reshape(pair.shape)
+        rank = doubled(rank, span, width - 2 * span + 1)
         span *= 2
-    gap = LENGTH - span
-    pair = rank[:, : _SIDE + 1] * (int(rank.max()) + 1) + rank[:, gap : gap + _SIDE + 1]
-    _, classes = np.unique(pair, return_inverse=True)
+    classes = doubled(rank, LENGTH - span, _SIDE + 1)
     offset = np.arange(_SIDE + 1)[None, :]
     there = (offset >= _SIDE - left[:, None]) & (offset + LENGTH <= (_SIDE - left + lens)[:, None])
-    return classes.reshape(pair.shape), there
+    return classes, there
 
 
 def _masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def of(block: pd.DataFrame) -> pd.DataFrame:
-        left, first = block["lead"].to_numpy(), block["first"].to_numpy()
-        classes, there = string_classes(block["ctx"].tolist(), left)
-        least = np.full(int(classes.max()) + 1, _LAST, dtype=np.int64)
-        np.minimum.at(least, classes[there], np.broadcast_to(first[:, None], classes.shape)[there])
-        seen = there & (least[classes] < first[:, None])
-        mask = (seen.astype(np.int64) << np.arange(_SIDE + 1)[None, :]).sum(axis=1)
-        return pd.DataFrame({"gram": block["gram"], "cid": block["cid"], "first": first, "mask": mask})
+        gram, first = block["gram"].to_numpy(), block["first"].to_numpy()
+        mask = np.zeros(len(block), dtype=np.int64)
+        # a gram with one context has no other context to share a string with
+        same = gram[1:] == gram[:-1]
+        several = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+        if len(several):
+            own = first[several]
+            classes, there = string_classes(block["ctx"].take(several).tolist(), block["lead"].to_numpy()[several])
+            least = np.full(int(classes.max()) + 1, _LAST, dtype=np.int64)
+            np.minimum.at(least, classes[there], np.broadcast_to(own[:, None], classes.shape)[there])
+            seen = there & (least[classes] < own[:, None])
+            mask[several] = (seen.astype(np.int64) << np.arange(_SIDE + 1)[None, :]).sum(axis=1)
+        return pd.DataFrame({"gram": gram, "cid": block["cid"], "first": first, "mask": mask})
 
     waiting: pd.DataFrame | None = None
     for batch in batches:
@@ -193,32 +211,46 @@ def _masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield of(waiting)
 
 
+def _local(lists: Sequence, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of several lists (null as empty) end to end, and the base of the list each comes from."""
+    full = [np.empty(0, np.int64) if x is None else np.asarray(x, dtype=np.int64) for x in lists]
+    return np.concatenate(full), np.repeat(base, [len(x) for x in full])
+
+
 def _remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         settled, places, masks = batch["settled"].tolist(), batch["places"].tolist(), batch["masks"].tolist()
-        sizes, spans, kept = [], [], []
         for first, t in _batches(batch["text"].tolist()):
-            edge = np.zeros(len(t.flat) + 1, dtype=np.int32)
-            owner, at, following = t.phrases()
-            for i in range(len(t.sizes)):
-                if settled[first + i] is not None:
-                    own = np.isin(at, np.asarray(settled[first + i], dtype=np.int64) + t.starts[i])
-                    np.add.at(edge, at[own], 1)
-                    np.add.at(edge, following[own] - 1 + LENGTH, -1)
-                if places[first + i] is not None:
-                    pos, mask = np.asarray(places[first + i], dtype=np.int64), np.asarray(masks[first + i], dtype=np.int64)
-                    row, offset = np.nonzero(mask[:, None] >> np.arange(_SIDE + 1)[None, :] & 1)
-                    start = t.starts[i] + pos[row] - _SIDE + offset
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + LENGTH, -1)
+            rows = slice(first, first + len(t.sizes))
+            _, at, following = t.phrases()
+            start, base = _local(settled[rows], t.starts)
+            whole = np.isin(at, start + base)
+            pos, base = _local(places[rows], t.starts)
+            row, offset = np.nonzero(_local(masks[rows], t.starts)[0][:, None] >> np.arange(_SIDE + 1)[None, :] & 1)
+            single = (pos + base)[row] - _SIDE + offset
+            size = len(t.flat) + 1
+            edge = np.bincount(np.concatenate((at[whole], single)), minlength=size)
+            edge -= np.bincount(np.concatenate((following[whole] - 1, single)) + LENGTH, minlength=size)
             gone = np.cumsum(edge[:-1]) > 0
-            for a, b in zip(t.starts, t.ends):
-                mine = gone[a:b]
-                turns = np.flatnonzero(np.diff(np.concatenate(([False], mine, [False])).astype(np.int8)))
-                sizes.append(b - a)
-                spans.append(turns.tolist())
-                kept.append(t.flat[a:b][~mine].tobytes())
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": sizes, "edges": spans, "kept": kept})
+            # runs end where a text ends
+            begins = gone & ~np.insert(gone[:-1], 0, False) if len(gone) else gone
+            begins[t.starts[t.sizes > 0]] = gone[t.starts[t.sizes > 0]]
+            ends = gone & ~np.append(gone[1:], False) if len(gone) else gone
+            ends[t.ends[t.sizes > 0] - 1] = gone[t.ends[t.sizes > 0] - 1]
+            a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+            owner = np.searchsorted(t.ends, a, side="right")
+            turns = np.stack((a - t.starts[owner], b - t.starts[owner]), axis=1).ravel()
+            cut = 2 * np.searchsorted(owner, np.arange(1, len(t.sizes)))
+            left = t.flat[~gone].tobytes()
+            upto = np.concatenate(([0], np.cumsum(~gone)))
+            yield pd.DataFrame(
+                {
+                    "doc_id": batch["doc_id"].iloc[rows].array,
+                    "n_bytes": t.sizes,
+                    "edges": np.split(turns, cut),
+                    "kept": [left[upto[x] : upto[y]] for x, y in zip(t.starts, t.ends)],
+                }
+            )
 
 
 def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
@@ -256,8 +288,9 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     # rows equal in id and text share ord and rid, and so all results
     parsed = base.select("ord", "rid", "text").mapInPandas(_parse, "ord bigint, rid bigint, start int, h1 bigint, h2 bigint")
     parsed = settle(parsed)
-    shared = parsed.groupBy("h1", "h2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi")
-    earlier = parsed.join(shared.select("h1", "h2", "lo"), ["h1", "h2"]).filter("lo < ord").select("ord", "rid", "start")
+    firsts = parsed.groupBy("h1", "h2").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi")
+    firsts = settle(firsts.select("h1", "h2", "lo"))  # written, so that a phrase of very many texts is split in the join
+    earlier = parsed.join(firsts, ["h1", "h2"]).filter("lo < ord").select("ord", "rid", "start")
     settled = settle(earlier.groupBy("rid", "ord").agg(F.collect_list("start").alias("settled")))
 
     rows = base.join(settled, ["rid", "ord"], "left").select("ord", "rid", "text", "settled")

@@ -6,14 +6,14 @@ import numpy as np
 
 #: Odd, so that they have inverses modulo 2 ** 64.
 BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
-_LEAST = 1 << 21
+_LEAST = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least ``n`` powers of the base and of its inverse."""
     if base not in _powers or len(_powers[base][0]) < n:
-        size = max(n, _LEAST)
+        size = max(n + n // 4, _LEAST)
         _powers[base] = tuple(
             np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, b, dtype=np.uint64))))
             for b in (base, pow(base, -1, 1 << 64))
