@@ -27,7 +27,7 @@ TREES, DEPTH = 24, 3
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
 #: Cells of the 0/1 matrix of a block, at most; larger blocks are compared by lists.
 MATRIX_CELLS = 1 << 24
-_CHUNK = 1 << 20  # bytes of text that are hashed at a time
+_CHUNK = 1 << 19  # bytes of text that are hashed at a time
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -142,6 +142,13 @@ def linked_stars(sets: Sequence[np.ndarray]) -> list[tuple[int, int]]:
     return [(int(root[k]), k) for k in range(g) if root[k] != k]
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    """Smaller batches, so that the sets of few texts are held at a time."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.iloc[lo : lo + rows]
+
+
 def sketch(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, ``k`` (MD5 of id and text), n_shingles, node and sig.
 
@@ -151,7 +158,7 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     schema = f"doc_id {dict(docs.dtypes)[id_column]}, k string, n_shingles bigint, node binary, sig array<int>"
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             sets = shingle_sets(batch["text"].tolist())
             nodes: list = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             sigs: list = [None] * len(sets)
@@ -161,7 +168,7 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
                 for i, s in zip(part, signatures([sets[i] for i in part])):
                     sigs[i] = s
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "k": batch["k"], "n_shingles": [len(s) for s in sets], "node": nodes, "sig": sigs}
+                {"doc_id": batch["doc_id"].array, "k": batch["k"].array, "n_shingles": [len(s) for s in sets], "node": nodes, "sig": sigs}
             )
 
     return docs.select(F.col(id_column).alias("doc_id"), row_key(id_column, text).alias("k"), F.col(text).cast("string").alias("text")).mapInPandas(of, schema)
@@ -208,7 +215,7 @@ def link_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, nodes, sets = None, [], []
-        for batch in batches:
+        for batch in _slices(batches):
             found: list[tuple[bytes, bytes]] = []
             hashed = shingle_sets(batch["text"].tolist())
             for now, node, s in zip(zip(batch["bucket"], batch["block"]), batch["node"], hashed):
