@@ -1,9 +1,9 @@
 """Near-duplicate documents by an LSH forest of MinHash signatures.
 
 Every tree is the order of all signatures read from its own offset. Documents that agree on the first
-values of an order form a region; a region that is too large for one block is cut further along the
-deeper values. Inside a block, links are decided on full shingle sets, and only a spanning star of each
-linked set leaves the task.
+values of an order form a region; a region that is too large for one block is sorted by the whole order
+and cut by rank, so that a block is bounded however alike its texts are. Inside a block, links are
+decided on full shingle sets, and only a spanning star of each linked set leaves the task.
 """
 
 from __future__ import annotations
@@ -17,16 +17,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlens.llm.common import or_empty
 from lendlens.llm.rolling import Stretches, mixed
+from lendlens.operators.ranks import running_totals
 from lendlens.shared import settle
 
 SHINGLE = 5
 #: Orders of the forest and values that make a region; a pair of similarity s shares none with
 #: probability (1 - s ** DEPTH) ** TREES, 2e-6 at 0.75.
 TREES, DEPTH = 24, 3
-#: Rows and shingles of a block of a region, about.
+#: Nodes and shingles of a slice of a region, at most; a node with more shingles is a slice of its own, or ends one.
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
 #: Cells of the 0/1 matrix of a block, at most; larger blocks are compared by lists.
 MATRIX_CELLS = 1 << 24
+_FIRST = 8  # sets of a block that are compared with all before the others
 _CHUNK = 1 << 19  # bytes of text that are hashed at a time
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
@@ -95,12 +97,14 @@ def signatures(sets: Sequence[np.ndarray], values: int = TREES * DEPTH) -> np.nd
     return out
 
 
-def linked_stars(sets: Sequence[np.ndarray]) -> list[tuple[int, int]]:
+def linked_stars(sets: Sequence[np.ndarray], probes: Sequence[int] | None = None) -> list[tuple[int, int]]:
     """Star edges (centre, member) of the sets that are connected by links, decided on the full sets.
 
     Two sets are linked if 100 times their intersection is at least 75 times their union. Shingles of
     one set alone are left out of the products; the others make a 0/1 matrix if it stays small, and
-    lists by shingle otherwise.
+    lists by shingle otherwise. A few sets are compared with all first; the largest set of linked ones
+    is then connected already, so only the others are compared with all. With ``probes`` just these are
+    compared with all.
     """
     g = len(sets)
     n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -131,14 +135,23 @@ def linked_stars(sets: Sequence[np.ndarray]) -> list[tuple[int, int]]:
             return 175 * np.stack(rows) >= 75 * (n[i][:, None] + n[None, :])
 
         step = 16
-    for lo in range(0, g, step):
-        i = np.arange(lo, min(g, lo + step))
+    def meet(i: np.ndarray) -> None:
         for k, row in zip(i, near(i)):
             # relabel every root met by this row to the smallest one
             met = np.unique(root[row])
             if len(met) and (len(met) > 1 or met[0] != root[k]):
                 met = np.union1d(met, root[k])
                 root[np.isin(root, met)] = met[0]
+
+    if probes is None:
+        meet(np.unique(np.linspace(0, g - 1, min(g, _FIRST)).astype(int)))
+        main = np.bincount(root).argmax()  # a root is a member of its set
+        todo = np.flatnonzero(root != root[main])
+    else:
+        main, todo = None, np.asarray(probes, dtype=int)
+    for lo in range(0, len(todo), step):
+        i = todo[lo : lo + step]
+        meet(i if main is None else i[root[i] != root[main]])
     return [(int(root[k]), k) for k in range(g) if root[k] != k]
 
 
@@ -181,52 +194,105 @@ def row_key(id_column: str = "doc_id", text: str = "text") -> Column:
 
 
 def regions(classes: DataFrame) -> DataFrame:
-    """Members (bucket, blocks, block, node) of every region with two nodes or more.
-
-    ``blocks`` is how many blocks the region needs; rows are dealt to blocks by the next values of
-    their order, so that blocks follow the tree downwards, and by the node below the last value.
-    """
+    """Members (bucket, tree, large, node) of every region with two nodes or more; ``large`` ones need cutting."""
     tree = lambda t, k: F.get(F.col("sig"), F.lit((t * DEPTH + k) % (TREES * DEPTH)))
     orders = F.array(
         *[
-            F.struct(
-                F.xxhash64(F.lit(t), *[tree(t, k) for k in range(DEPTH)]).alias("bucket"),
-                F.xxhash64(*[tree(t, k) for k in range(DEPTH, 2 * DEPTH)]).alias("deeper"),
-            )
+            F.struct(F.lit(t).alias("tree"), F.xxhash64(F.lit(t), *[tree(t, k) for k in range(DEPTH)]).alias("bucket"))
             for t in range(TREES)
         ]
     )
     rows = classes.select("node", "n_shingles", F.explode(orders).alias("o")).select("node", "n_shingles", "o.*")
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("g"), F.sum("n_shingles").alias("s")).filter("g > 1")
-    sizes = sizes.select("bucket", F.greatest(F.ceil(F.col("g") / BLOCK_ROWS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = rows.join(sizes, "bucket")
-    fine = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("node"), F.lit(4))).otherwise(0)
-    return members.select("bucket", "blocks", F.pmod(F.xxhash64("deeper", fine), F.col("blocks")).cast("int").alias("block"), "node")
+    sizes = sizes.select("bucket", ((F.col("g") > BLOCK_ROWS) | (F.col("s") > BLOCK_SHINGLES)).alias("large"))
+    return rows.join(sizes, "bucket").select("bucket", "tree", "large", "node")
+
+
+def cut_evenly(members: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``members`` with ``name``, the number of a row's slice of its bucket in ``order``, which has to be total.
+
+    A slice has at most :data:`BLOCK_ROWS` rows, and its last row begins within :data:`BLOCK_SHINGLES`
+    shingles of it, however alike the rows are.
+    """
+    counted = members.withColumn("__one", F.lit(1).cast("bigint"))
+    laid = running_totals(counted, order, {"__at": "__one", "__upto": "n_shingles"}, ["bucket"])
+    # both terms never fall along the order, so their sum names each pair of them
+    own = F.floor((F.col("__at") - 1) / BLOCK_ROWS) + F.floor((F.col("__upto") - F.col("n_shingles")) / BLOCK_SHINGLES)
+    return laid.select(*members.columns, own.cast("bigint").alias(name))
+
+
+def slices(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (bucket, block, node, n_shingles) of large regions, cut in the order of their signatures.
+
+    The order reads the whole signature from the tree's own offset, ties by the node.
+    """
+    around = F.slice(F.concat("sig", "sig"), F.col("tree") * DEPTH + DEPTH + 1, F.lit((TREES - 1) * DEPTH))
+    rows = large.join(classes.select("node", "sig", "n_shingles"), "node")
+    rows = rows.select("bucket", around.alias("around"), "node", "n_shingles")
+    return cut_evenly(rows, ["around", "node"], "block").select("bucket", "block", "node", "n_shingles")
+
+
+def leaders(cut: DataFrame) -> DataFrame:
+    """Two nodes of every large region as members of each of its slices, so that groups of near copies meet."""
+    ends = cut.groupBy("bucket").agg(F.array(F.min("node"), F.max("node")).alias("nodes"), F.max("block").alias("last"))
+    each = ends.select("bucket", F.explode("nodes").alias("node"), F.sequence(F.lit(0).cast("bigint"), "last").alias("blocks"))
+    return each.select("bucket", F.explode("blocks").alias("block"), "node")
+
+
+def unsettled_pairs(cut: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """Members (bucket, block, node, probe) that still have to be compared across slices; None if nothing is left.
+
+    In each large region the nodes outside its largest component are cut into slices themselves, and each
+    of these meets every slice of the region. All other pairs of nodes are connected already.
+    """
+    labelled = settle(cut.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    counts = labelled.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("m"), F.count(F.lit(1)).alias("parts"))
+    main = settle(main.filter("parts > 1").select("bucket", F.col("m.root").alias("main")))
+    if main.isEmpty():
+        return None
+    rest = labelled.join(main, "bucket").filter("root != main").select("bucket", "block", "node", "n_shingles")
+    rest = settle(cut_evenly(rest, ["block", "node"], "probe_block").select("bucket", "probe_block", "node"))
+    wide = labelled.groupBy("bucket").agg((F.max("block") + 1).alias("across"))
+    sizes = settle(rest.groupBy("bucket").agg((F.max("probe_block") + 1).alias("down")).join(wide, "bucket"))
+    upto = lambda c: F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)
+    probes = rest.join(sizes, "bucket").select("*", F.explode(upto("across")).alias("block"), F.lit(True).alias("probe"))
+    others = labelled.join(sizes, "bucket").select("*", F.explode(upto("down")).alias("probe_block"), F.lit(False).alias("probe"))
+    named = ["bucket", (F.col("probe_block") * F.col("across") + F.col("block")).alias("block"), "node", "probe"]
+    return probes.select(*named).union(others.select(*named))
 
 
 def link_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes that are connected inside a block; ``members`` has bucket, block, node."""
+    """Edges (a, b) between nodes that are connected inside a block; ``members`` has bucket, block, node.
+
+    With a column ``probe`` only the nodes that have it true are compared with all of their block.
+    """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = members.join(texts, "node").select("bucket", "block", "node", "text")
-    grouped = rows.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "node")
+    probing = "probe" in members.columns
+    flag = F.col("probe") if probing else F.lit(True).alias("probe")
+    rows = members.join(texts, "node").select("bucket", "block", "node", flag, "text")
+    grouped = rows.repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", "node", F.desc("probe"))
 
-    def edges_of(nodes: list[bytes], sets: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
-        return [(nodes[i], nodes[j]) for i, j in linked_stars(sets)] if len(nodes) > 1 else []
+    def edges_of(nodes: list[bytes], sets: list[np.ndarray], probes: list[int]) -> list[tuple[bytes, bytes]]:
+        pairs = linked_stars(sets, probes if probing else None) if len(nodes) > 1 else []
+        return [(nodes[i], nodes[j]) for i, j in pairs]
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, nodes, sets = None, [], []
+        key, nodes, sets, probes = None, [], [], []
         for batch in _slices(batches):
             found: list[tuple[bytes, bytes]] = []
             hashed = shingle_sets(batch["text"].tolist())
-            for now, node, s in zip(zip(batch["bucket"], batch["block"]), batch["node"], hashed):
+            for now, node, probe, s in zip(zip(batch["bucket"], batch["block"]), batch["node"], batch["probe"], hashed):
                 if now != key:
-                    found += edges_of(nodes, sets)
-                    key, nodes, sets = now, [], []
+                    found += edges_of(nodes, sets, probes)
+                    key, nodes, sets, probes = now, [], [], []
                 if not nodes or nodes[-1] != node:
+                    if probe:
+                        probes.append(len(nodes))
                     nodes.append(bytes(node))
                     sets.append(s)
             yield pd.DataFrame(found, columns=["a", "b"])
-        yield pd.DataFrame(edges_of(nodes, sets), columns=["a", "b"])
+        yield pd.DataFrame(edges_of(nodes, sets, probes), columns=["a", "b"])
 
     return grouped.mapInPandas(link, "a binary, b binary").distinct()
 
@@ -261,9 +327,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     the same answer; null ids never name a component unless all its ids are null. Other columns are
     ignored and an empty table gives no rows.
 
-    Equal sets are one node from the start. A region of one block is settled there. In a larger region
-    whose blocks leave more than one component, every pair of blocks is compared as well, so no link
-    inside a region is lost whatever its size.
+    Equal sets are one node from the start. A region of one slice is settled there. A larger one is cut
+    into slices, each with two nodes of the whole region; then the nodes that are not in its largest
+    component meet all slices, two at a time, so no link inside a region is lost whatever its size.
     """
     rows = settle(sketch(docs, id_column, text))
     classes = settle(
@@ -275,17 +341,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     needed = members.select("node").distinct().join(classes.select("node", "k"), "node")
     source = docs.select(row_key(id_column, text).alias("k"), F.col(text).cast("string").alias("text"))
     texts = settle(source.join(needed, "k").select("node", "text"))
-    edges = settle(link_blocks(members.select("bucket", "block", "node"), texts))
-    roots = components(edges)
-    large = members.filter("blocks > 1")
+    blocks = members.filter("NOT large").select("bucket", F.lit(0).cast("bigint").alias("block"), "node")
+    large, cut = members.filter("large"), None
     if not large.isEmpty():
-        labelled = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi")
-        spread = F.transform(
-            F.sequence(F.lit(0), F.col("blocks") - 1),
-            lambda o: F.least("block", o) * F.col("blocks") + F.greatest("block", o),
-        )
-        pairs = large.join(mixed.select("bucket"), "bucket").select("bucket", F.explode(F.array_distinct(spread)).alias("block"), "node")
+        cut = settle(slices(large, classes))
+        blocks = blocks.union(cut.select("bucket", "block", "node")).union(leaders(cut))
+    edges = settle(link_blocks(blocks, texts))
+    roots = components(edges)
+    pairs = None if cut is None else unsettled_pairs(cut, roots)
+    if pairs is not None:
         edges = settle(edges.union(link_blocks(pairs, texts)))
         roots = components(edges)
     named = classes.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))

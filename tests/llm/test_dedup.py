@@ -86,6 +86,26 @@ def test_near(spark, monkeypatch, rows):
     assert {r.doc_id for r in kept.collect()} == {d for d, w in want.items() if d == w[1]}
 
 
+def test_near_copies_in_bounded_blocks(spark, monkeypatch):
+    limit, held, link = 16, [], lsh_forest.link_blocks
+
+    def watched(members, texts):
+        counts = members.distinct().groupBy("bucket", "block").agg(F.countDistinct("node").alias("n"))
+        held.append(counts.agg(F.max("n")).first()[0])
+        return link(members, texts)
+
+    monkeypatch.setattr(lsh_forest, "BLOCK_ROWS", limit)
+    monkeypatch.setattr(lsh_forest, "link_blocks", watched)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    docs = [edited(rng, base, 1 + k % 2) for k in range(300)]
+    # alike enough to share regions, not enough to be linked with all
+    docs += [edited(rng, base, 3 + k % 3) for k in range(60)]
+    docs = list(zip(rng.sample(range(1000), len(docs)), docs))
+    assert near_rows(spark, docs)[1] == near(docs)
+    assert held[0] <= limit + 2 and max(held) <= 2 * limit
+
+
 def test_near_on_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert near_rows(spark, docs)[1] == near(docs)
