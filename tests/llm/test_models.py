@@ -1,5 +1,7 @@
 """Language identification, secret scan, token counts, resharding and the pipeline."""
 
+import random
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -66,6 +68,35 @@ def test_secret_edges(spark):
     assert secret_scan.scan(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_secrets_of_other_forms(spark):
+    rng = random.Random(21)
+    of = lambda n, letters: "".join(rng.choices(letters, k=n))
+    hexa, mixed = "0123456789abcdef", string.ascii_letters + string.digits
+    forms = {
+        "github": lambda: ('github_token = "', "ghp_" + of(36, mixed), '"'),
+        "client": lambda: ('client_secret: "', of(64, hexa), '"'),
+        "bearer": lambda: ("curl -H Bearer ", of(40, hexa), " "),
+        "bare": lambda: ("export API_KEY=", of(32, mixed), " "),
+        "short": lambda: ('dbPassword = "', of(11, mixed + "!@#%&") + "7", '"'),
+        "cloud": lambda: ("aws_access_key_id: ", "AKIA" + of(16, string.ascii_uppercase + string.digits), "\n"),
+    }
+    false = {
+        "commit": lambda: ("fixed in commit ", of(40, hexa), " "),
+        "card": lambda: ("and then ", of(16, string.digits), " "),
+        "path": lambda: ("under ", "/usr/share/" + of(6, string.ascii_lowercase) + "/lib" + of(8, string.ascii_lowercase) + "12", " "),
+    }
+    planted = [(name, *make(), name in forms) for name, make in [*forms.items(), *false.items()] for _ in range(20)]
+    texts = {i: f"some words here {a}{v}{z} and more" for i, (_, a, v, z, _) in enumerate(planted)}
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    df = spark.createDataFrame([*rows, *((-1 - i, t) for i, t in texts.items())], "doc_id long, text string")
+    got = {(r.doc_id, r.value): r.kept for r in secret_scan.scan(df, F.col("doc_id") >= 0).filter("doc_id < 0").collect()}
+    recall = Counter(p[0] for i, p in enumerate(planted) if p[4] and got.get((-1 - i, p[2])))
+    wrong = Counter(p[0] for i, p in enumerate(planted) if not p[4] and got.get((-1 - i, p[2])))
+    print("recall of 20", dict(recall), "false of 20", dict(wrong))
+    assert all(recall[name] >= 18 for name in forms), recall
+    assert all(wrong[name] <= 2 for name in false), wrong
+
+
 def test_token_counts(spark):
     tokenizer = Tokenizer.from_file(VOCABULARY)
     alphabet = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
