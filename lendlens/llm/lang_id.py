@@ -209,14 +209,17 @@ def _short_piece(text: str) -> str:
 def training_examples(labelled: DataFrame, per_language: int, text: str, lang: str) -> DataFrame:
     """At most ``per_language`` labelled texts of each language, by a hash of the text, as gram frequencies.
 
-    Each language is thinned by its own count before its rows are ranked, so no language's rows meet in
-    one task. Each text gives two rows, itself and a short piece of it.
+    Each language is thinned by its own count of distinct texts and reduced to distinct ones before they
+    are ranked, so neither a language's rows nor the copies of a text meet in one task. Each text gives two rows, itself and a short piece of it.
     """
     usable = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     usable = usable.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    key = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    counts = settle(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    digest = F.xxhash64("text", F.lit(7))
+    key = F.pmod(digest, F.lit(1 << 30)) / float(1 << 30)
+    distinct = usable.select("lang", digest.alias("h")).distinct()  # only counted, so a chance match does no harm
+    counts = settle(distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
     thinned = usable.withColumn("key", key).join(counts, "lang").filter(F.col("key") * F.col("n") < 2 * per_language)
+    thinned = thinned.select("lang", "text", "key").distinct()
     rank = F.row_number().over(W.partitionBy("lang").orderBy("key", "text"))
     chosen = thinned.select("lang", "text", rank.alias("rank")).filter(F.col("rank") <= per_language).select("lang", "text")
 

@@ -243,15 +243,15 @@ def reviewed(each: int = 60, seed: int = 13) -> list[tuple[str, int, int, int]]:
 def remove_false_findings(found: DataFrame, labelled: DataFrame, trees: int = 20, depth: int = 6, seed: int = 5) -> DataFrame:
     """``found`` with ``score``, the forest's share for a secret, and ``kept`` (a half or more).
 
-    ``labelled`` has the features and ``label`` (0 or 1); at most about :data:`PER_CLASS` rows of each
-    class, by a hash of the value, fit the forest. With one class only every score is that class; with
+    ``labelled`` has the features and ``label`` (0 or 1); at most about :data:`PER_CLASS` distinct
+    rows of each class, by a hash of the row, fit the forest. With one class only every score is that class; with
     no labelled row nothing is removed and every score is 1.
     """
-    usable = labelled.filter(F.col("label").isin(0, 1)).select(*FEATURES, F.col("label").cast("double").alias("label"), "value")
+    usable = labelled.filter(F.col("label").isin(0, 1)).select(*FEATURES, F.col("label").cast("double").alias("label"), "value").distinct()
     totals = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return found.withColumn("score", F.lit(float(next(iter(totals), 1.0)))).withColumn("kept", F.col("score") >= 0.5)
-    key = F.pmod(F.xxhash64("value", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    key = F.pmod(F.xxhash64("value", *FEATURES, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("label") == 1, PER_CLASS / totals[1.0]).otherwise(PER_CLASS / totals[0.0])
     sample = usable.filter(key < share).coalesce(2)
     vector = VectorAssembler(inputCols=list(FEATURES), outputCol="__features")

@@ -44,6 +44,28 @@ def test_language_edges(spark):
     assert lang_id.identify(df.limit(0), labelled).count() == 0
 
 
+def test_language_sample_of_copies(spark):
+    copies = spark.range(12000).select(F.concat(F.lit("text of "), F.md5((F.col("id") % 60).cast("string").cast("binary"))).alias("text"))
+    rows = lang_id.training_examples(copies.withColumn("lang", F.lit("en")), 30, "text", "lang").collect()
+    assert len(rows) == 60 and len({(tuple(r.codes), tuple(r.freqs)) for r in rows}) >= 30
+
+
+def test_secret_sample_of_copies(spark, monkeypatch):
+    seen, fit = [], secret_scan.RandomForestClassifier.fit
+
+    def watched(self, rows, *more):
+        seen.append({r.label: r["count"] for r in rows.groupBy("label").count().collect()})
+        return fit(self, rows, *more)
+
+    monkeypatch.setattr(secret_scan, "PER_CLASS", 20)
+    monkeypatch.setattr(secret_scan.RandomForestClassifier, "fit", watched)
+    value = F.when(F.col("id") < 4000, F.lit("hot")).otherwise(F.col("id").cast("string"))
+    features = [F.lit(1.0).alias(f) for f in secret_scan.FEATURES]
+    labelled = spark.range(4100).select(*features, value.alias("value"), (F.col("id") < 4050).cast("int").alias("label"))
+    secret_scan.remove_false_findings(labelled, labelled)
+    assert 8 <= seen[0][1.0] <= 40 and 8 <= seen[0][0.0] <= 40
+
+
 def test_secrets_held_out(spark):
     rows = queries.op4(spark, SF).collect()
     held = [r for r in rows if r.held_out]
