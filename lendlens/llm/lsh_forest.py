@@ -1,7 +1,7 @@
-"""Near-duplicate documents by an LSH forest of MinHash signatures.
+"""Near-duplicate documents by banded LSH of MinHash signatures, in place of an LSH forest.
 
-Every tree is the order of all signatures read from its own offset. Documents that agree on the first
-values of an order form a region; a region that is too large for one block is sorted by the whole order
+Every tree reads the signatures from its own offset. Documents that agree on its first :data:`DEPTH`
+values, a band, form a region; the depth is fixed and neighbours by longest common prefix are not sought; a region that is too large for one block is sorted by the whole order
 and cut by rank, so that a block is bounded however alike its texts are. Inside a block, links are
 decided on full shingle sets, and only a spanning star of each linked set leaves the task.
 """
