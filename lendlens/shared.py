@@ -9,10 +9,12 @@ Both are met by writing the frame as Parquet and reading it back.
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,10 +31,22 @@ def new_path(spark: SparkSession) -> str:
     return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder in whatever store the path names; false if there was none."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def clear_settled(spark: SparkSession) -> bool:
     """Delete everything this application has settled; frames read from it cannot be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return delete_path(spark, _own_folder(spark))
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the tables of frames that :func:`settle` returned, once all that reads them is written."""
+    for df in frames:
+        if path := _paths.pop(df, None):
+            delete_path(df.sparkSession, path)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -44,4 +58,6 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
