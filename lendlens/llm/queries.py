@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline's parts as queries, with SQL where it can say the same."""
+"""The operators and the pipeline's parts as queries, with SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ from lendlens.llm import (
     repeat_dedup,
     resharding,
     secret_scan,
+    simhash,
     token_counts,
 )
 from lendlens.llm.common import table
@@ -259,3 +260,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("__place.old").alias("old_shard"),
     )
+
+
+@query("op13_simhash_duplicates")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
