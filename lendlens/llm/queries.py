@@ -12,6 +12,7 @@ from lendlens.llm import (
     lang_id,
     lsh_forest,
     mixing,
+    product_codes,
     quality_rules,
     repeat_dedup,
     resharding,
@@ -265,3 +266,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_simhash_duplicates")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Rounds of assigning and averaging, unrolled; a part component is a row."""
+    steps = [
+        f"""k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c : CAST(floor(c::DOUBLE * 1024) AS BIGINT)) AS v,
+          row_number() OVER (ORDER BY vec_id, embedding) AS rid FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c : c IS NULL OR NOT isfinite(c))) = 0)""",
+        f"""x AS MATERIALIZED (SELECT rid, (i - 1) // (len(v) // {parts}) AS p, (i - 1) % (len(v) // {parts}) AS i, v[i] AS c
+          FROM (SELECT rid, v, unnest(generate_series(1, len(v))) AS i FROM k))""",
+        f"b0 AS MATERIALIZED (SELECT p, rid - 1 AS e, i, c FROM x WHERE rid <= {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (SELECT rid, p, min(s).e AS e, min(s).d AS d FROM (
+              SELECT rid, p, {{'d': d, 'e': e}} AS s FROM (SELECT x.rid, x.p, b.e, sum((x.c - b.c) * (x.c - b.c)) AS d
+              FROM x JOIN b{r} b USING (p, i) GROUP BY ALL)) GROUP BY rid, p)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""m{r} AS (SELECT p, e, i, CAST(floor(sum(c) / count(*)) AS BIGINT) AS c FROM x JOIN a{r} USING (rid, p) GROUP BY ALL),
+            b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, b.i, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (p, e, i))"""
+            )
+    return f"""WITH {', '.join(steps)},
+    c AS (SELECT rid, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, e, i)) FROM b{rounds}) AS codebooks_sha256
+    FROM k JOIN c USING (rid)"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    found = product_codes.compress(vectors)
+    rows = product_codes.with_group_error(found.codes, "keep_0", "label_error")
+    return rows.select(
+        F.col("id").alias("vec_id"),
+        product_codes.hex_codes().alias("code"),
+        "error",
+        "label_error",
+        F.lit(product_codes.digest(found.codebooks)).alias("codebooks_sha256"),
+    )
