@@ -49,7 +49,7 @@ def forget(*frames: DataFrame) -> None:
             delete_path(df.sparkSession, path)
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and return it as a plain Parquet scan.
 
     Unlike a cached frame the result survives the loss of any executor, and unlike an RDD
@@ -57,7 +57,7 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
     return out
