@@ -10,19 +10,18 @@ from lendlens.queries.registry import query
 from lendlens.queries.standin import LOANS, loans, table
 from lendlens.schemas import COUNTY_FIPS
 from lendlens.shared import new_path, settle
-from lendlens.sources import files, sinks
-from lendlens.streaming.landing import ingest_new
+from lendlens.sources import files, ledger, sinks
+from lendlens.streaming.landing import ingest_new, stream_id
 
 ID = "loan_application_id"
 _YEAR_PURPOSE = ["activity_year", "loan_purpose"]
 
 
-@query("partitioned_write", LOANS + "SELECT loan_application_id, loan_amount FROM loans WHERE activity_year = 1998 AND loan_purpose = 2")
+@query("partitioned_write", LOANS + "SELECT loan_application_id, loan_amount, activity_year, loan_purpose FROM loans")
 def _(spark, sf):
     path = new_path(spark)
     sinks.write_partitioned(loans(spark, sf).select(ID, "loan_amount", *_YEAR_PURPOSE), path, _YEAR_PURPOSE, files=4)
-    stored = spark.read.parquet(path)
-    return stored.filter("activity_year = 1998 and loan_purpose = 2").select(ID, "loan_amount")
+    return spark.read.parquet(path).select(ID, "loan_amount", *_YEAR_PURPOSE)
 
 
 @query("chunked_write", "SELECT count(*) AS n_rows, true AS bounded FROM lineitem")
@@ -56,13 +55,39 @@ def _(spark, sf):
     return spark.read.schema(rows.schema).parquet(path).select("o_orderkey", "y", "price")
 
 
-@query("incremental_landing", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+@query("incremental_landing", "SELECT o_orderkey, o_custkey, o_orderstatus, 3::BIGINT AS n_batches FROM orders")
 def _(spark, sf):
+    """Three batches that share ids; the second had been half written before, and the id lists are merged before the third."""
     schema = "o_orderkey bigint, o_custkey bigint, o_orderstatus string"
-    path, checkpoint = new_path(spark), new_path(spark)
-    for _ in range(2):  # the second run finds nothing new
-        ingest_new(spark, sf, path, checkpoint, schema, "o_orderkey", format="parquet", options={"pathGlobFilter": "orders.parquet"})
-    return spark.read.schema(schema).parquet(path)
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    source, target, checkpoint = new_path(spark), new_path(spark), new_path(spark)
+
+    def arrive(rows):
+        rows.write.mode("append").parquet(source)
+        ingest_new(spark, source, target, checkpoint, schema, "o_orderkey", format="parquet", options={})
+
+    arrive(orders.filter("o_orderkey % 3 <> 0"))
+    half = orders.limit(10).withColumn("o_orderkey", -F.col("o_orderkey"))
+    half.write.parquet(f"{target}/data/batch={stream_id(spark, checkpoint)}-1")
+    arrive(orders.filter("o_orderkey % 2 = 0"))
+    ledger.merge_ids(spark, target, "1", "bigint")
+    arrive(orders)
+    ingest_new(spark, source, target, checkpoint, schema, "o_orderkey", format="parquet", options={})  # finds nothing new
+    batches = ledger.manifest(spark, target).filter("landed_rows IS NOT NULL").count()
+    return ledger.landed(spark, target, orders.schema).withColumn("n_batches", F.lit(batches).cast("bigint"))
+
+
+@query("land_by_id", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(min(l_extendedprice) AS DOUBLE) AS price FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2 UNION ALL SELECT NULL, 0, 0")
+def _(spark, sf):
+    """Null is a key like any other, a batch of known keys adds nothing, and a batch is landed once."""
+    kind = "l_orderkey bigint, l_linenumber bigint, price double"
+    items = table(spark, sf, "lineitem").filter("l_linenumber = 1").selectExpr("l_orderkey", "l_linenumber", "l_extendedprice AS price")
+    target = new_path(spark)
+    nulls = spark.range(2).selectExpr("CAST(NULL AS bigint) AS l_orderkey", "0 AS l_linenumber", "0 AS price")
+    typed = lambda df: df.to(spark.createDataFrame([], kind).schema)
+    for name, part in (("a", items.filter("l_orderkey % 4 = 1")), ("b", items.unionByName(nulls)), ("c", nulls), ("b", items)):
+        ledger.land_batch(typed(part), target, "l_orderkey", name, [F.col("price")])
+    return ledger.landed(spark, target, typed(items).schema)
 
 
 @query(

@@ -1,13 +1,18 @@
-"""Incremental landing of new files, safe to run again."""
+"""Incremental landing of new files, each application exactly once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from lendlens.operators.ranks import best_row
-from lendlens.sources.sinks import append_new
+from lendlens.sources.ledger import land_batch
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id that a stream keeps as long as its checkpoint is kept."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def ingest_new(
@@ -20,16 +25,21 @@ def ingest_new(
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
     format: str = "csv",
     options: dict | None = None,
+    order: Sequence[Column] = (),
 ) -> None:
-    """Land every file not seen before, each application once, then stop.
+    """Land every file not seen before, each application once, then stop; read with ``ledger.landed``.
 
-    The stream's checkpoint remembers files; the anti-join on ``key`` makes a replayed batch harmless.
+    The stream's checkpoint remembers files. A micro-batch lands under the stream's id and its own number, so one
+    that is replayed after a crash replaces what it had half written, or does nothing if it counted
+    already. Applications that came in an earlier batch, whichever the stream, are left out by the id ledger.
     """
     reader = spark.readStream.format(format).schema(schema).options(**(options or {"header": "true"}))
     stream = transform(reader.load(source))
 
-    def land(batch: DataFrame, _epoch: int) -> None:
-        append_new(best_row(batch, [key]), target, key)
+    def land(batch: DataFrame, epoch: int) -> None:
+        batch.persist()  # read for its prefixes, its repeated keys and its rows
+        land_batch(batch, target, key, f"{stream_id(batch.sparkSession, checkpoint)}-{epoch}", order)
+        batch.unpersist()
 
     query = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

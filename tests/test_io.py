@@ -9,7 +9,7 @@ from lendlens import shared
 from lendlens.operators import schema as S
 from lendlens.schemas import IMPORTANCE_LOG, PIPE_LAR_COLUMNS, canonical_lar
 from lendlens.shared import settle
-from lendlens.sources import files, responses, sinks
+from lendlens.sources import files, ledger, responses, sinks
 from lendlens.streaming.landing import ingest_new
 
 
@@ -234,4 +234,30 @@ def test_stream_lands_each_file_and_id_once(spark, tmp_path):
     run()
     write(src / "2019.csv", "id,v\n2,b\n3,c\n")
     run()
-    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["1", "2", "3"]
+    schema = spark.createDataFrame([], "id string, v string").schema
+    assert sorted((r.id, r.v) for r in ledger.landed(spark, out, schema).collect()) == [("1", "a"), ("2", "b"), ("3", "c")]
+
+
+def test_land_batch_counts_once_and_reads_touched_prefixes_only(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    schema = spark.range(1).schema
+    ids = lambda: sorted(r.id for r in ledger.landed(spark, out, schema).collect())
+    assert ids() == []
+    assert ledger.land_batch(spark.range(50), out, "id", "s-0")
+    # a writer that died: rows and ids without a manifest row
+    spark.range(900, 910).write.parquet(f"{out}/data/batch=s-1")
+    spark.range(900, 910).withColumnRenamed("id", "key").withColumn("prefix", F.lit(0)).write.partitionBy("prefix").parquet(f"{out}/ids/batch=s-1")
+    assert ids() == list(range(50))
+    assert ledger.land_batch(spark.range(40, 60), out, "id", "s-1")
+    assert not ledger.land_batch(spark.range(1000), out, "id", "s-1")
+    assert ids() == list(range(60))
+    entries = ledger.manifest(spark, out).collect()
+    assert len(ledger._id_paths(entries, out, {3})) <= 2 < len(ledger._id_paths(entries, out))
+    ledger.merge_ids(spark, out, "0", "bigint")
+    ledger.merge_ids(spark, out, "1", "bigint")
+    entries = ledger.manifest(spark, out).collect()
+    assert all("merged=1" in p for p in ledger._id_paths(entries, out))
+    assert ledger.land_batch(spark.range(70), out, "id", "s-2")
+    assert ids() == list(range(70))
+    assert ledger.land_batch(spark.range(5), out, "id", "s-3")
+    assert ids() == list(range(70))
