@@ -1,8 +1,8 @@
-"""Exact interpolated quantiles for any mix of groupings, without per-group value maps.
+"""Exact interpolated quantiles for any mix of groupings.
 
-``median`` and ``percentile`` merge a value-to-count map per group in one task, which for a hot or
-global group is a whole column. Here equal values are counted first, running totals over
-range-partitioned values locate the wanted positions, and only those rows are kept.
+``percentile`` merges a value-to-count map per group in one task, which is right for small groups and wrong
+for a hot or global one. Rows are counted per group first: groups of up to :data:`SMALL_GROUP` rows take the
+built-in, larger ones are refined by histograms (see ``selection``), which moves counts instead of values.
 """
 
 from __future__ import annotations
@@ -14,12 +14,20 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lendlens.operators.ranks import running_totals
+from lendlens.operators.selection import cells
 from lendlens.shared import settle
 
+#: Rows of a group that one task may hold, times the columns asked for.
+SMALL_GROUP = 20_000
+
 
 def quantiles_of_counts(counted: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(groups, value, n) to (groups, q0, q1, …) by linear interpolation between neighbours."""
-    totals = running_totals(counted, ["value"], {"upto": "n"}, groups)
+    return _interpolated(running_totals(counted, ["value"], {"upto": "n"}, groups), groups, probs)
+
+
+def _interpolated(totals: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles from (groups, value, n, upto, upto_total); only the values at the wanted positions have to be there."""
     target = lambda p: F.lit(float(p)) * (F.col("upto_total") - 1)
     covers = lambda pos: (F.col("upto") > pos) & (F.col("upto") - F.col("n") <= pos)
     ends = [(F.floor(target(p)), F.ceil(target(p))) for p in probs]
@@ -60,21 +68,60 @@ def column_name(columns: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("column_id") + 1).alias("column_name")
 
 
+def _exact(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float], hot: DataFrame | None) -> DataFrame:
+    """(``__g``, column_id, q0, q1, …) of the columns; ``__g`` is a struct of the keys, so null is a group of its own.
+
+    ``hot`` has the ``__g`` of the large groups, None if there are none.
+    """
+    group = F.struct(*[F.col(k).alias(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.select(group.alias("__g"), *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(columns)])
+    each = [F.percentile(f"__c{i}", [float(p) for p in probs]).alias(f"__q{i}") for i in range(len(columns))]
+    small = rows if hot is None else rows.join(hot, "__g", "left_anti")
+    found = small.groupBy("__g").agg(*each)
+    pairs = F.array(*[F.struct(F.lit(i).alias("column_id"), F.col(f"__q{i}").alias("q")) for i in range(len(columns))])
+    found = found.select("__g", F.explode(pairs).alias("p")).filter("p.q IS NOT NULL")
+    found = found.select("__g", "p.column_id", *[F.col("p.q")[i].alias(f"q{i}") for i in range(len(probs))])
+    if hot is not None:
+        large = long_values(rows.join(hot, "__g", "left_semi"), ["__g"], [f"__c{i}" for i in range(len(columns))])
+        found = found.unionByName(_interpolated(cells(large, ["__g", "column_id"], probs), ["__g", "column_id"], probs))
+    return found
+
+
+def _hot_groups(df: DataFrame, grains: Sequence[Sequence[str]], columns: int) -> list[DataFrame | None]:
+    """Large groups of every grain, from one job."""
+    most = max(1, SMALL_GROUP // max(1, columns))
+    counts = [
+        df.groupBy(F.struct(*[F.col(k).alias(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all")))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .toDF("__g", "n")
+        .filter(F.col("n") > most)
+        .select("__g")
+        for keys in grains
+    ]
+    tagged = [c.select(F.lit(i).alias("grain"), *[c["__g"] if j == i else F.lit(None).alias(f"g{j}") for j in range(len(counts))]) for i, c in enumerate(counts)]
+    named = [t.toDF("grain", *[f"g{j}" for j in range(len(counts))]) for t in tagged]
+    every = named[0]
+    for t in named[1:]:
+        every = every.union(t)
+    every = settle(every)
+    present = {r[0] for r in every.select("grain").distinct().collect()}
+    return [every.filter(F.col("grain") == i).select(F.col(f"g{i}").alias("__g")) if i in present else None for i in range(len(counts))]
+
+
 def column_quantiles(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], groups: Sequence[str] = (), exact: bool = True
 ) -> DataFrame:
-    """(groups, column_name, q0, q1, …), one row per column and group.
+    """(groups, column_name, q0, q1, …), one row per column and group; null group values are a group.
 
     ``exact=False`` swaps in the mergeable sketch, which needs no second pass.
     """
-    keys = [*groups, "column_id"]
-    values = long_values(df, groups, columns)
     if exact:
-        counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-        found = quantiles_of_counts(counted, keys, probs)
+        (hot,) = _hot_groups(df, [groups], len(columns))
+        found = _exact(df, groups, columns, probs, hot).select(*[F.col("__g")[g].alias(g) for g in groups], "column_id", *[f"q{i}" for i in range(len(probs))])
     else:
+        keys = [*groups, "column_id"]
         sketch = F.percentile_approx("value", [float(p) for p in probs], 10000).alias("__q")
-        found = values.groupBy(*keys).agg(sketch).select(
+        found = long_values(df, groups, columns).groupBy(*keys).agg(sketch).select(
             *keys, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(probs))]
         )
     return found.select(*groups, column_name(columns), *[f"q{i}" for i in range(len(probs))])
@@ -94,49 +141,32 @@ def one_row(quantiles: DataFrame, columns: Sequence[str], names: Mapping[int, st
 def grouped_quantiles(
     df: DataFrame, grains: Mapping[str, tuple[Sequence[str], Sequence[str]]], probs: Mapping[str, float]
 ) -> dict[str, DataFrame]:
-    """Quantiles of several columns at several grains from one pass over ``df``.
+    """Quantiles of several columns at several grains.
 
     ``grains`` maps a grain name to (key columns, value columns); an empty key list is the whole
     frame. ``probs`` maps an output prefix to a probability; columns are ``<prefix>_<column>``. Rows
-    with a null in a grain's keys do not take part in that grain. The rows are first reduced to
-    counts per (all keys, column, value); only those counts fan out to the grains.
+    with a null in a grain's keys do not take part in that grain, and a group without any value has no row.
+    Each grain is one aggregate of ``df``, which should be cheap to read; the results are written together.
     """
-    all_keys = list(dict.fromkeys(k for keys, _ in grains.values() for k in keys))
-    all_cols = list(dict.fromkeys(c for _, cols in grains.values() for c in cols))
+    hot = _hot_groups(df, [keys for keys, _ in grains.values()], max(len(cols) for _, cols in grains.values()))
     slots = [f"k{i}" for i in range(max(len(keys) for keys, _ in grains.values()))]
-    base = long_values(df, all_keys, all_cols).groupBy(*all_keys, "column_id", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-
-    wanted = F.create_map(
-        *[
-            x
-            for i, c in enumerate(all_cols)
-            for x in (F.lit(i), F.array(*[F.lit(g) for g, (_, cols) in enumerate(grains.values()) if c in cols]))
-        ]
-    )
-    fan = base.withColumn("grain", F.explode(wanted[F.col("column_id")]))
-    slot_keys: list[Column] = []
-    for i, name in enumerate(slots):
-        value = F.lit(None).cast("string")
-        for g, (keys, _) in enumerate(grains.values()):
-            if i < len(keys):
-                value = F.when(F.col("grain") == g, F.col(keys[i]).cast("string")).otherwise(value)
-        slot_keys.append(value.alias(name))
-    sizes = F.element_at(F.array(*[F.lit(len(keys)) for keys, _ in grains.values()]), F.col("grain") + 1)
-    spread = fan.select("grain", *slot_keys, "column_id", "value", "n", sizes.alias("__size"))
-    for i, name in enumerate(slots):
-        spread = spread.filter((F.col("__size") <= i) | F.col(name).isNotNull())
-    keys = ["grain", *slots, "column_id"]
-    counted = spread.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
-    found = settle(quantiles_of_counts(counted, keys, list(probs.values())))
+    parts = []
+    for g, (large, (keys, cols)) in enumerate(zip(hot, grains.values())):
+        found = _exact(df.dropna(subset=list(keys)) if keys else df, keys, cols, list(probs.values()), large)
+        named = [F.col("__g")[k].cast("string") for k in keys] + [F.lit(None).cast("string")] * (len(slots) - len(keys))
+        values = [f"q{i}" for i in range(len(probs))]
+        parts.append(found.select(F.lit(g).alias("grain"), *[k.alias(s) for k, s in zip(named, slots)], "column_id", *values))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    found = settle(found)
 
     out = {}
     for g, (name, (grain_keys, cols)) in enumerate(grains.items()):
         mine = found.filter(F.col("grain") == g).groupBy(*slots[: len(grain_keys)]).agg(
             *[
-                F.max(F.when(F.col("column_id") == all_cols.index(c), F.col(f"q{i}"))).alias(f"{prefix}_{c}")
-                for c in cols
+                F.max(F.when(F.col("column_id") == j, F.col(f"q{i}"))).alias(f"{prefix}_{c}")
+                for j, c in enumerate(cols)
                 for i, prefix in enumerate(probs)
             ]
         )

@@ -1,9 +1,12 @@
 """Distributed numbering and totals against plain windows, with one key holding most rows."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from lendlens.operators import quantiles, ranks, sampling
+from lendlens.operators import quantiles, ranks, sampling, selection
 from lendlens.shared import settle, shared_folder
 
 
@@ -142,3 +145,43 @@ def test_chunks_are_dense(skewed):
     got = sampling.assign_chunks(skewed, 300, "id")
     r = got.agg(F.count_distinct("global_row_number").alias("d"), F.max("global_row_number").alias("m"), F.max("chunk_number").alias("c")).collect()[0]
     assert (r.d, r.m, r.c) == (20000, 20000, 66)
+
+
+@pytest.mark.parametrize("buckets,few", [(4096, 10_000), (16, 5)])
+def test_cells_refine_to_exact_order_statistics(spark, monkeypatch, buckets, few):
+    monkeypatch.setattr(selection, "BUCKETS", buckets)
+    monkeypatch.setattr(selection, "FEW_ROWS", few)
+    rng = random.Random(8)
+    groups = {
+        "tail": [math.exp(rng.gauss(0, 8)) * rng.choice([1, -1]) for _ in range(700)] + [1e308, -1e308, 5e-324, 0.0],
+        "ties": [float(rng.randint(0, 3)) for _ in range(500)] + [1e9],
+        "odd": [math.inf, -math.inf, math.nan, math.nan, 2.0, 3.0, -1.0],
+        "one": [7.25],
+        "same": [-3.5] * 40,
+    }
+    rows = [(g, v) for g, vs in groups.items() for v in [*vs, None]]
+    rng.shuffle(rows)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    found = selection.cells(spark.createDataFrame(rows, "g string, value double"), ["g"], probs).collect()
+    for g, vs in groups.items():
+        vs = sorted(vs, key=lambda v: (math.isnan(v), v))
+        mine = [r for r in found if r.g == g]
+        assert {r.upto_total for r in mine} == {len(vs)}
+        for p in probs:
+            for at in (math.floor(p * (len(vs) - 1)), math.ceil(p * (len(vs) - 1))):
+                (hit,) = [r for r in mine if r.upto - r.n <= at < r.upto]
+                assert hit.value == vs[at] or (math.isnan(hit.value) and math.isnan(vs[at]))
+
+
+def test_large_and_small_groups_agree_with_percentile(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "SMALL_GROUP", 60)
+    rows = [(None if i % 7 == 0 else i % 3, float(i * i % 101) if i % 5 else None, float(i)) for i in range(300)]
+    df = spark.createDataFrame([*rows, (9, None, 1.0)], "g int, a double, b double")
+    got = quantiles.column_quantiles(df, ["a", "b"], [0.1, 0.5], ["g"])
+    want = df.groupBy("g").agg(*[F.expr(f"percentile({c}, array(0.1, 0.5))").alias(c) for c in "ab"]).collect()
+    want = {(r.g, c): tuple(r[c]) for r in want for c in "ab" if r[c]}
+    assert {(r.g, r.column_name): (r.q0, r.q1) for r in got.collect()} == want
+    grains = quantiles.grouped_quantiles(df, {"by": (["g"], ["b"]), "all": ([], ["a"])}, {"median": 0.5})
+    by = {r.g: r.median_b for r in grains["by"].collect()}
+    assert by == {g: q[1] for (g, c), q in want.items() if c == "b" and g is not None}
+    assert "rangepartitioning" not in got._jdf.queryExecution().toString()
