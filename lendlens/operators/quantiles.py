@@ -17,8 +17,8 @@ from lendlens.operators.ranks import running_totals
 from lendlens.operators.selection import cells
 from lendlens.shared import settle
 
-#: Rows of a group that one task may hold, times the columns asked for.
-SMALL_GROUP = 20_000
+#: Rows of a group, times the columns asked for, that one task may hold as maps of values: about 100 MB.
+SMALL_GROUP = 1_000_000
 
 
 def quantiles_of_counts(counted: DataFrame, groups: Sequence[str], probs: Sequence[float]) -> DataFrame:

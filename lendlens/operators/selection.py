@@ -89,10 +89,12 @@ def cells(values: DataFrame, groups: Sequence[str], probs: Sequence[float], valu
         laid = laid.join(known, keys).withColumn("before", F.col("before") + F.col("__base"))
         mine = F.filter("wanted", lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n")))
         held = laid.withColumn("wanted", mine).filter(F.size("wanted") > 0)
+        # ranges are numbered anew, at most two a probability
+        number = F.row_number().over(W.partitionBy(*groups).orderBy("range", "bucket")) - 1
         held = settle(
             held.select(
                 *groups,
-                (F.col("range") * (BUCKETS + 4) + F.col("bucket") + 1).cast("bigint").alias("__place"),
+                number.alias("range"),
                 F.col("least").alias("lo"),
                 F.col("most").alias("hi"),
                 "least",
@@ -105,12 +107,8 @@ def cells(values: DataFrame, groups: Sequence[str], probs: Sequence[float], valu
         )
         single = F.col("lo") == F.col("hi")
         done.append(held.filter(single).select(*groups, F.col("lo").alias("value"), "n", (F.col("before") + F.col("n")).alias("upto"), "upto_total"))
-        few = held.filter(~single & (F.col("n") <= FEW_ROWS))
-        done.append(_by_value(given, few, groups))
-        # ranges are numbered anew, at most two a probability
-        number = F.row_number().over(W.partitionBy(*groups).orderBy("__place")) - 1
-        ranges = held.filter(~single & (F.col("n") > FEW_ROWS)).withColumn("range", number).drop("__place")
-        ranges = settle(ranges)
+        done.append(_by_value(given, held.filter(~single & (F.col("n") <= FEW_ROWS)), groups))
+        ranges = held.filter(~single & (F.col("n") > FEW_ROWS))
         if ranges.isEmpty():
             break
     else:
