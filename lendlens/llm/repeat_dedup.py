@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lendlens.llm.common import or_empty
 from lendlens.llm.rolling import BASES, Stretches
-from lendlens.shared import new_path, settle
+from lendlens.shared import forget, new_path, settle
 
 #: Bytes of a string that must not repeat, and of the gram that stands for it.
 LENGTH, GRAM = 50, 20
@@ -257,7 +257,7 @@ def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
     """``rows`` as a table in the shared folder, bucketed by row: joins by ``rid`` and ``ord`` leave the texts in place."""
     name = f"parsed_{uuid.uuid4().hex}"
     writer = rows.repartition(buckets, "rid", "ord").write.bucketBy(buckets, "rid", "ord").option("path", new_path(rows.sparkSession))
-    writer.format("parquet").saveAsTable(name)
+    writer.option("compression", "zstd").format("parquet").saveAsTable(name)
     return rows.sparkSession.table(name)
 
 
@@ -292,6 +292,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     firsts = settle(firsts.select("h1", "h2", "lo"))  # written, so that a phrase of very many texts is split in the join
     earlier = parsed.join(firsts, ["h1", "h2"]).filter("lo < ord").select("ord", "rid", "start")
     settled = settle(earlier.groupBy("rid", "ord").agg(F.collect_list("start").alias("settled")))
+    forget(parsed, firsts)
 
     rows = base.join(settled, ["rid", "ord"], "left").select("ord", "rid", "text", "settled")
     anchors = rows.mapInPandas(_anchors, "ord bigint, rid bigint, pos int, gram bigint")
@@ -302,10 +303,11 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     found = base.join(places, ["rid", "ord"]).select("ord", "rid", "text", "places")
     found = found.mapInPandas(_contexts, "ord bigint, rid bigint, pos int, lead int, ctx binary")
     gram = F.xxhash64(F.substring("ctx", F.col("lead") + 1, F.lit(GRAM)))
-    found = settle(found.select("*", gram.alias("gram"), F.xxhash64("lead", "ctx").alias("cid")))
+    found = settle(found.select("*", gram.alias("gram"), F.xxhash64("lead", "ctx").alias("cid")), "zstd")
     contexts = settle(
-        found.groupBy("gram", "cid").agg(F.min("ord").alias("first"), F.min("lead").alias("lead"), F.min("ctx").alias("ctx"))
+        found.groupBy("gram", "cid").agg(F.min("ord").alias("first"), F.min("lead").alias("lead"), F.min("ctx").alias("ctx")), "zstd"
     )
+    forget(places)
     many = settle(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK).select("gram"))
     few = contexts.join(many, "gram", "left_anti").repartition(n, "gram").sortWithinPartitions("gram")
     masks = few.mapInPandas(_masks, "gram bigint, cid bigint, first bigint, mask bigint")
@@ -320,6 +322,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     marked = marked.withColumn("mask", F.when(F.col("ord") > F.col("first"), F.col("inside")).otherwise(F.col("mask")))
     marked = marked.filter("mask != 0").groupBy("rid", "ord").agg(F.collect_list(F.struct("pos", "mask")).alias("m"))
     marks = settle(marked.select("rid", "ord", F.col("m.pos").alias("places"), F.col("m.mask").alias("masks")))
+    forget(found, contexts, many)
 
     last = base.join(settled, ["rid", "ord"], "left").join(marks, ["rid", "ord"], "left")
     last = last.select("doc_id", "text", "settled", "places", "masks")
