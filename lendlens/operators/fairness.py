@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from lendlens.functions.lending import BAD_TRACTS, MINORITY_GROUPS, REFERENCE_GROUP, UNKNOWN_GROUP
 from lendlens.functions.numbers import equal_bin, ratio, wald_interval, wilson_interval
-from lendlens.operators.ranks import match_on, running_totals
+from lendlens.operators.ranks import bucket_totals, match_on, value_bucket
 from lendlens.operators.rates import RACE
 from lendlens.shared import settle
 
@@ -179,7 +179,7 @@ def score_cdf(df: DataFrame, group: str, score: str = "score", weight: str | Non
     """Cumulative share of applications at or below each distinct score, per group."""
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = df.groupBy(group, score).agg(n.cast("bigint").alias("n"))
-    totals = running_totals(counted, [score], {"total": "n"}, [group])
+    totals = bucket_totals(counted, score, {"total": "n"}, [group])
     return totals.select(group, score, "n", "total", ratio(F.col("total"), F.col("total_total")).alias("percentile"))
 
 
@@ -190,13 +190,23 @@ def _by_score(df: DataFrame, keys: Sequence[str], score: str, actual: str) -> Da
     )
 
 
+#: Equal-width buckets of scores that rank statistics are settled in.
+SCORE_BUCKETS = 4096
+
+
 def _auc(counts: DataFrame, keys: Sequence[str], score: str) -> DataFrame:
-    t = running_totals(counts, [score], {"cum_neg": "neg", "cum_pos": "pos"}, keys)
+    """Pairs inside a score bucket are compared there; across buckets their totals are enough."""
     wide = lambda c: c.cast("decimal(19,0)")
-    twice_wins = wide(F.col("pos")) * wide(F.col("cum_neg") * 2 - F.col("neg"))
-    sums = t.groupBy(*keys).agg(
-        F.sum(twice_wins).alias("__w"), F.max("cum_pos_total").alias("__p"), F.max("cum_neg_total").alias("__n")
-    )
+    binned = counts.withColumn("__bucket", value_bucket(F.col(score), (0.0, 1.0), SCORE_BUCKETS))
+    within = W.partitionBy(*keys, "__bucket").orderBy(score).rowsBetween(W.unboundedPreceding, 0)
+    local = binned.withColumn("__cum", F.sum("neg").over(within))
+    twice_wins = wide(F.col("pos")) * wide(F.col("__cum") * 2 - F.col("neg"))
+    # the window left the rows dealt by (keys, bucket), so this moves nothing
+    buckets = local.groupBy(*keys, "__bucket").agg(F.sum(twice_wins).alias("__w"), F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
+    earlier = W.partitionBy(*(keys or [F.lit(0)])).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)  # a row per bucket
+    below = F.coalesce(F.sum("__n").over(earlier), F.lit(0))
+    crossed = buckets.withColumn("__w", F.col("__w") + wide(F.col("__p")) * wide(below * 2))
+    sums = crossed.groupBy(*keys).agg(F.sum("__w").alias("__w"), F.sum("__p").alias("__p"), F.sum("__n").alias("__n"))
     return sums.select(
         *keys, ratio(F.col("__w"), (F.col("__p") * 2).cast("double") * F.col("__n").cast("double")).alias("auc_roc")
     )
@@ -223,8 +233,7 @@ def pr_curve(
     df: DataFrame, keys: Sequence[str] = (), score: str = "score", actual: str = "actual_value"
 ) -> DataFrame:
     """Precision and recall at each distinct score used as threshold."""
-    order = [F.col(score).desc()]
-    t = running_totals(_by_score(df, keys, score, actual), order, {"tp": "pos", "fp": "neg"}, keys)
+    t = bucket_totals(_by_score(df, keys, score, actual), score, {"tp": "pos", "fp": "neg"}, keys, descending=True)
     return t.select(
         *keys,
         F.col(score).alias("threshold"),

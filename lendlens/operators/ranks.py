@@ -98,6 +98,55 @@ def running_totals(
     )
 
 
+def value_bucket(value: Column, span: tuple[float, float], buckets: int) -> Column:
+    """Equal-width bucket of a number, never falling as it rises in Spark's order: null, numbers, NaN.
+
+    Numbers outside of ``span`` are in the first or last bucket, so the span decides the balance only.
+    """
+    value, (lo, hi) = value.cast("double"), span
+    place = F.floor((value - lo) / (hi - lo) * buckets)
+    inside = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), place.cast("int")))
+    return F.when(value.isNull(), -1).when(F.isnan(value), buckets).when(value >= hi, buckets - 1).when(value <= lo, 0).otherwise(inside)
+
+
+def bucket_totals(
+    df: DataFrame,
+    value: str,
+    sums: Mapping[str, str],
+    groups: Sequence[str] = (),
+    descending: bool = False,
+    span: tuple[float, float] = (0.0, 1.0),
+    buckets: int = 4096,
+) -> DataFrame:
+    """:func:`running_totals` in the order of one number that is spread over ``span``, such as a score.
+
+    Equal-width buckets are the slices: one shuffle by (group, bucket), totals inside a bucket, and an offset
+    per bucket. Nothing is sampled or written. Pre-aggregate equal values, so that a bucket's rows
+    are its distinct values.
+    """
+    group = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)]) if groups else F.lit(0)
+    number = value_bucket(F.col(value), span, buckets)
+    placed = df.withColumn("__group", group).withColumn("__bucket", -number if descending else number)
+    order = F.col(value).desc() if descending else F.col(value)
+    within = W.partitionBy("__group", "__bucket").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy("__group")
+    earlier = whole.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)  # a row per bucket
+    tallies = placed.groupBy("__group", "__bucket").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in sums.items()])
+    bases = tallies.select(
+        "__group",
+        "__bucket",
+        *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in sums],
+        *[F.sum(f"__s_{n}").over(whole).alias(f"{n}_total") for n in sums],
+    )
+    local = placed.select("*", *[F.sum(c).over(within).alias(f"__l_{n}") for n, c in sums.items()])
+    joined = local.join(bases, ["__group", "__bucket"])
+    return joined.select(
+        *df.columns,
+        *[(F.col(f"__l_{n}") + F.col(f"__b_{n}")).alias(n) for n in sums],
+        *[f"{n}_total" for n in sums],
+    )
+
+
 def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
     """The row of each key that sorts first by ``order``, then has fewer nulls, then smaller values.
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from lendlens.operators import quantiles, ranks, sampling, selection
+from lendlens.operators import fairness, quantiles, ranks, sampling, selection
 from lendlens.shared import settle, shared_folder
 
 
@@ -185,3 +185,30 @@ def test_large_and_small_groups_agree_with_percentile(spark, monkeypatch):
     by = {r.g: r.median_b for r in grains["by"].collect()}
     assert by == {g: q[1] for (g, c), q in want.items() if c == "b" and g is not None}
     assert "rangepartitioning" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_bucket_totals_match_plain_window(spark, groups, descending):
+    rng = random.Random(9)
+    values = [rng.random() for _ in range(300)] + [-4.0, 0.0, 1.0, 7.5, math.inf, -math.inf, math.nan, None]
+    rows = [(g, v, rng.randint(0, 5)) for g in ("a", None) for v in dict.fromkeys(values)]
+    df = spark.createDataFrame(rows, "g string, value double, n long")
+    if not groups:
+        df = df.groupBy("value").agg(F.sum("n").alias("n"))
+    got = ranks.bucket_totals(df, "value", {"t": "n"}, groups, descending, buckets=16)
+    order = F.col("value").desc() if descending else F.col("value")
+    whole = W.partitionBy(*(groups or [F.lit(0)]))
+    want = df.select("*", F.sum("n").over(whole.orderBy(order)).alias("t"), F.sum("n").over(whole).alias("t_total"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "rangepartitioning" not in got._jdf.queryExecution().toString()
+
+
+def test_auc_on_distinct_and_tied_scores(spark):
+    rng = random.Random(10)
+    for scores in ([rng.random() for _ in range(400)], [rng.randint(0, 3) / 3 for _ in range(200)], [0.5 + rng.random() / 1e6 for _ in range(200)]):
+        rows = [(s, int(rng.random() < s)) for s in scores]
+        pos, neg = [s for s, a in rows if a], [s for s, a in rows if not a]
+        want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+        got = fairness.auc(spark.createDataFrame(rows, "score double, actual_value int")).first()["auc_roc"]
+        assert abs(got - want) < 1e-12
