@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from lendlens import codes
 from lendlens.functions import lending as L, numbers as N, text as X
-from lendlens.operators import cleaning, enrich
+from lendlens.operators import cleaning, enrich, features, profiling, quality
 from lendlens.operators.schema import enforce_schema, infer_numeric
 from lendlens.plans import staging
 from lendlens.queries.registry import query
@@ -463,6 +463,71 @@ def _(spark, sf):
     return responses.clean_distressed(raw).select("l_orderkey", "l_linenumber", "tract_fips", "is_distressed", "is_underserved")
 
 
+@query(
+    "distressed_by_year",
+    """SELECT l_orderkey, l_linenumber, lpad(CAST(l_suppkey % 50 AS VARCHAR), 2, '0') || '007000100' AS tract_fips,
+      CAST(year(l_shipdate) AS INTEGER) AS report_year, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_distressed FROM lineitem""",
+)
+def _(spark, sf):
+    nothing = F.lit(None).cast("string")
+    raw = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_shipdate", (F.col("l_suppkey") % 50).cast("string").alias("state_code"),
+        F.lit("7").alias("county_code"), F.lit("1.00").alias("tract_code"), F.when(F.col("l_returnflag") == "R", "X").alias("poverty"),
+        nothing.alias("unemployment"), nothing.alias("population_loss"), nothing.alias("remote_rural"),
+    )
+    marked = responses.clean_distressed(raw, F.year("l_shipdate"))
+    return marked.select("l_orderkey", "l_linenumber", "tract_fips", "report_year", "is_distressed")
+
+
+@query(
+    "replace_and_map",
+    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'one' END AS code_category,
+      CASE o_orderkey % 4 WHEN 1 THEN 10::BIGINT WHEN 2 THEN 20::BIGINT END AS code FROM orders""",
+)
+def _(spark, sf):
+    coded = table(spark, sf, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).cast("string").alias("code"))
+    return cleaning.replace_and_map(coded, "code", {0: ("none", None), 1: ("one", 10), 2: (None, 20)})
+
+
+@query("co_applicant_present", "SELECT c_custkey, CAST(c_nationkey % 6 <> 5 AS INTEGER) AS joint FROM customer")
+def _(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", L.co_applicant_present(F.col("c_nationkey") % 6).alias("joint"))
+
+
+@query("select_features", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def _(spark, sf):
+    orders = table(spark, sf, "orders")
+    fixed = features.select_features(orders, ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"], drop=["o_orderstatus"])
+    return fixed.select(features.select_features(orders, drop=[c for c in orders.columns if c not in fixed.columns]).columns)
+
+
+@query("null_counts_by_kind", "SELECT count(*) AS total_rows, count(*) FILTER (o_orderkey IS NULL) AS o_orderkey_null_count, count(*) FILTER (o_totalprice > 100000) AS price_null_count FROM orders")
+def _(spark, sf):
+    """The columns are found by their type: every number, no text."""
+    price = F.when(F.col("o_totalprice") <= 100000, F.col("o_totalprice")).alias("price")
+    found = table(spark, sf, "orders").select("o_orderkey", price, "o_orderstatus")
+    return profiling.null_counts(found, profiling.numeric_columns(found))
+
+
+@query("assertions", "SELECT count(*) AS n, true AS lost_found, true AS stray_found FROM orders")
+def _(spark, sf):
+    """Both assertions let the right frames pass and stop the wrong ones."""
+    orders, people = table(spark, sf, "orders"), table(spark, sf, "customer").withColumnRenamed("c_custkey", "o_custkey")
+
+    def stopped(check, *given):
+        try:
+            check(*given)
+        except AssertionError:
+            return True
+        return False
+
+    quality.assert_same_count(orders, orders.withColumn("x", F.lit(1)))
+    quality.assert_covered(orders, people, "o_custkey")
+    lost = stopped(quality.assert_same_count, orders, orders.filter("o_orderkey > 1"))
+    stray = stopped(quality.assert_covered, orders.withColumn("o_custkey", -F.col("o_custkey")), people, "o_custkey")
+    return orders.agg(F.count(F.lit(1)).alias("n"), F.lit(lost).alias("lost_found"), F.lit(stray).alias("stray_found"))
+
+
 _RAW_LAR = """raw AS (SELECT o_custkey AS ck, o_orderkey AS ok, c_nationkey AS nk,
   CAST(year(o_orderdate) AS VARCHAR) AS activity_year, CAST(1 + o_custkey % 8 AS VARCHAR) AS action_taken,
   CASE o_custkey % 4 WHEN 0 THEN CAST(o_custkey + 3000000000 AS VARCHAR) || '.0' WHEN 1 THEN 'Exempt' WHEN 2 THEN CAST(o_custkey AS VARCHAR) || '.5' ELSE CAST(o_custkey AS VARCHAR) END AS loan_amount,

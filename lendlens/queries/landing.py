@@ -195,6 +195,14 @@ def _(spark, sf):
     return files.read_county_fips(spark, path).select(F.col("census_county_cd").alias("code"), F.col(text).alias("name"))
 
 
+@query("state_fips_scan", "SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS fips, left(n_name, 2) AS usps, n_name AS state_name FROM nation")
+def _(spark, sf):
+    path = new_path(spark)
+    nation = table(spark, sf, "nation").selectExpr("lpad(CAST(n_nationkey AS string), 2, '0') AS STATE", "left(n_name, 2) AS STUSAB", "n_name AS STATE_NAME", "'0' AS STATENS")
+    nation.write.option("sep", "|").option("header", True).csv(path)
+    return files.read_state_fips(spark, path).drop("gnisid")
+
+
 @query("seed_scan", "SELECT CAST(r_regionkey AS VARCHAR) AS code, r_name AS label FROM region")
 def _(spark, sf):
     path = new_path(spark)

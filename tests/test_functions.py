@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lendlens.operators import quality
 from lendlens.functions import lending as L, numbers as N, text as X
 
 
@@ -123,3 +124,16 @@ def test_surrogate_key_treats_missing_as_empty(spark):
     df = spark.createDataFrame([("a", None), ("a", "")], "x string, y string")
     keys = {r[0] for r in df.select(X.surrogate_key(["x", "y"])).collect()}
     assert len(keys) == 1
+
+
+def test_equal_tables_join_nothing_and_a_change_joins_one_bucket(spark):
+    a = spark.range(500).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS x", "CASE WHEN id % 5 = 0 THEN NULL ELSE 'v' END AS y")
+    assert quality.differing_buckets(a, a.repartition(7), "id", ["x", "y"]).collect() == []
+    assert quality.diff_tables(a, a.orderBy("x"), "id").collect() == []
+    b = a.selectExpr("id", "CASE WHEN id = 42 THEN 1 ELSE x END AS x", "y")
+    assert len(quality.differing_buckets(a, b, "id", ["x", "y"]).collect()) == 1
+    assert [(r.id, r.status, r.changed_columns) for r in quality.diff_tables(a, b, "id").collect()] == [(42, "changed", "x")]
+    # a null that moves to another column is a difference, and so is a repeated row
+    one, other = (spark.createDataFrame([r], "id long, x string, y string") for r in ((1, None, "v"), (1, "v", None)))
+    assert len(quality.differing_buckets(one, other, "id", ["x", "y"]).collect()) == 1
+    assert len(quality.differing_buckets(one, one.union(one).union(one), "id", ["x", "y"]).collect()) == 1
