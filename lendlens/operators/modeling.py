@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lendlens.functions.numbers import ratio
 from lendlens.operators import fairness
+from lendlens.operators.imputing import ModeImputer
 
 KINDS = {
     "logistic": LogisticRegression,
@@ -32,9 +33,14 @@ def fill_categories(df: DataFrame, columns: Sequence[str], token: str = "missing
     return df.fillna(token, subset=list(columns))
 
 
-def build_stages(numeric: Sequence[str], categorical: Sequence[str], one_hot: bool = True, scale: bool = True) -> list:
-    """Median imputation and scaling for numbers; indexing, optionally one-hot, for categories."""
-    stages, inputs = [], []
+def build_stages(
+    numeric: Sequence[str], categorical: Sequence[str], one_hot: bool = True, scale: bool = True, fill_modes: bool = False
+) -> list:
+    """Median imputation and scaling for numbers; indexing, optionally one-hot, for categories.
+
+    With ``fill_modes`` missing categories take the most frequent one first.
+    """
+    stages, inputs = [ModeImputer(inputCols=list(categorical))] if fill_modes and categorical else [], []
     if numeric:
         filled = [f"{c}__filled" for c in numeric]
         stages.append(Imputer(strategy="median", inputCols=list(numeric), outputCols=filled))
@@ -60,12 +66,13 @@ def build_pipeline(
     categorical: Sequence[str] = (),
     params: Mapping | None = None,
     weight: str | None = None,
+    fill_modes: bool = False,
 ) -> Pipeline:
     linear = kind == "logistic"
     learner = KINDS[kind](labelCol=label, featuresCol="features", **(params or {}))
     if weight:
         learner = learner.setWeightCol(weight)
-    return Pipeline(stages=[*build_stages(numeric, categorical, one_hot=linear, scale=linear), learner])
+    return Pipeline(stages=[*build_stages(numeric, categorical, linear, linear, fill_modes), learner])
 
 
 def _typed(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

@@ -3,9 +3,9 @@
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from lendlens.operators import counterfactual, fairness, modeling
+from lendlens.operators import counterfactual, fairness, imputing, modeling
 from lendlens.queries.registry import query
-from lendlens.queries.standin import GROUPS, LOANS, RACE, loans
+from lendlens.queries.standin import GROUPS, LOANS, RACE, loans, table
 from lendlens.shared import settle
 
 ID = "loan_application_id"
@@ -147,3 +147,29 @@ def _(spark, sf):
     names = ["contribution_income", "contribution_loan_amount"]
     ranked = fairness.mean_abs(modeling.linear_contributions(df, {"income": 0.5, "loan_amount": -0.25}), names)
     return ranked.select("feature", F.round("mean_abs", 6).alias("mean_abs"))
+
+
+@query(
+    "mode_imputation",
+    """WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 > 0 THEN l_returnflag END AS flag,
+        CASE WHEN l_orderkey % 4 > 0 THEN CAST(l_quantity AS BIGINT) % 3 END AS pieces FROM lineitem),
+      s AS (SELECT flag AS v FROM r WHERE flag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+      p AS (SELECT pieces AS v FROM r WHERE pieces IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, CAST(pieces AS VARCHAR) LIMIT 1)
+    SELECT l_orderkey, l_linenumber, coalesce(flag, (SELECT v FROM s)) AS flag, coalesce(pieces, (SELECT v FROM p)) AS pieces,
+      CAST(NULL AS VARCHAR) AS nothing, 'b' AS tied FROM r""",
+)
+def _(spark, sf):
+    """The tied column has two values equally often, the empty one none at all."""
+    key = F.col("l_orderkey")
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(key % 3 > 0, F.col("l_returnflag")).alias("flag"),
+        F.when(key % 4 > 0, F.col("l_quantity").cast("bigint") % 3).alias("pieces"),
+        F.lit(None).cast("string").alias("nothing"),
+        F.lit(None).cast("string").alias("tied"),
+    )
+    columns = ["flag", "pieces", "nothing", "tied"]
+    # both values of the tied column are seen once per row
+    seen = rows.withColumn("tied", F.explode(F.array(F.lit("c"), F.lit("b"))))
+    return imputing.ModeImputer(inputCols=columns).fit(seen).transform(rows)

@@ -137,3 +137,28 @@ def test_equal_tables_join_nothing_and_a_change_joins_one_bucket(spark):
     one, other = (spark.createDataFrame([r], "id long, x string, y string") for r in ((1, None, "v"), (1, "v", None)))
     assert len(quality.differing_buckets(one, other, "id", ["x", "y"]).collect()) == 1
     assert len(quality.differing_buckets(one, one.union(one).union(one), "id", ["x", "y"]).collect()) == 1
+
+
+def test_mode_imputer_round_trip(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from lendlens.operators.imputing import ModeImputer
+
+    df = spark.createDataFrame([(1, "b", None, 1.5), (2, "a", None, None), (None, None, None, 1.5), (2, "a", None, 2.0), (1, "b", None, None)], "n int, s string, e string, d double")
+    model = Pipeline(stages=[ModeImputer(inputCols=["n", "s", "e", "d"])]).fit(df)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    assert again.stages[0].modes() == {"n": "1", "s": "a", "e": None, "d": "1.5"}
+    out = again.transform(df)
+    assert out.dtypes == df.dtypes
+    assert [tuple(r) for r in out.collect()][2] == (1, "a", None, 1.5)
+    assert ModeImputer(inputCols=["n"]).fit(df.limit(0)).transform(df).collect() == df.collect()
+
+
+def test_mode_imputer_in_a_model(spark):
+    from lendlens.operators.modeling import build_pipeline
+
+    df = spark.range(60).selectExpr("CAST(id AS double) AS x", "CASE WHEN id % 4 > 0 THEN 'a' WHEN id % 8 = 0 THEN 'b' END AS c", "CAST(id > 30 AS int) AS y")
+    model = build_pipeline("logistic", "y", ["x"], ["c"], {"maxIter": 5}, fill_modes=True).fit(df)
+    assert model.stages[0].modes() == {"c": "a"}
+    assert model.transform(df).filter("c IS NULL").isEmpty()
