@@ -18,8 +18,22 @@ _paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; where that is unset, one beside the shared warehouse."""
-    return spark.conf.get(_DIR_KEY, None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-settled"
+    """Folder named by ``spark.checkpoint.dir``; where that is unset, one beside the shared warehouse.
+
+    A warehouse in a ``file:`` folder is a folder of each machine, so it is refused unless the session is local.
+    """
+    named = spark.conf.get(_DIR_KEY, None)
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not _is_local(spark.conf.get("spark.master", "local")) and (warehouse.startswith("file:") or ":" not in warehouse):
+        raise ValueError(f"set {_DIR_KEY} to a folder that all machines share; {warehouse} is not one")
+    return warehouse + "-settled"
+
+
+def _is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
 
 
 def _own_folder(spark: SparkSession) -> str:

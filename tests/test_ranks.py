@@ -212,3 +212,18 @@ def test_auc_on_distinct_and_tied_scores(spark):
         want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
         got = fairness.auc(spark.createDataFrame(rows, "score double, actual_value int")).first()["auc_roc"]
         assert abs(got - want) < 1e-12
+
+
+def test_shared_folder_is_not_a_machine_s_own():
+    from types import SimpleNamespace
+
+    def session(**conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, *default: conf.get(k, *default)))
+
+    own, key = "spark.sql.warehouse.dir", "spark.checkpoint.dir"
+    assert shared_folder(session(**{"spark.master": "local[8]", own: "file:/w/"})) == "file:/w-settled"
+    assert shared_folder(session(**{"spark.master": "yarn", own: "hdfs://n/w"})) == "hdfs://n/w-settled"
+    assert shared_folder(session(**{"spark.master": "yarn", own: "file:/w", key: "hdfs://n/c"})) == "hdfs://n/c"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(**{"spark.master": master, own: "file:/w"}))
