@@ -262,6 +262,16 @@ def _bucket_counts(keyed: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
+def _slot_widths(span: int, buckets: int) -> list[int]:
+    """Widths of ever finer key slots down to 1; each is about 1/``buckets`` of the one before and divides it."""
+    widths = [max(1, -(-span // buckets))]
+    while widths[-1] > 1:
+        widths.append(-(-widths[-1] // buckets))
+    for i in range(len(widths) - 2, -1, -1):
+        widths[i] = -(-widths[i] // widths[i + 1]) * widths[i + 1]
+    return widths
+
+
 def key_cutoffs(
     df: DataFrame,
     key: Column,
@@ -271,44 +281,58 @@ def key_cutoffs(
     groups: Sequence[str] = (),
     quotas: DataFrame | None = None,
     buckets: int = 4096,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Last (key, tiebreak) that belongs to the first ``quota`` rows of each group.
 
-    Only the group columns, the id and the key are read. The bucket where the quota is reached is
-    the only one that gets ranked. ``quota`` may use ``total`` (the group's row count) and any
-    column of ``quotas`` (one row per group). Columns: groups, ``keep_all``, ``cut_key``, ``cut_id``.
+    Only the group columns, the id and the key are read. Rows are counted in equal-width slots of the
+    key; the slot where a group's quota is reached is its edge. Edges are split and counted again
+    until each holds at most ``slice_rows`` rows (or a single key), and only they are ranked then. ``quota``
+    may use ``total`` (the group's row count) and any column of ``quotas`` (one row per group).
+    Columns: groups, ``keep_all``, ``cut_key``, ``cut_id``.
     """
-    narrow = df.select(*groups, F.col(tiebreak).alias("__id"), key.alias("__key")).withColumn(
-        "__bucket", _bucket(span, buckets)
-    )
-    counts = _bucket_counts(narrow, groups).withColumnRenamed("__total", "total")
+    buckets = max(2, buckets)
+    narrow = df.select(*groups, F.col(tiebreak).alias("__id"), key.cast("bigint").alias("__key"))
+    slots = lambda rows, width: rows.withColumn("__bucket", F.expr(f"__key div {width}L * {width}L"))
+    width, *finer = _slot_widths(span, buckets)
+    counts = _bucket_counts(slots(narrow, width), groups).withColumnRenamed("__total", "total")
     if quotas is not None:
         counts = match_on(counts, quotas, list(groups), "inner")
     counts = counts.withColumn("__quota", F.floor(quota).cast("bigint"))
+    upto = F.col("__before") + F.col("__n")
+    # one row per group: the slot where its quota is reached, or its last slot
+    reached = (F.col("__before") < F.col("__quota")) & (upto >= F.least("__quota", "total"))
     limits = settle(
-        counts.filter(F.col("__before") < F.col("__quota")).select(
+        counts.filter(reached).select(
             *groups,
             "__bucket",
+            "__n",
             (F.col("__quota") >= F.col("total")).alias("keep_all"),
-            (F.col("__before") + F.col("__n") >= F.col("__quota")).alias("__edge"),
             (F.col("__quota") - F.col("__before")).alias("__need"),
         )
     )
-    edge = limits.filter(F.col("__edge") & ~F.col("keep_all"))
-    candidates = match_on(narrow, edge, [*groups, "__bucket"], "inner")
+    edges = limits.filter(~F.col("keep_all")).drop("keep_all")
+    within = lambda: match_on(slots(narrow, width), edges.select(*groups, "__bucket", "__need"), [*groups, "__bucket"], "inner")
+    while finer and (edges.agg(F.max("__n")).first()[0] or 0) > slice_rows:
+        inside, width = within().drop("__bucket"), finer.pop(0)
+        counts = _bucket_counts(slots(inside, width), [*groups, "__need"]).filter(
+            (F.col("__before") < F.col("__need")) & (upto >= F.col("__need"))
+        )
+        edges = settle(counts.select(*groups, "__bucket", "__n", (F.col("__need") - F.col("__before")).alias("__need")))
     slices = W.partitionBy(*groups, "__bucket").orderBy("__key", "__id")
     partial = (
-        candidates.withColumn("__rank", F.row_number().over(slices))
+        within()
+        .withColumn("__rank", F.row_number().over(slices))
         .filter(F.col("__rank") == F.col("__need"))
         .select(*groups, F.lit(False).alias("keep_all"), F.col("__key").alias("cut_key"), F.col("__id").alias("cut_id"))
     )
-    everything = (
-        limits.filter("keep_all")
-        .select(*groups, "keep_all", F.lit(None).cast("bigint").alias("cut_key"))
-        .distinct()
-        .withColumn("cut_id", F.lit(None).cast(df.schema[tiebreak].dataType))
+    everything = limits.filter("keep_all").select(
+        *groups,
+        "keep_all",
+        F.lit(None).cast("bigint").alias("cut_key"),
+        F.lit(None).cast(df.schema[tiebreak].dataType).alias("cut_id"),
     )
-    return settle(partial.withColumn("cut_key", F.col("cut_key").cast("bigint")).unionByName(everything))
+    return settle(partial.unionByName(everything))
 
 
 def within_cutoff(key: Column, tiebreak: str) -> Column:

@@ -227,3 +227,38 @@ def test_shared_folder_is_not_a_machine_s_own():
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             shared_folder(session(**{"spark.master": master, own: "file:/w"}))
+
+
+def test_slot_widths_divide_each_other():
+    for span, buckets in ((1 << 31, 4096), (1000003, 4096), (1000003, 4), (7, 2), (1, 4)):
+        widths = ranks._slot_widths(span, buckets)
+        assert widths[-1] == 1 and widths[0] * buckets >= span
+        assert all(a % b == 0 and a > b for a, b in zip(widths, widths[1:]))
+
+
+@pytest.mark.parametrize("buckets,slice_rows", [(4, 1), (4, 50), (4096, 5), (4096, 100_000)])
+@pytest.mark.parametrize("groups", [[], ["g"]])
+def test_cutoffs_split_their_edges(skewed, monkeypatch, buckets, slice_rows, groups):
+    key = (F.col("id") * 7919) % 1000003
+    ranked = []
+    plain = ranks.match_on
+    monkeypatch.setattr(ranks, "match_on", lambda *a, **k: ranked.append(plain(*a, **k)) or ranked[-1])
+    cuts = ranks.key_cutoffs(skewed, key, "id", 1000003, F.lit(333), groups, buckets=buckets, slice_rows=slice_rows)
+    # only the last edges are ranked: keys of the fixture are distinct, so an edge can be split down to a row
+    edge = ranked[-1].groupBy(*groups, "__bucket").count().agg(F.max("count")).first()[0]
+    assert edge <= slice_rows
+    position = F.row_number().over(W.partitionBy(*(groups or [F.lit(0)])).orderBy(key, "id"))
+    want = skewed.withColumn("rn", position).filter("rn <= 333").select("id")
+    joined = ranks.match_on(skewed, cuts, groups) if groups else skewed.crossJoin(cuts)
+    assert same(joined.filter(ranks.within_cutoff(key, "id")).select("id"), want)
+
+
+def test_cutoffs_with_equal_keys_fall_back_on_the_id(skewed):
+    cuts = ranks.key_cutoffs(skewed, F.lit(3), "id", 1000, F.lit(10), [], buckets=4, slice_rows=5)
+    assert [tuple(r) for r in cuts.select("keep_all", "cut_key", "cut_id").collect()] == [(False, 3, 9)]
+
+
+def test_cutoffs_of_nothing(skewed):
+    key = F.col("id") % 1000
+    assert ranks.key_cutoffs(skewed.limit(0), key, "id", 1000, F.lit(5), ["g"]).isEmpty()
+    assert ranks.key_cutoffs(skewed, key, "id", 1000, F.lit(0), []).isEmpty()
