@@ -91,7 +91,7 @@ def normalize_columns(df: DataFrame) -> DataFrame:
 def read_csv_skip(spark: SparkSession, path, skip: int) -> DataFrame:
     """CSV files whose first ``skip`` lines stand above the header, all text, with ``source_file``.
 
-    Lines are skipped by position, in each file; names come from the header of the first file. Only the
+    Lines are skipped by position, in each file; headers that differ by more than case, blanks and quotes raise an error. Only the
     first split of a file has lines to skip, and a line's position there is its number within its task,
     so large files are still read by many tasks.
     """
@@ -101,13 +101,22 @@ def read_csv_skip(spark: SparkSession, path, skip: int) -> DataFrame:
         F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__id"),
     )
-    firsts = lines.filter("__block = 0").groupBy(F.col("source_file").alias("__file")).agg(F.min("__id").alias("__first"))
+    # a row per file and of known size, so the lines are not shuffled for it
+    firsts = settle(
+        lines.filter("__block = 0").groupBy(F.col("source_file").alias("__file")).agg(F.min("__id").alias("__first"))
+    )
     placed = lines.join(firsts, F.col("source_file") == F.col("__file")).withColumn(
         "__at", F.when(F.col("__block") == 0, F.col("__id") - F.col("__first"))
     )
-    header = placed.filter(F.col("__at") == skip).orderBy("source_file").select("value").first()
-    if header is None:
+    plain = F.regexp_replace(F.lower("value"), r'[\s"]', "")
+    headers = placed.filter(F.col("__at") == skip).agg(
+        F.min_by("value", "source_file").alias("value"), (F.min(plain) == F.max(plain)).alias("alike")
+    )
+    header = headers.first()
+    if header[0] is None:
         raise ValueError(f"no file has a header after {skip} lines")
+    if not header["alike"]:
+        raise ValueError("the files have different headers")
     names = [n.strip() for n in next(csv.reader([header[0]]))]
     ddl = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
     rows = placed.filter((F.col("__at").isNull() | (F.col("__at") > skip)) & (F.trim("value") != ""))

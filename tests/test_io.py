@@ -66,6 +66,9 @@ def test_preamble_is_skipped_by_position(spark, tmp_path):
     )
     with pytest.raises(ValueError):
         files.read_csv_skip(spark, str(tmp_path), 50)
+    write(tmp_path / "c.csv", 'x\ny\nn, "NAME, full"\n3,C\n')
+    with pytest.raises(ValueError, match="different headers"):
+        files.read_csv_skip(spark, str(tmp_path), 2)
 
 
 def test_parquet_dir_unions_by_name(spark, tmp_path):
