@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -11,15 +15,16 @@ from pyspark.ml.classification import (
     LogisticRegression,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lendlens.functions.numbers import ratio
 from lendlens.operators import fairness
 from lendlens.operators.imputing import ModeImputer
+from lendlens.operators.ranks import seeded_key
+from lendlens.shared import forget, settle
 
 KINDS = {
     "logistic": LogisticRegression,
@@ -120,6 +125,24 @@ def score_external(df: DataFrame, load: Callable[[], Callable], features: Sequen
     return df.mapInPandas(run, schema)
 
 
+class Search(NamedTuple):
+    """What :func:`tune` found."""
+
+    #: the pipeline with the best setting, fitted on all rows
+    model: PipelineModel
+    #: one row per setting: ``setting`` (its number), ``params``, mean ``auc`` over the folds
+    settings: DataFrame
+    #: one row per fold and setting: ``fold``, ``setting``, ``auc``
+    folds: DataFrame
+    #: one row per held-out row and setting: the id, ``fold``, ``actual_value``, ``setting``, ``score``
+    scored: DataFrame
+
+
+def fold_column(key: Column, span: int, folds: int) -> Column:
+    """Fold 0, 1, ... of a row by its key in [0, span), so a row is in one fold whatever the partitioning."""
+    return F.floor(key.cast("bigint") * folds / span).cast("int")
+
+
 def tune(
     df: DataFrame,
     kind: str,
@@ -127,39 +150,61 @@ def tune(
     numeric: Sequence[str],
     categorical: Sequence[str] = (),
     grid: Mapping[str, Sequence] | None = None,
+    id_column: str = "loan_application_id",
     folds: int = 3,
     train_ratio: float | None = None,
     parallelism: int = 2,
     seed: int = 42,
-) -> tuple[PipelineModel, DataFrame]:
-    """Grid search by area under ROC, with folds or a single held-out part.
-
-    Returns the best model and one row per setting with its score.
+    key: Column | None = None,
+    span: int = 1 << 31,
+) -> Search:
+    """Grid search by exact area under ROC, with folds or, given ``train_ratio``, a single held-out part.
+
+    The rows are tagged with their fold and written once. A fold's preparation is fitted once on its
+    training rows and its features are written once for all settings; its held-out rows are scored with
+    all settings in one pass. The areas of all folds and settings come from one aggregation of the
+    kept scores. The setting of the highest mean wins, ties by the order of ``grid``.
+    ``key`` (an integer spread evenly over [0, ``span``)) replaces the seeded hash of the id.
     """
-    data = _typed(df, numeric, categorical)
-    pipeline = build_pipeline(kind, label, numeric, categorical)
-    learner = pipeline.getStages()[-1]
+    key, span = (seeded_key(id_column, seed), 1 << 31) if key is None else (key, span)
+    held_out = fold_column(key, span, folds) if train_ratio is None else F.when(key >= int(train_ratio * span), 0).otherwise(-1)
+    learner = KINDS[kind](labelCol="__label", featuresCol="features")
     builder = ParamGridBuilder()
     for p, values in (grid or {}).items():
         builder = builder.addGrid(learner.getParam(p), list(values))
     maps = builder.build()
-    common = dict(
-        estimator=pipeline,
-        estimatorParamMaps=maps,
-        evaluator=BinaryClassificationEvaluator(labelCol=label),
-        parallelism=parallelism,
-        seed=seed,
-    )
-    if train_ratio is None:
-        fitted = CrossValidator(numFolds=folds, **common).fit(data)
-        scores = fitted.avgMetrics
-    else:
-        fitted = TrainValidationSplit(trainRatio=train_ratio, **common).fit(data)
-        scores = fitted.validationMetrics
-    rows = [
-        (", ".join(f"{p.name}={v}" for p, v in m.items()), float(s)) for m, s in zip(maps, scores)
-    ]
-    return fitted.bestModel, df.sparkSession.createDataFrame(rows, "params string, auc double")
+    data = settle(
+        _typed(df, numeric, categorical).select(
+            F.col(id_column).alias("__id"), F.col(label).cast("double").alias("__label"),
+            held_out.alias("__fold"), *[c for c in (*numeric, *categorical)],
+        )
+    )
+    linear = kind == "logistic"
+    stages = Pipeline(stages=build_stages(numeric, categorical, linear, linear))
+    parts = []
+    for fold in range(folds if train_ratio is None else 1):
+        preparation = stages.fit(data.filter(F.col("__fold") != fold))
+        ready = settle(preparation.transform(data).select("__id", "__label", "__fold", "features"))
+        with ThreadPool(parallelism) as pool:  # the fits of a fold are independent jobs
+            fits = learner.fitMultiple(ready.filter(F.col("__fold") != fold), maps)
+            models = dict(pool.map(inheritable_thread_target(df.sparkSession)(lambda _: next(fits)), maps))
+        out = ready.filter(F.col("__fold") == fold)
+        for i, m in sorted(models.items()):
+            for part, name in (("probabilityCol", "p"), ("rawPredictionCol", "r"), ("predictionCol", "l")):
+                m.set(m.getParam(part), f"__{name}{i}")
+            out = m.transform(out)
+        each = F.posexplode(F.array(*[vector_to_array(f"__p{i}")[1] for i in range(len(maps))])).alias("setting", "score")
+        parts.append(settle(out.select(F.col("__id").alias(id_column), F.col("__fold").alias("fold"), F.col("__label").cast("int").alias("actual_value"), each)))
+        forget(ready)
+    scored = reduce(DataFrame.unionByName, parts)
+    found = settle(fairness.auc(scored, ["fold", "setting"]).withColumnRenamed("auc_roc", "auc"))
+    names = [(i, ", ".join(f"{p.name}={v}" for p, v in m.items())) for i, m in enumerate(maps)]
+    means = found.groupBy("setting").agg(F.avg("auc").alias("auc"))
+    settings = settle(df.sparkSession.createDataFrame(names, "setting int, params string").join(means, "setting", "left"))
+    best = settings.orderBy(F.col("auc").desc_nulls_last(), "setting").first()["setting"]
+    model = Pipeline(stages=[*stages.getStages(), learner.copy(maps[best])]).fit(data)
+    forget(data)
+    return Search(model, settings, found, scored)
 
 
 def feature_names(model: PipelineModel, transformed: DataFrame) -> list[str]:
