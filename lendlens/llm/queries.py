@@ -158,9 +158,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         coalesce(r.n, 0) AS n_repeat_words FROM t LEFT JOIN r USING (doc_id)),
     b AS (SELECT *, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines FROM m),
     f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
-        + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (100 * n_upper > 40 * word_chars)::INT + 32 * (10 * n_exclaims > n_words)::INT AS BIGINT) AS fail_bits FROM b)
+        + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (100 * n_upper > 40 * word_chars)::INT + 32 * (10 * n_exclaims > n_words)::INT
+        + 64 * (100 * n_dup_lines > 50 * n_lines)::INT AS BIGINT) AS fail_bits FROM b)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits,
-      (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM f""",
+      (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS good_by_v2, (fail_bits & 119) = 0 AS kept FROM f""",
 )
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality_rules.ledger(table(spark, sf_dir, "documents"))
@@ -174,7 +175,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_repeat_words",
         "fail_bits",
         (~quality_rules.passes(bits, "base")).alias("base_failed"),
-        quality_rules.passes(bits, "v2").alias("kept"),
+        quality_rules.passes(bits, "v2").alias("good_by_v2"),
+        quality_rules.passes(bits, quality_rules.CURRENT).alias("kept"),
     )
 
 

@@ -82,7 +82,15 @@ def _size(text: Column) -> Column:
     return (F.octet_length(or_empty(text)) + 1).cast("bigint")
 
 
-def plan(docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict]:
+def _place(id_column: str, text: str, tie: Column | None) -> dict[str, Column]:
+    """Sort key of a row in its old shard: largest first, then by hash, then by ``tie``."""
+    key = {"neg": -_size(F.col(text)), "h": F.xxhash64(id_column, text)}
+    return key if tie is None else {**key, "tie": tie}
+
+
+def plan(
+    docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id", text: str = "text", tie: Column | None = None
+) -> tuple[DataFrame, dict]:
     """Cut points of every old shard, and the transfers they carry out.
 
     The rows of an old shard are laid out by size, largest first. The first bytes stay, the next blocks
@@ -90,8 +98,9 @@ def plan(docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id", t
     misses its bytes by about its smallest rows. One row per old shard and block: ``old``, ``upto``
     (the block's last sort key) and ``shard``.
     """
+    place = _place(id_column, text, tie)
     narrow = docs.select(
-        old.cast("int").alias("old"), _size(F.col(text)).alias("size"), F.xxhash64(id_column, text).alias("h")
+        old.cast("int").alias("old"), _size(F.col(text)).alias("size"), *[c.alias(k) for k, c in place.items()]
     )
     sums = {r["old"]: r["n"] for r in narrow.groupBy("old").agg(F.sum("size").alias("n")).limit(MAX_SHARDS + 1).collect()}
     if len(sums) > MAX_SHARDS or any(o is None or o < 0 for o in sums):
@@ -104,22 +113,24 @@ def plan(docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id", t
         at[i] += v
     spark = docs.sparkSession
     bounds = spark.createDataFrame(blocks, "old int, lo bigint, hi bigint, shard int")
-    laid = running_totals(narrow.withColumn("neg", -F.col("size")), ["neg", "h"], {"end": "size"}, ["old"])
+    laid = running_totals(narrow, list(place), {"end": "size"}, ["old"])
     middle = F.col("end") - F.ceil(F.col("size") / 2)
     cuts = (
         laid.join(bounds, "old")
         .filter((middle >= F.col("lo")) & (middle < F.col("hi")))
         .groupBy("old", "shard")
-        .agg(F.max(F.struct("neg", "h")).alias("upto"))
+        .agg(F.max(F.struct(*place)).alias("upto"))
         .groupBy("old")
         .agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("blocks"))  # at most one per new shard
     )
     return settle(cuts), transfers
 
 
-def assign(docs: DataFrame, old: Column, cuts: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def assign(
+    docs: DataFrame, old: Column, cuts: DataFrame, id_column: str = "doc_id", text: str = "text", tie: Column | None = None
+) -> DataFrame:
     """``docs`` with ``__old`` and ``__shard``; each row finds its block in its old shard's few cut points."""
-    key = F.struct((-_size(F.col(text))).alias("neg"), F.xxhash64(id_column, text).alias("h"))
+    key = F.struct(*[c.alias(k) for k, c in _place(id_column, text, tie).items()])
     keyed = docs.select("*", old.cast("int").alias("__old"), key.alias("__key"))
     cuts = cuts.select(F.col("old").alias("__o"), "blocks")
     placed = keyed.join(cuts, F.col("__old") == F.col("__o"))
@@ -127,6 +138,11 @@ def assign(docs: DataFrame, old: Column, cuts: DataFrame, id_column: str = "doc_
     return placed.select(*docs.columns, "__old", own.alias("__shard"))
 
 
+def row_place() -> Column:
+    """File and position of a row of a written table: tells equal rows apart, the same in every pass."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+
+
 def write_shards(placed: DataFrame, shards: int, only: Sequence[int] | None = None, path: str | None = None, mean_bytes: int = 0) -> str:
     """Write the shards ``only`` (all if None) as folders of files of about :data:`PIECE_BYTES`; returns the path.
 
@@ -153,19 +169,20 @@ def read_shards(df: DataFrame) -> DataFrame:
 
 
 def reshard(
-    docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id", text: str = "text", whole: bool = True
-) -> DataFrame:
+    docs: DataFrame, old: Column, shards: int, id_column: str = "doc_id", text: str = "text", whole: bool = True, tie: Column | None = None,
+) -> DataFrame:
     """Put ``docs`` into shards 0 to ``shards`` - 1 of near-equal bytes, moving as few bytes as possible.
 
     ``old`` gives a row's present shard, a number from 0 (at most :data:`MAX_SHARDS`). A row counts the
     UTF-8 bytes of its text plus one; null counts as empty. Returns the rows read back from the written
     files, with struct column ``__place`` of ``old``, ``shard`` and ``slot`` (gapless from 0 in a
     shard). With ``whole`` false only shards that gain or lose rows are written and returned.
-    Rows equal in id and text stay together; all others are split wherever the flow cuts. Null ids
+    Rows equal in id and text stay together; all others are split wherever the flow cuts. ``tie``, a column that
+    tells equal rows apart and is the same in every pass (see :func:`row_place`), splits them too. Null ids
     and extra columns are carried. An empty table gives no rows.
     """
-    cuts, transfers = plan(docs, old, shards, id_column, text)
-    placed = assign(docs, old, cuts, id_column, text)
+    cuts, transfers = plan(docs, old, shards, id_column, text, tie)
+    placed = assign(docs, old, cuts, id_column, text, tie)
     only = None if whole else affected_shards(transfers, shards)
     path = write_shards(placed, shards, only, mean_bytes=sum(transfers.values()) // shards)
     written = docs.sparkSession.read.schema(placed.schema).parquet(path)

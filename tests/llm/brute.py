@@ -28,13 +28,14 @@ def quality(text):
     }
 
 
-def good(text):
+def good(text, repeated=50):
+    """Policy v3; with ``repeated`` of 30 it is v2."""
     m = quality(text)
     return not (
         m["n_words"] < 50
         or 100 * m["n_repeat_words"] > 50 * m["n_words"]
         or 10 * m["n_symbols"] > m["n_words"]
-        or 100 * m["n_dup_lines"] > 50 * m["n_lines"]
+        or 100 * m["n_dup_lines"] > repeated * m["n_lines"]
         or 100 * m["n_upper"] > 40 * m["word_chars"]
         or 10 * m["n_exclaims"] > m["n_words"]
     )

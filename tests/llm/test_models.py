@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lendlens.llm import lang_id, queries, resharding, secret_scan, token_counts
+from lendlens.shared import settle
 
 SF = "/root/testdata/sf0.01"
 VOCABULARY = public_tokenizers.path(queries.VOCABULARY)
@@ -165,6 +166,40 @@ def test_reshard(spark):
     assert some.count() == 102
 
 
+def test_copies_part_when_told_apart(spark):
+    """Half of the rows are copies of one document in one old shard; the new shards are even all the same."""
+    rows = [(-1, "copy " * 200, "k")] * 400 + [(i, "x" * 1000, "k") for i in range(400)]
+    docs = settle(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+    out = resharding.reshard(docs, queries.old_shard(), 8, tie=resharding.row_place()).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in out) == Counter(rows)
+    size = Counter()
+    for r in out:
+        size[r["__place"].shard] += len(r.text) + 1
+    assert set(size) == set(range(8)) and max(size.values()) - min(size.values()) <= 3 * 1001
+
+
+def test_stages_on_odd_tables(spark):
+    """Null ids, sources and texts, repeated rows, no rows, and columns named like those the operators add."""
+    sf = "/root/testdata/sf0.001"
+    schema = "doc_id long, source string, text string, lang string, rate string, copies string, shard string, slot string, old_shard string, n_words string"
+    clean = " ".join(f"word{i}" for i in range(80))
+    own = ["r", "c", "s", "t", "o", "n"]
+    rows = [(1, "src0", clean, "en", *own), (1, "src0", clean, "en", *own), (None, None, clean + " end", None, *own), (3, None, None, "en", *own), (4, "a", "", "en", *own)]
+    docs = spark.createDataFrame(rows, schema)
+    for frame in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, frame, sf)
+            got = out.collect()
+            if name == "sharding":
+                assert len(got) == frame.count() and all(r.rate == "r" and 0 <= r["shard"] < queries.NEW_SHARDS for r in got)
+                assert len(out.columns) == len(set(out.columns))
+            else:
+                assert out.columns == docs.columns
+                assert all((r.rate, r.copies, r.shard, r.slot, r.old_shard, r.n_words) == tuple(own) for r in got)
+            if name == "quality_rules" and got:
+                assert {r.doc_id for r in got} == {1, None} and len(got) == 3
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.source, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

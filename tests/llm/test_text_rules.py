@@ -49,10 +49,26 @@ def test_ledger_empty(spark):
     assert quality_rules.ablations(quality_rules.ledger(empty)).count() == 0
 
 
-def test_policies_and_ablations(docs):
+def repeating(doubled, lines=10):
+    """A text of long lines of which ``doubled`` repeat the first one."""
+    own = [" ".join(f"w{i}x{j}" for j in range(9)) for i in range(lines - doubled)]
+    return "\n".join(own + own[:1] * doubled)
+
+
+def test_versions_differ_by_their_line_rule_only(spark):
+    texts = [repeating(d) for d in (0, 2, 3, 4, 5, 6)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for policy, bound in (("v2", 30), ("v3", 50)):
+        got = {r.text for r in quality_rules.keep_good(rows, policy).collect()}
+        assert got == {t for t in texts if good(t, bound)}
+    assert not good(texts[3], 30) and good(texts[3], 50)
+
+
+@pytest.mark.parametrize("policy", ["base", "v1", "v2", "v3"])
+def test_policies_and_ablations(docs, policy):
     book = quality_rules.ledger(docs).collect()
-    mask = quality_rules.policy_mask("v2")
-    for r in quality_rules.ablations(quality_rules.ledger(docs)).collect():
+    mask = quality_rules.policy_mask(policy)
+    for r in quality_rules.ablations(quality_rules.ledger(docs), policy).collect():
         own = 1 << r.bit
         bits = [x.fail_bits & mask for x in book]
         assert r.failed == sum(bool(b & own) for b in bits)
