@@ -122,6 +122,7 @@ POLYNOMIALS = {
 
 
 def select_features(df: DataFrame, columns: Sequence[str] | None = None, drop: Sequence[str] = ()) -> DataFrame:
+    """The listed columns, all by default, without those of ``drop``; a listed column that is missing raises an error."""
     return df.select(*(columns or df.columns)).drop(*drop)
 
 

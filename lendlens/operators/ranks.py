@@ -62,6 +62,14 @@ def row_numbers(
     return numbered.select(*df.columns, (F.col("__pos") + F.col("__shift")).alias(name))
 
 
+def row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """``df`` with a number that no two rows share, in no order and with gaps; nothing is shuffled.
+
+    The numbers hold within one pass: settle the frame before it is read more than once.
+    """
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def running_totals(
     df: DataFrame, order: Sequence[str | Column], sums: Mapping[str, str], groups: Sequence[str] = ()
 ) -> DataFrame:

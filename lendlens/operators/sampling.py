@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lendlens.operators.ranks import key_cutoffs, match_on, rank_by_key, seeded_key, within_cutoff
 from lendlens.shared import settle
 
+#: Most classes that :func:`interleave` alternates; every row looks at all class sizes.
+MAX_CLASSES = 1000
 _SPAN = 1 << 31
 
 
@@ -191,16 +193,16 @@ def interleave(
     """Alternate the classes: first row of each class, then the second of each, and so on.
 
     With the rank inside the class and the class sizes known, the global number is arithmetic; no
-    second sort is needed. ``limit`` keeps the first rows of that order.
+    second sort is needed. ``limit`` keeps the first rows of that order. More than :data:`MAX_CLASSES`
+    values of ``label`` raise an error.
     """
     k, s = _order(id_column, seed, key, span)
     ranked = rank_by_key(df, k, id_column, s, [label], "rn_within_class")
+    counts = settle(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
+    if counts.count() > MAX_CLASSES:
+        raise ValueError(f"{label} has more than {MAX_CLASSES} values; it is not a class")
     # one small struct per class
-    sizes = (
-        settle(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
-        .agg(F.collect_list(F.struct(F.col(label).alias("cls"), "n")))
-        .scalar()
-    )
+    sizes = counts.agg(F.collect_list(F.struct(F.col(label).alias("cls"), "n"))).scalar()
     r = F.col("rn_within_class")
     ahead = F.aggregate(
         F.col("__sizes"),

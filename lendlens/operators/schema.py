@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 _WHOLE = (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
@@ -64,14 +66,18 @@ def schema_issues(name: str, have: T.StructType, want: T.StructType) -> list[tup
     return rows + [(name, c, "Missing", None, b[c]) for c in b if c not in a]
 
 
-def schema_audit(spark: SparkSession, paths: Sequence[str], reference: T.StructType | None = None) -> DataFrame:
-    """Differences of each Parquet file from the first one (or ``reference``); footers only are read."""
-    rows = []
-    for path in paths:
-        have = spark.read.parquet(path).schema
-        if reference is None:
-            reference = have
-        rows += schema_issues(path, have, reference)
+def schema_audit(
+    spark: SparkSession, paths: Sequence[str], reference: T.StructType | None = None, parallelism: int = 16
+) -> DataFrame:
+    """Differences of each Parquet file from the first one (or ``reference``); footers only are read.
+
+    ``paths`` is a list of files or folders, not of rows; ``parallelism`` of them are looked at together.
+    """
+    footer = inheritable_thread_target(spark)(lambda path: spark.read.parquet(path).schema)
+    with ThreadPool(max(1, min(parallelism, len(paths)))) as pool:
+        schemas = pool.map(footer, paths)
+    reference = reference or (schemas[0] if schemas else T.StructType())
+    rows = [issue for path, have in zip(paths, schemas) for issue in schema_issues(path, have, reference)]
     return spark.createDataFrame(rows, "file string, column_name string, issue string, actual string, expected string")
 
 

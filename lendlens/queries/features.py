@@ -5,7 +5,7 @@ from lendlens.functions.text import joined_label, swap_group
 from lendlens.operators import features, quantiles
 from lendlens.operators.enrich import income_buckets
 from lendlens.queries.registry import query
-from lendlens.queries.standin import LOANS, RACE, loans
+from lendlens.queries.standin import LOANS, RACE, loans, table
 
 ID = "loan_application_id"
 _DTI = """CASE debt_to_income_ratio WHEN '<20%' THEN 20.0 WHEN '30%-<36%' THEN 30.0 WHEN '41' THEN 41.0
@@ -314,3 +314,21 @@ def _(spark, sf):
         N.present_flag(F.col("median_household_income")).alias("has_acs_data"),
         N.missing_flag(F.col("minority_population_pct")).alias("minority_missing"),
     )
+
+
+_DROPPED = ["actual_value", "score", "predicted_label", "lender_entity_name", "county_code"]
+
+
+@query("select_features", LOANS + f"SELECT * EXCLUDE ({', '.join(_DROPPED)}) FROM loans")
+def _(spark, sf):
+    df = loans(spark, sf)
+    return features.select_features(df, drop=_DROPPED)
+
+
+@query(
+    "co_applicant_flag",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN NULL WHEN o_orderkey % 7 = 5 THEN 0 ELSE 1 END::INTEGER AS co_applicant_present FROM orders""",
+)
+def _(spark, sf):
+    code = F.col("o_orderkey") % 7
+    return table(spark, sf, "orders").select("o_orderkey", L.co_applicant_present(F.when(code != 6, code)).alias("co_applicant_present"))

@@ -152,17 +152,28 @@ def _(spark, sf):
 
 @query(
     "schema_audit",
-    """SELECT 'o_custkey' AS column_name, 'TypeMismatch' AS issue FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)
-    UNION ALL SELECT 'o_orderstatus', 'Missing' UNION ALL SELECT 'extra', 'Unexpected'""",
+    """WITH parts AS (SELECT CAST(o_orderkey % 4 AS INTEGER) AS part, count(*) AS n_rows FROM orders GROUP BY 1),
+    wanted(part, column_name, issue, actual, expected) AS (VALUES (1, 'o_custkey', 'TypeMismatch', 'string', 'bigint'),
+      (1, 'o_orderstatus', 'Missing', NULL, 'string'), (1, 'extra', 'Unexpected', 'int', NULL), (3, 'o_orderkey', 'TypeMismatch', 'double', 'bigint'))
+    SELECT part, column_name, issue, actual, expected, n_rows FROM wanted JOIN parts USING (part)""",
 )
 def _(spark, sf):
+    """Four files, of which the second and the fourth differ from the first; each issue with the rows it concerns."""
     from lendlens.operators.schema import schema_audit
 
-    first, second = new_path(spark), new_path(spark)
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    orders.write.parquet(first)
-    orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), F.lit(1).alias("extra")).write.parquet(second)
-    return schema_audit(spark, [first, second]).select("column_name", "issue")
+    changes = {
+        1: lambda df: df.select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), F.lit(1).alias("extra")),
+        3: lambda df: df.withColumn("o_orderkey", F.col("o_orderkey").cast("double")),
+    }
+    paths = {i: new_path(spark) for i in range(4)}
+    for i, path in paths.items():
+        changes.get(i, lambda df: df)(orders.filter(F.col("o_orderkey") % 4 == i)).write.parquet(path)
+    part = F.lit(None).cast("int")
+    for i, path in paths.items():
+        part = F.when(F.col("file") == path, i).otherwise(part)
+    sizes = orders.groupBy((F.col("o_orderkey") % 4).cast("int").alias("part")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return schema_audit(spark, list(paths.values())).withColumn("part", part).drop("file").join(sizes, "part")
 
 
 @query("parquet_dir_scan", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from lendlens.operators import ranks, sampling
 from lendlens.queries.registry import query
 from lendlens.queries.standin import LOANS, RACE, SPAN, loans, order_key, table
+from lendlens.shared import settle
 
 ID = "loan_application_id"
 _KEY = "(loan_application_id * 7919) % 1000003, loan_application_id"
@@ -17,6 +18,13 @@ def _(spark, sf):
     return ranks.row_numbers(loans(spark, sf).select(ID, "loan_amount"), ["loan_amount", ID]).select(ID, "rn")
 
 
+@query("row_ids", LOANS + "SELECT activity_year, count(*) AS n_ids, (SELECT count(*) FROM loans) AS n_all FROM loans GROUP BY 1")
+def _(spark, sf):
+    """Ids of a year, and of all years together, are as many as the rows."""
+    ids = settle(ranks.row_ids(loans(spark, sf).select("activity_year")))
+    return ids.groupBy("activity_year").agg(F.count_distinct("row_id").alias("n_ids")).withColumn("n_all", ids.agg(F.count_distinct("row_id")).scalar())
+
+
 @query(
     "row_number_in_group",
     LOANS

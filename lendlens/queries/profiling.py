@@ -16,6 +16,22 @@ def _(spark, sf):
     return profiling.null_counts(loans(spark, sf), _NULLABLE)
 
 
+_COLUMNS = [
+    ID, "activity_year", "lender_entity_name", "state_code", "county_code", "census_tract", "zip_code", RACE, "applicant_sex_category",
+    "loan_purpose", "loan_amount", "income", "property_value", "debt_to_income_ratio", "median_household_income",
+    "minority_population_pct", "is_distressed", "loan_approved", "actual_value", "score", "predicted_label",
+]
+
+
+@query(
+    "null_counts_all",
+    LOANS + "SELECT count(*) AS total_rows, " + ", ".join(f"count(*) - count({c}) AS {c}_null_count" for c in _COLUMNS) + " FROM loans",
+)
+def _(spark, sf):
+    """The column list comes from the table."""
+    return profiling.null_counts(loans(spark, sf))
+
+
 @query(
     "missing_summary",
     LOANS

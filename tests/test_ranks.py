@@ -262,3 +262,8 @@ def test_cutoffs_of_nothing(skewed):
     key = F.col("id") % 1000
     assert ranks.key_cutoffs(skewed.limit(0), key, "id", 1000, F.lit(5), ["g"]).isEmpty()
     assert ranks.key_cutoffs(skewed, key, "id", 1000, F.lit(0), []).isEmpty()
+
+
+def test_interleave_refuses_labels_that_are_no_classes(skewed):
+    with pytest.raises(ValueError, match="not a class"):
+        sampling.interleave(skewed, "id", 100, "id")
