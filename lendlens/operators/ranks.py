@@ -28,10 +28,11 @@ def match_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 
 
 def row_numbers(
-    df: DataFrame, order: Sequence[str | Column], groups: Sequence[str] = (), name: str = "rn"
+    df: DataFrame, order: Sequence[str | Column], groups: Sequence[str] = (), name: str = "rn", total: str | None = None
 ) -> DataFrame:
     """Dense 1..n numbers in ``order`` (which must be total), restarting per group.
 
+    ``total`` names a further column with the group's row count, which the numbering knows anyway.
     One range shuffle, one write, one narrow counting pass. A hot group simply spans many range
     partitions; a tie on the leading key does too because all order columns set the ranges.
     """
@@ -48,18 +49,21 @@ def row_numbers(
         F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first")
     )
     # One row per (partition, group): at most one per partition for any group in this window.
-    earlier = W.partitionBy(*(groups or [F.lit(0)])).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy(*(groups or [F.lit(0)]))
+    earlier = whole.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     shifts = tallies.select(
         "__part",
         *groups,
         (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift"),
+        *([F.sum("__n").over(whole).alias("__rows")] if total else []),
     )
     if groups:
         numbered = match_on(placed, settle(shifts), ["__part", *groups], "inner")
     else:
         # one row per range partition, so its size is bounded by the partition count
         numbered = placed.join(F.broadcast(shifts), "__part")
-    return numbered.select(*df.columns, (F.col("__pos") + F.col("__shift")).alias(name))
+    counted = [F.col("__rows").alias(total)] if total else []
+    return numbered.select(*df.columns, (F.col("__pos") + F.col("__shift")).alias(name), *counted)
 
 
 def row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -355,8 +359,8 @@ def within_cutoff(key: Column, tiebreak: str) -> Column:
 
 def ntile(df: DataFrame, order: Sequence[Column], buckets: int, name: str) -> DataFrame:
     """SQL ``ntile`` over the whole frame (earlier tiles take the remainder), without one big task."""
-    numbered = row_numbers(df, order, name="__rn")
-    rows = df.agg(F.count(F.lit(1))).scalar()
+    numbered = row_numbers(df, order, name="__rn", total="__rows_all")
+    rows = F.col("__rows_all")
     base, extra = F.floor(rows / buckets), rows % buckets
     z = F.col("__rn") - 1
     big = extra * (base + 1)

@@ -267,3 +267,10 @@ def test_cutoffs_of_nothing(skewed):
 def test_interleave_refuses_labels_that_are_no_classes(skewed):
     with pytest.raises(ValueError, match="not a class"):
         sampling.interleave(skewed, "id", 100, "id")
+
+
+def test_numbers_with_group_totals(skewed):
+    got = ranks.row_numbers(skewed, ["amount", "id"], ["g"], total="n")
+    within = W.partitionBy("g")
+    want = skewed.withColumn("rn", F.row_number().over(within.orderBy("amount", "id"))).withColumn("n", F.count(F.lit(1)).over(within))
+    assert same(got, want)
