@@ -36,7 +36,7 @@ def market_yearly(
 def income_buckets(acs: DataFrame, buckets: int = 4) -> DataFrame:
     """Income quartile of each tract; tracts without an income sort last."""
     narrow = acs.select("census_tract", "median_household_income")
-    order = [F.asc_nulls_last("median_household_income"), F.col("census_tract")]
+    order = [F.isnull("median_household_income"), F.col("median_household_income"), F.col("census_tract")]
     return ntile(narrow, order, buckets, "income_bucketed")
 
 

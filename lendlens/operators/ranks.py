@@ -17,7 +17,7 @@ from lendlens.shared import settle
 
 #: Rows of an equal-width slice, about.
 SLICE_ROWS = 100_000
-_ROW_BITS = 33  # monotonically_increasing_id keeps the row position in its low 33 bits
+_THIN, _PER_SLICE = 256, 32  # keys of which one is sampled; sampled keys of a slice, at most about
 
 
 def match_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -27,43 +27,72 @@ def match_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def key_splitters(df: DataFrame, keys: Sequence[Column], slices: int, thin: int = _THIN) -> DataFrame:
+    """One row with ``cuts``: at most ``slices - 1`` rising keys (structs of ``keys``) that cut ``df`` about evenly.
+
+    The sketch is mergeable: one key in ``thin`` by hash takes part, and each of ``slices`` times :data:`_PER_SLICE`
+    hash buckets keeps the key with the smallest hash, so its size does not grow with the data. Keys
+    that repeat count once; a part that no sampled key cuts holds some ``thin`` keys only.
+    """
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    hashed = df.select(key.alias("key")).withColumn("h", F.xxhash64("key"))
+    own = F.pmod(F.shiftright("h", 20), F.lit(slices * _PER_SLICE))
+    kept = hashed.filter(F.pmod("h", F.lit(thin)) == 0).groupBy(own.alias("own")).agg(F.min_by("key", "h").alias("key"))
+    ordered = kept.agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    step = F.greatest(F.lit(1), F.ceil(F.size("keys") / F.lit(slices)))
+    return ordered.select(F.filter("keys", lambda k, i: (i > 0) & (i % step == 0)).alias("cuts"))
+
+
+def slice_of(key: Column, cuts: Column, slices: int) -> Column:
+    """How many of ``cuts`` (rising, fewer than ``slices``) are at or below ``key``, by bisection."""
+    strides = [1 << i for i in reversed(range(max(1, slices).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(w) for w in strides]),
+        F.lit(0),
+        lambda at, w: F.when(F.get(cuts, at + w - 1) <= key, at + w).otherwise(at),
+    )
+
+
 def row_numbers(
     df: DataFrame, order: Sequence[str | Column], groups: Sequence[str] = (), name: str = "rn", total: str | None = None
 ) -> DataFrame:
     """Dense 1..n numbers in ``order`` (which must be total), restarting per group.
 
-    ``total`` names a further column with the group's row count, which the numbering knows anyway.
-    One range shuffle, one write, one narrow counting pass. A hot group simply spans many range
-    partitions; a tie on the leading key does too because all order columns set the ranges.
+    ``order`` holds columns that rise, nulls first; :func:`descending` turns a number round. ``total``
+    names a further column with the group's row count, which the numbering knows anyway. Rows equal in
+    group and order are numbered in any order; an empty frame gives no rows.
+
+    Only the splitters of a sketch are written. Rows are shuffled once, by group and slice; slices are
+    numbered by themselves and shifted by the row counts of the group's earlier slices. A hot group spans many slices,
+    and so does a tie on the leading key, as all columns of the order set them. ``df`` is read for
+    the sketch, for the counts (both read group and order only) and for the rows; the last two are one
+    reading where group and order are all its columns. It has to give the same rows each time.
     """
     keys = [F.col(g) for g in groups] + [F.col(o) if isinstance(o, str) else o for o in order]
-    placed = settle(
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("__slot", F.monotonically_increasing_id())
-    )
-    placed = placed.withColumn("__part", F.shiftright("__slot", _ROW_BITS)).withColumn(
-        "__pos", F.col("__slot").bitwiseAND((1 << _ROW_BITS) - 1)
-    )
-    tallies = placed.groupBy("__part", *groups).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first")
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = settle(key_splitters(df, keys, slices)).scalar()
+    # as one struct, null group values compare equal under a plain equi-join
+    group = F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)]) if groups else F.lit(0)
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    placed = df.withColumns({"__group": group, "__key": key, "__cuts": cuts})
+    placed = placed.withColumn("__slice", slice_of(F.col("__key"), F.col("__cuts"), slices)).drop("__cuts", "__key")
+    local = placed.withColumn(
+        "__at", F.row_number().over(W.partitionBy("__group", "__slice").orderBy(*keys[len(groups) :])).cast("bigint")
     )
-    # One row per (partition, group): at most one per partition for any group in this window.
-    whole = W.partitionBy(*(groups or [F.lit(0)]))
-    earlier = whole.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    tallies = local.groupBy("__group", "__slice").agg(F.max("__at").alias("__n"))
+    # a row per slice and group: a group has at most one for each slice in these windows
+    whole = W.partitionBy("__group")
+    earlier = whole.orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     shifts = tallies.select(
-        "__part",
-        *groups,
-        (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first") + 1).alias("__shift"),
+        "__group",
+        "__slice",
+        F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
         *([F.sum("__n").over(whole).alias("__rows")] if total else []),
     )
-    if groups:
-        numbered = match_on(placed, settle(shifts), ["__part", *groups], "inner")
-    else:
-        # one row per range partition, so its size is bounded by the partition count
-        numbered = placed.join(F.broadcast(shifts), "__part")
+    # the window leaves the rows partitioned and sorted by these, so this join does not move them
+    numbered = local.join(shifts, ["__group", "__slice"])
     counted = [F.col("__rows").alias(total)] if total else []
-    return numbered.select(*df.columns, (F.col("__pos") + F.col("__shift")).alias(name), *counted)
+    return numbered.select(*df.columns, (F.col("__at") + F.col("__before")).alias(name), *counted)
 
 
 def row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
@@ -358,7 +387,7 @@ def within_cutoff(key: Column, tiebreak: str) -> Column:
 
 
 def ntile(df: DataFrame, order: Sequence[Column], buckets: int, name: str) -> DataFrame:
-    """SQL ``ntile`` over the whole frame (earlier tiles take the remainder), without one big task."""
+    """SQL ``ntile`` over the whole frame (earlier tiles take the remainder), without one big task; order as in :func:`row_numbers`."""
     numbered = row_numbers(df, order, name="__rn", total="__rows_all")
     rows = F.col("__rows_all")
     base, extra = F.floor(rows / buckets), rows % buckets

@@ -274,3 +274,54 @@ def test_numbers_with_group_totals(skewed):
     within = W.partitionBy("g")
     want = skewed.withColumn("rn", F.row_number().over(within.orderBy("amount", "id"))).withColumn("n", F.count(F.lit(1)).over(within))
     assert same(got, want)
+
+
+@pytest.fixture
+def settled_frames(monkeypatch):
+    """What the numbering writes to the shared folder."""
+    written = []
+    monkeypatch.setattr(ranks, "settle", lambda df, *a: written.append(settle(df, *a)) or written[-1])
+    return written
+
+
+def test_numbering_writes_splitters_only(skewed, settled_frames):
+    wide = skewed.withColumn("text", F.repeat(F.lit("x"), 100))
+    got = ranks.row_numbers(wide, ["amount", "id"], ["g"])
+    window = W.partitionBy("g").orderBy("amount", "id")
+    assert same(got, wide.withColumn("rn", F.row_number().over(window).cast("bigint")))
+    assert [df.columns for df in settled_frames] == [["cuts"]]
+    cuts = settled_frames[0].first()["cuts"]
+    assert 1 < len(cuts) < 8 and cuts == sorted(cuts, key=lambda c: (c["k0"] is not None, c))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_slices_are_even_and_split_ties(skewed):
+    keys = [F.col("amount"), F.col("id")]
+    cuts = settle(ranks.key_splitters(skewed, keys, 16, thin=4)).scalar()
+    key = F.struct(F.col("amount").alias("k0"), F.col("id").alias("k1"))
+    placed = skewed.withColumns({"key": key, "cuts": cuts}).withColumn("s", ranks.slice_of(F.col("key"), F.col("cuts"), 16))
+    sizes = {r["s"]: r["n"] for r in placed.groupBy("s").agg(F.count("*").alias("n")).collect()}
+    assert len(sizes) == 16 and max(sizes.values()) < 2 * 20000 / 16
+    # a third of all amounts are 5.0, and they lie in several slices
+    assert placed.filter("amount = 5.0").select("s").distinct().count() >= 4
+    spans = placed.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("s").collect()
+    assert all(tuple(a["hi"]) < tuple(b["lo"]) for a, b in zip(spans, spans[1:]))
+
+
+@pytest.mark.parametrize("slices", [1, 2, 3, 8, 37])
+def test_slice_of_is_a_bisection(spark, slices):
+    cuts = F.array(*[F.lit(10 * i) for i in range(1, slices)]).cast("array<bigint>")
+    df = spark.range(0, 400, 5).withColumn("s", ranks.slice_of(F.col("id"), cuts, slices))
+    assert all(r["s"] == min(r["id"] // 10, slices - 1) for r in df.collect())
+
+
+def test_numbering_of_odd_orders(spark):
+    nan = float("nan")
+    rows = [(i, [None, nan, -0.0, 0.0, 1.5, -1.5][i % 6], f"t{i % 11}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id bigint, x double, t string")
+    for order in (["x", "t", "id"], [ranks.descending("id")], [F.isnull("x"), "t", "x", "id"]):
+        want = df.withColumn("rn", F.row_number().over(W.orderBy(*order)).cast("bigint"))
+        assert same(ranks.row_numbers(df, order), want)
+    assert ranks.row_numbers(df.limit(0), ["id"]).count() == 0
+    assert ranks.row_numbers(df.limit(1), ["id"], ["t"]).first()["rn"] == 1
