@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from lendlens.operators import counterfactual, fairness
 from lendlens.operators.ranks import top_k
+from lendlens.plans import lending
 from lendlens.queries.registry import query
 from lendlens.queries.standin import GROUPS, LOANS, MINORITY, RACE, REFERENCE, UNKNOWN, loans, race_as
 from lendlens.shared import settle
@@ -409,6 +410,26 @@ def _(spark, sf):
     return fairness.counterfactual_by_tract(_results(spark, sf).join(places, "loan_application_id"))
 
 
+@query(
+    "counterfactual_audit",
+    LOANS + _CF + """, centroids AS (SELECT DISTINCT census_tract AS tract, CAST(state_code AS DOUBLE) * 2.5 AS latitude,
+      100 - CAST(substr(census_tract, 6) AS DOUBLE) AS longitude FROM loans WHERE county_code <> '002'),
+    means AS (SELECT census_tract, original_race, new_race, max(county_code) AS county_code, count(*) AS total_apps,
+      avg(previous_score) AS avg_prev_score, avg(counterfactual_score) AS avg_counterfactual_score, avg(score_change) AS avg_score_change
+      FROM res GROUP BY 1, 2, 3)
+    SELECT means.*, latitude, longitude FROM means LEFT JOIN centroids ON tract = census_tract""",
+)
+def _(spark, sf):
+    """Tracts of one county in three have no centroid and keep their rows."""
+    df = loans(spark, sf)
+    centroids = df.filter("county_code <> '002'").select(
+        F.col("census_tract").alias("tract_fips"),
+        (F.col("state_code").cast("double") * 2.5).alias("centroid_lat"),
+        (100 - F.substring("census_tract", 6, 6).cast("double")).alias("centroid_lon"),
+    )
+    return lending.counterfactual_audit(_results(spark, sf), df, settle(centroids.distinct()))
+
+
 @query(
     "class_weights",
     LOANS + f"""SELECT {RACE}, n, (sum(n) OVER ())::DOUBLE / (n * count(*) OVER ())::DOUBLE AS weight

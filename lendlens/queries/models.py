@@ -74,6 +74,29 @@ def _(spark, sf):
     )
 
 
+@query(
+    "tree_importances_by_gain",
+    LOANS
+    + f"""-- impurity falls of a tree of depth two over two flags; leaves that say the same are one
+    , cells AS (SELECT {RACE} = 'FURNITURE' AS f, predicted_label = 1 AS s, count(*) AS n, sum(actual_value) AS p FROM loans GROUP BY 1, 2),
+    trees AS (SELECT 'furniture' AS root, 'high_score' AS other, f AS side, n, p FROM cells
+      UNION ALL SELECT 'high_score', 'furniture', s, n, p FROM cells),
+    sides AS (SELECT root, other, side, sum(n) AS n, sum(p) AS p, sum(2 * p * (n - p) / n::DOUBLE) AS below,
+      count(DISTINCT 2 * p > n) > 1 AS apart FROM trees GROUP BY 1, 2, 3),
+    falls AS (SELECT root, other, 2 * sum(p) * (sum(n) - sum(p)) / sum(n)::DOUBLE - sum(2 * p * (n - p) / n::DOUBLE) AS first_fall,
+      sum(CASE WHEN apart THEN 2 * p * (n - p) / n::DOUBLE - below ELSE 0 END) AS next_fall FROM sides GROUP BY 1, 2),
+    best AS (SELECT *, first_fall + next_fall AS whole FROM falls ORDER BY first_fall DESC LIMIT 1)
+    SELECT unnest([root, other]) AS feature, round(unnest([first_fall / whole, next_fall / whole]), 9) AS importance FROM best""",
+)
+def _(spark, sf):
+    flags = ["furniture", "high_score"]
+    df = loans(spark, sf).withColumns(
+        {"furniture": (F.col(RACE) == "FURNITURE").cast("int"), "high_score": (F.col("predicted_label") == 1).cast("int")}
+    )
+    model = modeling.train(df, "decision_tree", "loan_approved", flags, (), {"maxDepth": 2})
+    return modeling.importances(model, df, flags).withColumn("importance", F.round("importance", 9))
+
+
 _SETTINGS = [0.0, 0.1]
 _HOLD_OUT = 0.8
 _KEY_SQL = f"((loan_application_id * 7919) % {SPAN})"
