@@ -53,6 +53,32 @@ def test_walk_goes_on_where_it_stopped(chunked):
     assert np.allclose(rest.weights, whole.weights) and np.isclose(rest.bias, whole.bias)
 
 
+@pytest.mark.parametrize("numbers", [800, 4 * 310, 4_000_000])
+def test_blocks_of_any_size_take_the_same_steps(spark, chunked, monkeypatch, numbers):
+    """Chunks of 300 and about 133 rows: the larger ones summed by Spark, or some or all of them walked in blocks."""
+    monkeypatch.setattr(minibatch, "BLOCK_NUMBERS", numbers)
+    step = minibatch.Step(0.7, 0.1, 0.02)
+    state, taken = minibatch.train(chunked.repartition(7), "chunk", "x", "y", 3, step, epochs=2)
+    got = [(r.step, r.chunk, r.n, r.loss, r.bias, *r.weights) for r in taken.orderBy("step").collect()]
+    want = plainly(chunked.collect(), step, 2)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3:] for g in got], [w[3:] for w in want], atol=1e-10)
+    assert state.steps == 10
+
+
+def test_many_small_chunks_need_few_jobs(spark):
+    """A job for each of 300 chunks took minutes."""
+    rows = spark.range(3000).select((F.col("id") % 300).alias("chunk"), F.array(F.col("id") % 7 - 3.0).alias("x"), (F.col("id") % 2).alias("y"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("many-small-chunks", "")
+    try:
+        state, taken = minibatch.train(rows, "chunk", "x", "y", 1)
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert state.steps == 300 and taken.count() == 300
+    assert len(tracker.getJobIdsForGroup("many-small-chunks")) < 60
+
+
 def test_vectors_learn_as_arrays_and_scores_rank(chunked):
     state, _ = minibatch.train(chunked, "chunk", "x", "y", 3, minibatch.Step(1.0), epochs=3)
     vectors = chunked.withColumn("x", array_to_vector("x"))
