@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from lendlens.operators.ranks import one_per_key
+from lendlens.operators.ranks import best_row
 from lendlens.operators.schema import enforce_schema, validate_schema
+from lendlens.shared import forget, settle
 
 
 def write_chunks(df: DataFrame, path: str, rows: int = 250_000, schema: T.StructType | None = None) -> None:
@@ -62,8 +63,12 @@ def append_new(
     ``partition``, a column that depends on the key, the target is written by its values and only the
     stored ids of the values in ``df`` are read, as long as these are at most ``most_partitions``. One
     writer at a time: nothing guards against two.
+
+    ``df`` is worked out once: its rows are reduced to one per key as they are shuffled by it, and these are
+    settled until they are appended.
     """
-    fresh = one_per_key(df, [key], order)
+    kept = settle(best_row(df, [key], order).select(*df.columns))
+    fresh = kept
     try:
         stored = df.sparkSession.read.schema(df.schema).parquet(path)
     except AnalysisException as e:
@@ -71,13 +76,14 @@ def append_new(
             raise
     else:
         if partition is not None:
-            found = [r[0] for r in df.select(partition).distinct().limit(most_partitions + 1).collect()]
+            found = [r[0] for r in kept.select(partition).distinct().limit(most_partitions + 1).collect()]
             if len(found) <= most_partitions:
                 here = F.col(partition).isin([v for v in found if v is not None])
                 stored = stored.filter(here | F.col(partition).isNull() if None in found else here)
         fresh = fresh.join(stored.select(key), key, "left_anti").select(*df.columns)
     writer = fresh.write.mode("append")
     (writer if partition is None else writer.partitionBy(partition)).parquet(path)
+    forget(kept)
 
 
 def append_log(df: DataFrame, path: str, schema: str) -> None:

@@ -179,6 +179,23 @@ def test_append_new_is_idempotent(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(8))
 
 
+def test_append_new_works_rows_out_once(spark, tmp_path):
+    """Every further pass over a join of large tables would shuffle them again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(i):
+        seen.add(1)
+        return i % 10
+
+    key = F.udf(tick, "bigint").asNondeterministic()
+    rows = spark.range(40).select(key("id").alias("k"), (F.col("id") % 2).alias("y"), (100 - F.col("id")).alias("price"))
+    path = str(tmp_path / "once")
+    for _ in range(2):
+        sinks.append_new(rows, path, "k", [F.col("price")], partition="y")
+    assert seen.value == 80
+    assert sorted((r.k, r.price) for r in spark.read.parquet(path).collect()) == [(i, 70 - i) for i in range(10)]
+
+
 def test_logs_and_csv(spark, tmp_path):
     row = spark.createDataFrame([("f", 0.5, "e", "m", 0)], IMPORTANCE_LOG)
     for _ in range(2):
