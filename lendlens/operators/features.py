@@ -32,6 +32,13 @@ LOG_COLUMNS = (
     "avg_median_list_price_year_over_year avg_median_price_per_square_foot_year_over_year "
     "total_population_below_poverty_level_pct"
 ).split()
+#: What :func:`preprocess` reads of the feature table.
+INPUT_COLUMNS = (
+    "loan_application_id activity_year loan_approved loan_purpose loan_type occupancy_type state_code county_code "
+    "census_tract zip_code lender_entity_name lender_entity_age lender_registration_status applicant_sex_category "
+    "applicant_age applicant_derived_racial_category debt_to_income_ratio property_value loan_amount income "
+    "is_distressed is_underserved"
+).split() + ACS_COLUMNS + MARKET_COLUMNS
 QUARTILE_COLUMNS = ["total_population_below_poverty_level_pct", "avg_median_days_on_market"]
 RATIO_COLUMNS = ["loan_to_income_ratio", "income_to_loan_ratio_stratified"]
 
@@ -84,7 +91,8 @@ def attach_medians(
 ) -> tuple[DataFrame, dict]:
     """Join every keyed grain once; returns the frame and, per grain, a column → median accessor.
 
-    Medians of the whole frame are attached as one struct column, or taken from ``whole`` if ``df`` has it.
+    A grain's medians are attached as one struct column, so that a row holds few columns through the joins. Those of
+    the whole frame are taken from the column ``whole`` if it is given; the caller attaches it then.
     """
     joined, accessors = df, {}
     for i, (name, (keys, cols)) in enumerate(grains.items()):
@@ -95,9 +103,9 @@ def attach_medians(
                 joined = joined.withColumn(at, constants(m.select(*[f"median_{c}" for c in cols])))
             accessors[name] = lambda c, at=at: F.col(at)[f"median_{c}"]
         else:
-            renamed = m.select(*keys, *[F.col(f"median_{c}").alias(f"__m{i}_{c}") for c in cols])
+            renamed = m.select(*keys, F.struct(*[f"median_{c}" for c in cols]).alias(f"__m{i}"))
             joined = joined.join(renamed, list(keys), "left")
-            accessors[name] = lambda c, i=i: F.col(f"__m{i}_{c}")
+            accessors[name] = lambda c, i=i: F.col(f"__m{i}")[f"median_{c}"]
     return joined, accessors
 
 
@@ -205,17 +213,18 @@ def preprocess(
 ) -> DataFrame:
     """The model-ready table: imputed, logged, capped and binned features, one row per application.
 
-    Statistics come first, each from a column-pruned pass over ``features`` (pass a stored table):
-    medians and percentile caps at eight grains, tract history, category counts. Their results are small
+    ``features`` is read once: its cleaned rows are settled (pass a stored table, of :data:`INPUT_COLUMNS` at least, so
+    that this step stays small enough for the JVM to compile). Statistics come first, each from a column-pruned
+    pass over them: medians and percentile caps at eight grains, tract history, category counts. Their results are small
     settled tables, so the final pass reads the wide rows once and, while those tables stay under
     Spark's broadcast limit, does not shuffle them until the closing row numbering. Ids must be the
     md5 keys of the staging step when ``number_rows`` is set.
     """
     c = F.col
-    base = clean_features(features)
+    base = settle(clean_features(features))
     medians = grouped_quantiles(base, GRAINS, {"median": 0.5, "low": 0.01, "high": 0.99})
-    # all constants ride on one struct column, planned once however often they are used
-    base = base.withColumn("__all", constants(medians["all"]))
+    # all constants ride on one struct column, planned once however often they are used; it is attached after the joins
+    whole = constants(medians["all"])
     caps = c("__all")
 
     history = settle(prior_rate_history(base))
@@ -228,7 +237,7 @@ def preprocess(
 
     joined, median = attach_medians(base, medians, GRAINS, "__all")
     joined = joined.join(history.withColumnRenamed("prior_approval_rate", "__prior"), ["census_tract", "activity_year"], "left")
-    joined = collapse_rare(joined, "race_sex_interaction", rare_minimum, "__race_sex")
+    joined = collapse_rare(joined, "race_sex_interaction", rare_minimum, "__race_sex").withColumn("__all", whole)
 
     g = median["all"]
     filled = {
@@ -259,7 +268,7 @@ def preprocess(
     )
 
     # second-level statistics need only these few columns, not the wide rows
-    narrow_join = base.join(medians["purpose_group"], "loan_purpose_grouped", "left")
+    narrow_join = base.join(medians["purpose_group"], "loan_purpose_grouped", "left").withColumn("__all", whole)
     narrow = narrow_join.select(
         stratified_income_ratio(c("median_loan_amount")).alias("income_to_loan_ratio_stratified"),
         loan_to_income.alias("loan_to_income_ratio"),

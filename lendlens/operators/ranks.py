@@ -207,22 +207,6 @@ def best_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -
     return best.select(*keys, *[F.col(f"__best.v{i}").alias(c) for i, c in enumerate(rest)])
 
 
-def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
-    """:func:`best_row` for wide rows whose keys seldom repeat: only rows of repeated keys are compared.
-
-    Keys are counted by hash; the repeated ones are settled, so Spark knows their size and broadcasts
-    them while they are few. All other rows are neither sorted nor shuffled then.
-    """
-    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
-    repeated = settle(
-        df.select(key.alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__key")
-    )
-    keyed = df.withColumn("__key", key)
-    single = keyed.join(repeated, "__key", "left_anti").select(*df.columns)
-    several = keyed.join(repeated, "__key", "left_semi").select(*df.columns)
-    return single.unionByName(best_row(several, keys, order).select(*df.columns))
-
-
 def descending(column: str | Column) -> Column:
     """Order key for :func:`best_row` that prefers large numbers and puts nulls last."""
     c = F.col(column) if isinstance(column, str) else column

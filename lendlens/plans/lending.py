@@ -67,7 +67,7 @@ def model_features(raw: RawTables, as_of: str | None = None, income_scale: int =
 
     df = enrich.enrich_census(apps, acs, enrich.income_buckets(acs))
     df = enrich.enrich_market(df, zips, yearly)
-    df = enrich.enrich_distress(df, staging.stage_distress(raw.distress))
+    df = enrich.enrich_distress(df, settle(staging.stage_distress(raw.distress)))
     df = enrich.attach_upper(df, settle(lenders), "legal_entity_identifier", "lei")
     df = cleaning.decode(
         df,

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lendlens.functions.lending import FILTERED_ACTIONS
 from lendlens.functions.numbers import calendar_years, share_pct
 from lendlens.functions.text import not_exempt, pad_code, part, surrogate_key, to_whole
-from lendlens.operators.ranks import one_per_key
+from lendlens.operators.ranks import best_row
 from lendlens.operators.schema import each_column
 
 # The fields that identify an application.
@@ -26,7 +26,7 @@ def stage_lar(raw: DataFrame, income_scale: int = 1000) -> DataFrame:
     """Raw all-text register rows to typed applications, one row per application key.
 
     Works for any number of years at once. Duplicates are resolved by a total order over the whole
-    row, so a rerun keeps the same row.
+    row, so a rerun keeps the same row. ``raw`` is read once and its rows are shuffled once, by key, however many repeat.
     """
     c = F.col
     whole = lambda name: to_whole(c(name), "int")
@@ -76,7 +76,7 @@ def stage_lar(raw: DataFrame, income_scale: int = 1000) -> DataFrame:
         unless_1111("initially_payable_to_institution").alias("initially_payable_to_institution"),
         whole("preapproval").alias("preapproval"),
     )
-    return one_per_key(staged, ["loan_application_id"], [c("activity_year")])
+    return best_row(staged, ["loan_application_id"], [c("activity_year")]).select(*staged.columns)
 
 
 def collapsed_count(raw: DataFrame) -> DataFrame:

@@ -334,7 +334,7 @@ _PRE_COLUMNS = (
 
 
 def preprocessed(spark, sf):
-    stored = settle(lending.model_features(raw_tables(spark, sf), AS_OF))
+    stored = settle(lending.model_features(raw_tables(spark, sf), AS_OF).select(*features.INPUT_COLUMNS))
     return features.preprocess(stored, rare_minimum=30)
 
 

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from lendlens.operators.ranks import one_per_key
+from lendlens.operators.ranks import best_row
 from lendlens.shared import delete_path
 
 #: Prefixes of the key's hash.
@@ -72,7 +72,7 @@ def land_batch(
     for leftover in (data, ids):
         delete_path(spark, leftover)
     touched = {r[0] for r in df.select(_prefix(key, prefixes)).distinct().collect()}  # at most ``prefixes``
-    fresh = one_per_key(df, [key], order)
+    fresh = best_row(df, [key], order).select(*df.columns)
     if stored := _id_paths(entries, target, touched):
         known = spark.read.schema(T.StructType([T.StructField("key", df.schema[key].dataType)])).parquet(*stored)
         # as a struct, null equals null

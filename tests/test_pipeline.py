@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lendlens.operators import cleaning, counterfactual, enrich, fairness, features, modeling, profiling, quality, rates
+from lendlens.operators import cleaning, counterfactual, enrich, fairness, features, modeling, profiling, quality, quantiles, rates
 from lendlens.plans import lending, staging
 from lendlens.schemas import LAR_TEXT_COLUMNS, canonical_lar
 
@@ -39,6 +39,49 @@ def test_stage_lar_income_and_duplicates(spark):
     assert tuple(staging.collapsed_count(raw).collect()[0]) == (1, 1)
 
 
+def ticking(spark, column):
+    """``column`` through a function that counts its calls, and the count."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(v):
+        seen.add(1)
+        return v
+
+    return F.udf(tick, "string").asNondeterministic()(column), seen
+
+
+def test_stage_lar_reads_the_register_once(spark):
+    """Every further pass would join and shuffle the register again."""
+    lei, seen = ticking(spark, F.concat(F.lit("L"), (F.col("id") % 20).cast("string")))
+    given = {"activity_year": F.lit("2018"), "loan_amount": F.lit("5.0"), "applicant_age": (F.col("id") + 10).cast("string"), "lei": lei}
+    raw = spark.range(40).select(*[given.get(c, F.lit(None).cast("string")).alias(c) for c in LAR_TEXT_COLUMNS])
+    got = staging.stage_lar(raw).collect()
+    assert sorted(int(r.applicant_age) for r in got) == list(range(10, 30))
+    assert seen.value == 40
+
+
+def test_preprocess_reads_its_features_once(spark):
+    from lendlens.queries import pipeline
+
+    given = lending.model_features(pipeline.raw_tables(spark, "/root/testdata/sf0.001"), pipeline.AS_OF)
+    given = features.settle(given.select(*features.INPUT_COLUMNS))
+    purpose, seen = ticking(spark, F.col("loan_purpose").cast("string"))
+    counted = given.withColumn("loan_purpose", purpose.cast("int"))
+    got = features.preprocess(counted, rare_minimum=30)
+    assert got.count() == given.filter("loan_purpose <> 5").count()
+    assert seen.value == given.count()
+
+
+def test_constants_stay_out_of_the_joins(spark):
+    """A struct of all constants on every row made the joined rows too wide to be compiled, and was copied in each join."""
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 2.0), ("b", 5.0, 6.0)], "g string, x double, y double")
+    grains = {"by": (["g"], ["x", "y"]), "all": ([], ["x"])}
+    joined, median = features.attach_medians(df, quantiles.grouped_medians(df, grains), grains, "__all")
+    assert len(joined.columns) == len(df.columns) + 1
+    got = {tuple(r) for r in joined.select("x", median["by"]("x"), median["by"]("y")).collect()}
+    assert got == {(1.0, 2.0, 2.0), (3.0, 2.0, 2.0), (5.0, 5.0, 6.0)}
+
+
 def test_best_zip_prefers_residents_then_lowest(spark):
     walk = spark.createDataFrame(
         [("T", "3", "c", "WI", 0.5), ("T", "2", "c", "WI", 0.5), ("T", "1", "c", "WI", 0.9), ("U", "9", "c", "WI", 0.0), ("U", "8", "c", "WI", None)],
