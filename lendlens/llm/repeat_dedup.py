@@ -269,22 +269,22 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     integers; rows with equal ids are not smaller than each other, and a null id counts as larger than
     all others. Other columns are ignored; an empty table gives no rows.
 
-    Texts are shuffled once, into a bucketed table. Phrases, grams and contexts are the rows that move;
-    equal contexts are combined before they do. A gram is ranked in one task with its distinct contexts
+    Texts are shuffled once, into a bucketed table. A row is named by its id and, where several rows share that, by a
+    hash of its text; other rows have zero there, which compresses to nothing in all that moves. Phrases, grams
+    and contexts are the rows that move; equal contexts are combined before they do. A gram is ranked in one task with its distinct contexts
     up to :data:`BLOCK` of them; one with more is spread over tasks string by string.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     content = or_empty(F.col(text))
-    base = _bucketed(
-        docs.select(
-            F.col(id_column).alias("doc_id"),
-            F.coalesce(F.col(id_column).cast("bigint"), F.lit(_LAST)).alias("ord"),
-            F.xxhash64(F.coalesce(F.col(id_column).cast("string"), F.lit("")), F.md5(content.cast("binary"))).alias("rid"),
-            content.alias("text"),
-        ),
-        n,
-    )
+    ord_ = F.coalesce(F.col(id_column).cast("bigint"), F.lit(_LAST))
+    shared = docs.groupBy(ord_.alias("ord")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = settle(shared.select("ord", F.lit(True).alias("shared")))  # written, so that few are broadcast
+    named = docs.select(F.col(id_column).alias("doc_id"), ord_.alias("ord"), content.alias("text")).join(shared, "ord", "left")
+    digest = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.col("text").cast("binary")))
+    rid = F.when(F.col("shared"), digest).otherwise(F.lit(0).cast("bigint"))
+    base = _bucketed(named.select("doc_id", "ord", rid.alias("rid"), "text"), n)
+    forget(shared)
     # rows equal in id and text share ord and rid, and so all results
     parsed = base.select("ord", "rid", "text").mapInPandas(_parse, "ord bigint, rid bigint, start int, h1 bigint, h2 bigint")
     parsed = settle(parsed)

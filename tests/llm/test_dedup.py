@@ -57,6 +57,27 @@ def test_repeats_ids(spark):
     assert repeat_rows(spark, []) == []
 
 
+def test_repeats_name_rows_by_id_alone_where_they_can(spark, monkeypatch):
+    """A hash of each text on every phrase, gram and context does not compress; only rows that share an id need one."""
+    text, other = "x" * 30 + "y" * 40, "z" * 60
+    kept = {}
+    bucketed = repeat_dedup._bucketed
+
+    def seen(rows, buckets):
+        kept["base"] = bucketed(rows, buckets)
+        return kept["base"]
+
+    monkeypatch.setattr(repeat_dedup, "_bucketed", seen)
+    df = spark.createDataFrame([(1, text), (5, text), (5, other), (7, other), (None, text), (None, other)], "doc_id long, text string")
+    out = sorted((r.doc_id or 99, r.n_bytes, len(r.kept)) for r in repeat_dedup.remove_repeats(df).collect())
+    assert out == [(1, 70, 70), (5, 60, 60), (5, 70, 0), (7, 60, 0), (99, 60, 0), (99, 70, 0)]
+    names = {}
+    for r in kept["base"].collect():
+        names.setdefault(r.doc_id, set()).add(r.rid)
+    assert names[1] == names[7] == {0}
+    assert len(names[5]) == len(names[None]) == 2 and 0 not in names[5] | names[None]
+
+
 def edited(rng, words, n):
     words = list(words)
     for _ in range(n):
