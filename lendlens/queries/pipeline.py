@@ -430,7 +430,7 @@ def _(spark, sf):
     _MODELLED + " SELECT count(*) AS n_rows, true AS numbered, true AS alternating, true AS chunked FROM m",
 )
 def _(spark, sf):
-    out = settle(lending.interleaved_training(preprocessed(spark, sf), 400))
+    out = settle(lending.interleaved_training(settle(preprocessed(spark, sf)), 400))
     n, label = F.col("global_row_number"), F.col("loan_approved")
     smaller = out.groupBy("loan_approved").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
     return out.withColumn("__s", smaller).agg(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lendlens.operators import cleaning, counterfactual, enrich, fairness, features, modeling, profiling, quality, quantiles, rates
 from lendlens.plans import lending, staging
+from lendlens.queries import QUERIES
 from lendlens.schemas import LAR_TEXT_COLUMNS, canonical_lar
 
 RACE = rates.RACE
@@ -72,6 +73,19 @@ def test_preprocess_reads_its_features_once(spark):
     assert seen.value == given.count()
 
 
+def test_interleaved_training_works_its_table_out_once(spark, monkeypatch):
+    from lendlens.queries import pipeline
+
+    lender, seen = ticking(spark, F.concat(F.lit("L"), (F.col("id") % 3).cast("string")))
+    table = spark.range(40).select(
+        F.md5(F.col("id").cast("string")).alias("loan_application_id"), (F.col("id") % 2).cast("int").alias("loan_approved"),
+        lender.alias("lender_entity_name"),
+    )
+    monkeypatch.setattr(pipeline, "preprocessed", lambda spark, sf: table)
+    assert tuple(QUERIES["interleaved_training"](spark, "").collect()[0]) == (40, True, True, True)
+    assert seen.value == 40
+
+
 def test_constants_stay_out_of_the_joins(spark):
     """A struct of all constants on every row made the joined rows too wide to be compiled, and was copied in each join."""
     df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 2.0), ("b", 5.0, 6.0)], "g string, x double, y double")
