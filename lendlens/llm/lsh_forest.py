@@ -30,6 +30,7 @@ BLOCK_ROWS, BLOCK_SHINGLES = 2048, 2_000_000
 MATRIX_CELLS = 1 << 24
 _FIRST = 8  # sets of a block that are compared with all before the others
 _CHUNK = 1 << 19  # bytes of text that are hashed at a time
+_SLICE_ROWS, _SLICE_CHARS = 512, 1 << 21  # texts whose sets are worked out at a time, and their characters
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -155,11 +156,21 @@ def linked_stars(sets: Sequence[np.ndarray], probes: Sequence[int] | None = None
     return [(int(root[k]), k) for k in range(g) if root[k] != k]
 
 
-def _slices(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
-    """Smaller batches, so that the sets of few texts are held at a time."""
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Smaller batches, so that the sets of few texts are held at a time, however long the texts are.
+
+    A text of more than :data:`_SLICE_CHARS` characters is a slice of its own.
+    """
     for batch in batches:
-        for lo in range(0, len(batch), rows):
-            yield batch.iloc[lo : lo + rows]
+        lo = chars = 0
+        for i, text in enumerate(batch["text"]):
+            own = len(text or "")
+            if i > lo and (i - lo == _SLICE_ROWS or chars + own > _SLICE_CHARS):
+                yield batch.iloc[lo:i]
+                lo, chars = i, 0
+            chars += own
+        if lo < len(batch):
+            yield batch.iloc[lo:]
 
 
 def sketch(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:

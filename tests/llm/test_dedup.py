@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from brute import near, repeats, shingles
 from pyspark.sql import functions as F
@@ -152,6 +153,15 @@ def test_shingle_sets_agree_with_tuples():
             assert len(np.intersect1d(sets[i], sets[j])) == len(plain[i] & plain[j])
 
 
+def test_slices_hold_few_long_texts():
+    texts = ["x" * 50_000] * 700 + [None, "", "y" * 5_000_000, "z"] + ["short"] * 1200
+    batch = pd.DataFrame({"text": texts, "at": range(len(texts))})
+    slices = list(lsh_forest._slices(iter([batch, batch.iloc[:0]])))
+    assert [i for s in slices for i in s["at"]] == list(range(len(texts)))
+    for s in slices:
+        assert len(s) == 1 or len(s) <= 512 and sum(len(t or "") for t in s["text"]) <= 1 << 21
+
+
 def test_linked_stars_both_ways(monkeypatch):
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 62, 400, dtype=np.uint64)
